@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship, table
 from .common import shared_dir
 from .packing import pack
+from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 from .tokenizing import vocabulary
 
@@ -18,11 +19,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-_OPERATORS = (op1_token_files, op3_best_fit_packing)
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing)
 
 
 def _shipped(f: Callable) -> Callable:
