@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship, table
 from .common import shared_dir
+from .mixing import mix
 from .packing import pack
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
@@ -27,7 +29,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_shards")).alias("taken"), F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("shards"))
+
+
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op7_mixing)
 
 
 def _shipped(f: Callable) -> Callable:
