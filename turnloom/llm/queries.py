@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 from .common import shared_dir
+from .media import features, store
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 from .tokenizing import vocabulary
@@ -29,12 +32,24 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(store(table(spark, sf_dir, "documents"))).drop("samples", "rate", "seek_offsets")
+
+
+def op6_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_shards")).alias("taken"), F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
-_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op7_mixing)
+def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii)
 
 
 def _shipped(f: Callable) -> Callable:
