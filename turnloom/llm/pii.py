@@ -103,7 +103,6 @@ _DISGUISE = re.compile(f"(?P<odd>{_ODD})|(?P<run>{_RUN})|(?P<at>{_AT}|{_AT_WORD}
 _TRIGGER = re.compile(_ODD)
 _BRACKET = re.compile(r"[\[({<][\x20]*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)[\x20]*[\])}>]", re.I)
 _SPELLED = re.compile(_RUN)
-_BLANK = dict.fromkeys(map(ord, ",.-"), " ")
 _AT_MAIL = re.compile(r"\x20at\x20[a-z0-9-]+(?:\x20dot\x20|\.)[a-z]+")
 _BRACKETS = re.compile(r"[\[({<]")
 
@@ -130,7 +129,8 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if " dot " in low or " at " in low and _AT_MAIL.search(low):
         return True
-    return sum(map(DIGIT_WORDS.__contains__, low.translate(_BLANK).split())) >= SPELLED and bool(_SPELLED.search(low))
+    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    return sum(map(DIGIT_WORDS.__contains__, words)) >= SPELLED and bool(_SPELLED.search(low))
 
 
 def transduce(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]]:

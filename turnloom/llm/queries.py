@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 from .common import shared_dir
+from .language import identify
 from .media import features, store
 from .mixing import mix
+from .neighbours import nearest
 from .packing import pack
 from .pii import find_pii
 from .secrets import find_secrets
@@ -49,7 +51,15 @@ def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii)
+def op9_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii, op9_word_backoff_language, op10_rotated_bit_neighbours)
 
 
 def _shipped(f: Callable) -> Callable:
