@@ -19,6 +19,7 @@ from .secrets import find_secrets
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 from .tokenizing import vocabulary
+from .toxicity import toxicity
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(table(spark, sf_dir, "documents"))).drop("samples", "rate", "seek_offsets")
 
 
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii, op9_word_backoff_language, op10_rotated_bit_neighbours)
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op5_weak_toxicity, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii, op9_word_backoff_language, op10_rotated_bit_neighbours)
 
 
 def _shipped(f: Callable) -> Callable:
