@@ -13,6 +13,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,11 +220,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data masked in its text; null texts stay null, other columns as they are."""
-    import pandas as pd
-
+    """``docs`` with personal data masked in its text, and n_chars, if there, to match; null texts stay null."""
     @F.pandas_udf("string")
     def mask(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else redact(t, spans(t)[1]))
 
-    return docs.withColumn(text_col, mask(F.col(text_col)))
+    out = docs.withColumn(text_col, mask(F.col(text_col)))
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -41,15 +41,19 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (a signed long of the 64 bits) of each row; null texts are empty."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (a signed long of the 64 bits) of each row, and the text's own hash if asked for; null texts are empty."""
+
+    rows = text_rows(docs, id_col, text_col)
+    if text_hash:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), words, seed) for t in b.column(1).cast(pa.large_binary())), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", "text_hash"][: b.num_columns])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(of, "doc_id long, fp long")
+    return rows.mapInArrow(of, "doc_id long, fp long" + ", text_hash long" * text_hash)
 
 
 def ball_keys(fp: Column) -> Column:
@@ -93,6 +97,15 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _named(fps: DataFrame) -> DataFrame:
+    """fp, root and component_id of each distinct fingerprint."""
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(near_links(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable) of each row.
 
@@ -101,9 +114,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     empty table gives no rows; repeated rows stay.
     """
     fps = written(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = _named(fps).select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` (all columns) with one row of each component: the one of the smallest doc_id (null last), then of the
+    smallest text hash; of rows that repeat both, any one."""
+    fps = written(fingerprints(docs, words, seed, text_hash=True), "fingerprints")
+    each = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    rooted = each.join(_named(fps), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies"))
+    kept = written(rooted.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.text_hash", "k.copies"), "kept")
+    same = F.expr("d.doc_id <=> k.doc_id and xxhash64(coalesce(d.text, '')) = k.text_hash")
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    once = docs.alias("d").join(kept.where("copies = 1").alias("k"), same, "left_semi")
+    more = kept.where("copies > 1")
+    if more.isEmpty():
+        return once
+    many = docs.alias("d").join(more.alias("k"), same).groupBy("k.doc_id", "k.text_hash").agg(F.first(F.struct(*own)).alias("d"))
+    return once.unionByName(many.select("d.*"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,3 +265,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: i
 
     scored = tagged.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 3, rest: int = 1) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score below ``threshold``; null texts stay."""
+    model, _ = learn(text_rows(docs), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), fold, rest)
+
+    @F.pandas_udf("double")
+    def score(s: pd.Series) -> pd.Series:
+        return pd.Series(model.scores([model.lexicon.hits(t or "") for t in s]))
+
+    return docs.where(score(F.col("text")) < threshold)
