@@ -1,11 +1,611 @@
-"""All registered queries of the engine, with their SQL."""
+"""All registered queries of the engine, with their SQL. A query that SQL cannot express has none and is tested by brute force."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import state as S
+from ..functions import text as X
+from ..operators import canonical, dialogue, fusion, mining, sampling, scoring, search, selection
+from ..session import ship, table
+from . import fixtures as fx
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+R6 = lambda c: F.round(c, 6)
+
+# --- search ---
+
+_BENCH = fx.sql_bm25("SELECT item_id AS q, text AS qtext FROM benchmark", "SELECT doc_id AS label, text FROM documents")
+
+
+@query(f"WITH {_BENCH} SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM (SELECT q, label, round(score, 6) AS score FROM bm25)) WHERE rk <= 5")
+def bm25_topk(spark, sf):
+    s = search.bm25_scores(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
+    return search.ranked(s.withColumn("score", R6("score")), "q", k=5)
+
+
+_POOL = """pool AS (SELECT d.q, d.label, qd.text AS qtext, dd.text AS text FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, label) AS rk FROM dense) d
+  JOIN documents qd ON qd.doc_id = d.q JOIN documents dd ON dd.doc_id = d.label WHERE rk <= 20),
+pt AS (SELECT q, qtext, label, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS toks FROM pool),
+ps AS (SELECT q, count(*) AS n, avg(len(toks)::DOUBLE) AS avgdl FROM pt GROUP BY q),
+tf AS (SELECT q, qtext, label, len(toks) AS dl, tok, count(*) AS f FROM (SELECT *, unnest(toks) AS tok FROM pt) GROUP BY q, qtext, label, toks, tok),
+dfr AS (SELECT q, tok, ln(n - count(*) + 0.5e0) - ln(count(*) + 0.5e0) AS w FROM tf JOIN ps USING (q) GROUP BY q, tok, n),
+idf AS (SELECT q, tok, CASE WHEN w < 0 THEN 0.25e0 * avg(w) OVER (PARTITION BY q) ELSE w END AS idf FROM dfr)"""
+
+
+def _dense_top(spark, sf, k):
+    s = search.dense_scores(fx.vector_queries(spark, sf), fx.vectors(spark, sf)).withColumn("score", R6("score"))
+    return search.ranked(s, "q", k=k)
+
+
+def _pool(spark, sf, k=20):
+    docs = table(spark, sf, "documents")
+    top = _dense_top(spark, sf, k)
+    return top.join(docs.select(F.col("doc_id").alias("q"), F.col("text").alias("qtext")), "q").join(docs.select(F.col("doc_id").alias("label"), "text"), "label")
+
+
+@query(f"""WITH {fx.SQL_DENSE}, {_POOL} SELECT q, label, round(sum(qn * idf * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM (
+  SELECT tf.*, idf.idf, ps.avgdl, len(list_filter(string_split_regex(qtext, '\\s+'), lambda t: t = tf.tok)) AS qn FROM tf JOIN idf USING (q, tok) JOIN ps USING (q)) GROUP BY q, label""")
+def bm25_in_pool(spark, sf):
+    return search.bm25_pool_scores(_pool(spark, sf)).select("q", "label", R6("score").alias("score"))
+
+
+_RANKED_DENSE = "SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM (SELECT q, label, round(score, 6) AS score FROM dense)"
+
+
+@query(f"WITH {fx.SQL_DENSE} SELECT * FROM ({_RANKED_DENSE}) WHERE rk <= 10")
+def dense_knn(spark, sf):
+    return _dense_top(spark, sf, 10)
+
+
+@query(f"WITH {fx.SQL_DENSE} SELECT q, label, 11 - rk AS place FROM ({_RANKED_DENSE}) WHERE rk <= 10")
+def label_nearest(spark, sf):
+    return search.top_k(_dense_top(spark, sf, 10), 10).select("q", "label", "place")
+
+
+@query(f"WITH {fx.SQL_DENSE} SELECT uq.cls AS cls, round(avg(CASE WHEN ud.cls = uq.cls THEN 1e0 ELSE 0e0 END), 6) AS purity FROM ({_RANKED_DENSE}) r JOIN uvec uq ON uq.label = r.q JOIN uvec ud ON ud.label = r.label WHERE rk <= 5 GROUP BY uq.cls")
+def dense_purity(spark, sf):
+    e = table(spark, sf, "embeddings")
+    r = _dense_top(spark, sf, 5).join(e.select(F.col("vec_id").alias("q"), F.col("label").alias("cls")), "q").join(e.select(F.col("vec_id").alias("label"), F.col("label").alias("other")), "label")
+    return r.groupBy("cls").agg(R6(F.avg((F.col("cls") == F.col("other")).cast("double"))).alias("purity"))
+
+
+@query()
+def random_retriever(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"))
+    return search.random_examples(table(spark, sf, "benchmark").select(F.col("item_id").alias("q")), docs, 5, 1)
+
+
+# --- fusion: documents with a vector of the same id, queries every fiftieth id ---
+
+_HYB = (
+    fx.SQL_DENSE
+    + ", hd AS (SELECT dense.* FROM dense JOIN documents ON doc_id = label), "
+    + fx.sql_bm25("SELECT doc_id AS q, text AS qtext FROM documents WHERE doc_id IN (SELECT q FROM hd)", "SELECT doc_id AS label, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+    + ", cand AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label))"
+)
+_Z = """zz AS (SELECT q, label, s, b, CASE WHEN stddev_pop(s01) OVER w > 1e-12 THEN (s01 - avg(s01) OVER w) / stddev_pop(s01) OVER w ELSE 0e0 END AS zs,
+  CASE WHEN stddev_pop(b) OVER w > 1e-12 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0e0 END AS zb FROM (SELECT *, (s + 1) / 2 AS s01 FROM cand) WINDOW w AS (PARTITION BY q))"""
+_MM = """zz AS (SELECT q, label, s, b, CASE WHEN max(s01) OVER w > min(s01) OVER w THEN (s01 - min(s01) OVER w) / (max(s01) OVER w - min(s01) OVER w) ELSE 0e0 END AS zs,
+  CASE WHEN max(b) OVER w > min(b) OVER w THEN (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) ELSE 0e0 END AS zb FROM (SELECT *, (s + 1) / 2 AS s01 FROM cand) WINDOW w AS (PARTITION BY q))"""
+_CUT = "cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, label) AS rs, row_number() OVER (PARTITION BY q ORDER BY b DESC, label) AS rb FROM {0}) WHERE rs <= {1} OR rb <= {1})"
+
+
+def _fused(z: str, score: str, pool: int = 10, source: str = "zz") -> str:
+    return f"WITH {_HYB}{', ' + z if z else ''}, {_CUT.format(source, pool)} SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM (SELECT q, label, round({score}, 6) AS score FROM cut)) WHERE rk <= 10"
+
+
+def _sides(spark, sf):
+    docs = table(spark, sf, "documents").join(fx.vectors(spark, sf).select(F.col("label").alias("doc_id")), "doc_id", "left_semi")
+    ids = docs.select(F.col("doc_id").alias("label"))
+    dense = search.dense_scores(fx.vector_queries(spark, sf).join(ids, "label", "left_semi"), fx.vectors(spark, sf).join(ids, "label", "left_semi"))
+    sparse = search.bm25_scores(docs.where(F.col("doc_id") % 50 == 0), docs, "doc_id", "text", "doc_id", "text").where("q <> label")
+    return sparse, dense
+
+
+@query(_fused(_Z, "zs * zb"))
+def hybrid_zscore_multiply(spark, sf):
+    return fusion.fuse(*_sides(spark, sf))
+
+
+@query(_fused(_MM, "zs * zb"))
+def hybrid_minmax_multiply(spark, sf):
+    return fusion.fuse(*_sides(spark, sf), how="minmax")
+
+
+@query(_fused(_Z, "0.5e0 * zs + 0.5e0 * zb"))
+def hybrid_weighted_sum(spark, sf):
+    return fusion.fuse(*_sides(spark, sf), logic="weighted_sum")
+
+
+@query(_fused("", "1 / (rs + 59e0) + 1 / (rb + 59e0)", 1 << 30, "cand"))
+def hybrid_rrf(spark, sf):
+    return fusion.fuse(*_sides(spark, sf), logic="rrf")
+
+
+def _lists(spark, sf):
+    sparse, dense = _sides(spark, sf)
+    both = fusion.complete(sparse, dense)
+    r = lambda c: search.ranked(both.select("q", "label", R6(c).alias("score")), "q", k=20)
+    return r("b"), r("s")
+
+
+_LISTS = "la AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, label) AS rs, row_number() OVER (PARTITION BY q ORDER BY round(b, 6) DESC, label) AS rb FROM cand)"
+
+
+@query(f"WITH {_HYB}, {_LISTS}, pl AS (SELECT q, label, least(CASE WHEN rs <= 20 THEN 2 * rs - 1 END, CASE WHEN rb <= 20 THEN 2 * rb END) AS place FROM la WHERE rs <= 20 OR rb <= 20) SELECT q, label, rk FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY place, label) AS rk FROM pl) WHERE rk <= 10")
+def round_robin_naive(spark, sf):
+    sparse, dense = _lists(spark, sf)
+    return fusion.interleaved(sparse, dense, 10).select("q", "label", "rk")
+
+
+@query()
+def round_robin_exact(spark, sf):
+    sparse, dense = _lists(spark, sf)
+    return selection.round_robin(dense, sparse, 10)
+
+
+def _with_vectors(spark, sf, pool):
+    return pool.join(fx.vectors(spark, sf), "label")
+
+
+@query(f"""WITH {fx.SQL_DENSE}, p AS (SELECT q, label, score FROM ({_RANKED_DENSE}) WHERE rk <= 50),
+a AS (SELECT q, label AS l1 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS n FROM p) WHERE n = 1),
+b0 AS (SELECT p.q, p.label, p.score - 0.5e0 * list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS score, l1 FROM p JOIN a USING (q) JOIN uvec x ON x.label = p.label JOIN uvec y ON y.label = l1 WHERE p.label <> l1),
+b AS (SELECT q, label AS l2 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, label) AS n FROM b0) WHERE n = 1)
+SELECT q, l1 AS label, 1 AS rk FROM a UNION ALL SELECT q, l2, 2 FROM b""")
+def div_select_dense(spark, sf):
+    return selection.diverse(_with_vectors(spark, sf, _dense_top(spark, sf, 50)), 2, 0.5, 50)
+
+
+@query()
+def div_select_bm25(spark, sf):
+    sparse, _ = _lists(spark, sf)
+    return selection.diverse(_with_vectors(spark, sf, sparse), 5, 0.5, 20)
+
+
+@query()
+def multiply_div_top_k(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text")
+    f = fusion.fuse(*_sides(spark, sf), k_s=10, k_b=10)
+    return selection.diverse_mixed(_with_vectors(spark, sf, f).join(docs, "label"), 5, 0.2, 20)
+
+
+# --- states and metrics over event-derived dialogues ---
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS NOT NULL THEN s || '=' || g END, ';' ORDER BY s), '') AS state FROM state GROUP BY id, turn_id")
+def state_fold(spark, sf):
+    return fx.states(spark, sf).select("id", "turn_id", _shown("gold").alias("state"))
+
+
+def _shown(m: str):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+
+
+@query(f"WITH {fx.SQL_STATE}, now AS (SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS NOT NULL THEN s || '=' || g END, ';' ORDER BY s), '') AS state FROM state GROUP BY id, turn_id) SELECT id, turn_id, lag(state, 1, '') OVER (PARTITION BY id ORDER BY turn_id) AS previous FROM now")
+def prev_state_lag(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    return s.select("id", "turn_id", _shown("before").alias("previous"))
+
+
+@query(f"""WITH {fx.SQL_STATE}, two AS (SELECT id, turn_id, s, g, lag(g) OVER (PARTITION BY id, s ORDER BY turn_id) AS h FROM state)
+SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS NULL AND h IS NOT NULL THEN s || '=[DELETE]' WHEN g IS DISTINCT FROM h THEN s || '=' || g END, ';' ORDER BY s), '') AS delta FROM two GROUP BY id, turn_id""")
+def state_delta(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    return s.withColumn("delta", S.compute_delta(F.col("before"), F.col("gold"))).select("id", "turn_id", _shown("delta").alias("delta"))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS NOT NULL THEN s || '=' || g END, ';' ORDER BY s), '') AS state FROM state GROUP BY id, turn_id")
+def state_update(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold")).withColumn("delta", S.compute_delta(F.col("before"), F.col("gold")))
+    return s.withColumn("after", S.update(F.col("before"), F.col("delta"))).select("id", "turn_id", _shown("after").alias("state"))
+
+
+def _scored(spark, sf):
+    s = fx.states(spark, sf)
+    return s.select("id", "turn_id", "event_id", "slot", "gold", "pred", *(c.alias(k) for k, c in S.evaluate(F.col("gold"), F.col("pred"), 5).items()))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT round(avg(jga), 6) AS jga, round(avg(acc), 6) AS acc, round(avg(f1), 6) AS f1, count(*) AS turns FROM metrics")
+def jga_overall(spark, sf):
+    return _scored(spark, sf).agg(R6(F.avg("jga")).alias("jga"), R6(F.avg("acc")).alias("acc"), R6(F.avg("f1")).alias("f1"), F.count("*").alias("turns"))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT turn_id, round(avg(jga), 6) AS jga, round(avg(f1), 6) AS f1, count(*) AS turns FROM metrics GROUP BY turn_id")
+def jga_by_turn(spark, sf):
+    return _scored(spark, sf).groupBy("turn_id").agg(R6(F.avg("jga")).alias("jga"), R6(F.avg("f1")).alias("f1"), F.count("*").alias("turns"))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT id, turn_id, jga, round(avg(jga) OVER (PARTITION BY id ORDER BY turn_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM metrics")
+def running_jga(spark, sf):
+    w = Window.partitionBy("id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _scored(spark, sf).select("id", "turn_id", "jga", R6(F.avg("jga").over(w)).alias("running"))
+
+
+@query(f"""WITH {fx.SQL_STATE}, sums AS (SELECT s AS slot, count(*) FILTER (WHERE g = p) AS tp, count(*) FILTER (WHERE g IS NULL AND p IS NOT NULL) AS fp, count(*) FILTER (WHERE g IS NOT NULL AND (p IS NULL OR p <> g)) AS fn FROM state GROUP BY s)
+SELECT slot, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp)::DOUBLE END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / (tp + fn)::DOUBLE END, 6) AS recall,
+round(CASE WHEN tp = 0 THEN 0e0 ELSE 2e0 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE) END, 6) AS f1 FROM sums""")
+def slot_prf(spark, sf):
+    return dialogue.slot_prf(fx.states(spark, sf))
+
+
+@query(f"""WITH {fx.SQL_STATE}, dom AS (SELECT state.id, state.turn_id, split_part(s, '-', 2) AS domain, g, p, e.slot FROM state JOIN gold e USING (id, turn_id) WHERE split_part(e.slot, '-', 2) = split_part(s, '-', 2))
+SELECT domain, count(*) AS turns, round(avg(CASE WHEN g IS NOT DISTINCT FROM p THEN 1e0 ELSE 0e0 END), 6) AS jga, round(avg(CASE WHEN g IS NOT NULL AND g = p THEN 1e0 ELSE 0e0 END), 6) AS f1 FROM dom GROUP BY domain""")
+def domain_metrics(spark, sf):
+    """Per domain (the event type), over the turns that are of it, with both states cut down to it."""
+    s = fx.states(spark, sf)
+    renamed = lambda m: F.transform_keys(m, lambda k, _: F.concat(F.split_part(k, F.lit("-"), F.lit(2)), F.lit("-level")))
+    s = s.withColumn("domain", F.split_part("slot", F.lit("-"), F.lit(2))).withColumns({"gold": renamed("gold"), "pred": renamed("pred")})
+    m = S.evaluate(S.restrict(F.col("gold"), F.col("domain")), S.restrict(F.col("pred"), F.col("domain")), 1)
+    return s.select("domain", m["jga"].alias("jga"), m["f1"].alias("f1")).groupBy("domain").agg(F.count("*").alias("turns"), R6(F.avg("jga")).alias("jga"), R6(F.avg("f1")).alias("f1"))
+
+
+@query(f"""WITH {fx.SQL_STATE}, run AS (SELECT id % 3 AS grp, id % 6 AS split, avg(jga) AS jga FROM metrics GROUP BY id % 3, id % 6)
+SELECT grp, round(avg(jga), 6) AS mean, round(stddev_pop(jga), 6) AS std, string_agg(CAST(split AS VARCHAR), ',' ORDER BY split) AS splits FROM run GROUP BY grp""")
+def run_summary(spark, sf):
+    runs = _scored(spark, sf).groupBy((F.col("id") % 3).alias("grp"), (F.col("id") % 6).alias("split")).agg(F.avg("jga").alias("jga"))
+    return runs.groupBy("grp").agg(R6(F.avg("jga")).alias("mean"), R6(F.stddev_pop("jga")).alias("std"), F.array_join(F.transform(F.array_sort(F.collect_list("split")), lambda x: x.cast("string")), ",").alias("splits"))
+
+
+@query(f"""WITH {fx.SQL_STATE}, coref AS (SELECT id, turn_id, slot AS s FROM gold WHERE slot IN ('shop-click', 'shop-view'))
+SELECT id % 3 AS run, count(*) AS total, round(avg(CASE WHEN g = p THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM state JOIN coref USING (id, turn_id, s) WHERE g IS NOT NULL GROUP BY id % 3""")
+def coref_slot_accuracy(spark, sf):
+    s = fx.states(spark, sf)
+    coref = s.where(F.col("slot").isin("shop-click", "shop-view")).select("id", "turn_id", F.col("slot").alias("s"))
+    j = s.select("id", "turn_id", "gold", "pred").join(coref, ["id", "turn_id"]).where(F.map_contains_key("gold", F.col("s")))
+    hit = F.coalesce(F.element_at("gold", F.col("s")) == F.element_at("pred", F.col("s")), F.lit(False)).cast("double")
+    return j.groupBy((F.col("id") % 3).alias("run")).agg(F.count("*").alias("total"), R6(F.avg(hit)).alias("accuracy"))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT s AS slot, count(*) AS n FROM state WHERE g IS NOT NULL GROUP BY s")
+def prompt_slot_counts(spark, sf):
+    return fx.states(spark, sf).select(F.explode(F.map_keys("gold")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {fx.SQL_STATE} SELECT id, turn_id, coalesce(string_agg(CASE WHEN h IS NULL THEN s || '=' || g END, ';' ORDER BY s), '') AS turn_label FROM (SELECT id, turn_id, s, g, CASE WHEN lag(g) OVER (PARTITION BY id, s ORDER BY turn_id) = g THEN 1 END AS h FROM state) WHERE g IS NOT NULL OR true GROUP BY id, turn_id")
+def turn_label_diff(spark, sf):
+    """Belief entries that the previous turn's list lacks."""
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    d = F.array_except(F.map_entries("gold"), F.map_entries("before"))
+    return s.select("id", "turn_id", F.array_join(F.transform(F.array_sort(d), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("turn_label"))
+
+
+@query("SELECT event_type AS slot, string_agg(v, ',' ORDER BY v) AS known FROM (SELECT DISTINCT event_type, CAST(CAST(floor(value) AS INT) % 5 AS VARCHAR) AS v FROM events) GROUP BY event_type")
+def ontology_values(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.pmod(F.floor("value").cast("int"), F.lit(5)).cast("string").alias("v"))
+    return e.groupBy(F.col("event_type").alias("slot")).agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("known"))
+
+
+@query("SELECT user_id AS id, event_type, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def dedupe_last(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_type", "value", "event_id")
+    return dialogue.last_duplicate(e.withColumn("at", F.col("event_id")), ["id", "event_type"], "at").select("id", "event_type", "value", "event_id")
+
+
+# --- similarity ---
+
+#: Belief classes: turns of equal belief are one class, named after its smallest event; queries are the turns of every fiftieth event.
+_BELIEF = """bel AS (SELECT event_id, coalesce(list(s || '-' || g ORDER BY s) FILTER (WHERE g IS NOT NULL), []::VARCHAR[]) AS b FROM state GROUP BY event_id),
+be AS (SELECT event_id AS i, b, list_transform(b, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2)) AS h FROM bel WHERE event_id % 50 = 0),
+cl AS (SELECT min(event_id) AS i, b, list_transform(b, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2)) AS h FROM bel GROUP BY b)"""
+
+
+def _fb(g: str, p: str) -> str:
+    tp = f"len(list_filter({g}, lambda x: list_contains({p}, x)))::DOUBLE"
+    fp = f"len(list_filter({p}, lambda x: NOT list_contains({g}, x)))"
+    return f"(CASE WHEN len({g}) = 0 THEN (CASE WHEN len({p}) = 0 THEN 1e0 ELSE 0e0 END) WHEN {tp} = 0 THEN 0e0 ELSE 2 * ({tp} / ({tp} + {fp})) * ({tp} / len({g})) / ({tp} / ({tp} + {fp}) + {tp} / len({g})) END)"
+
+
+def _beliefs(spark, sf):
+    b = F.transform(F.array_sort(F.map_entries("gold")), lambda e: F.concat_ws("-", e["key"], e["value"]))
+    return fx.states(spark, sf).select("event_id", b.alias("b"))
+
+
+def belief_pairs(spark, sf) -> DataFrame:
+    """q, label, sim of each query turn and each belief class that shares a slot-value with it. The join is on shared
+    values, the query side being the small one; a pair counts under the smallest value it shares, so once."""
+    beliefs = _beliefs(spark, sf)
+    q = beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), "b", F.explode("b").alias("k"))
+    classes = beliefs.groupBy("b").agg(F.min("event_id").alias("label"))
+    c = classes.select("label", F.col("b").alias("c"), F.explode("b").alias("k"))
+    near = q.join(c, "k").where(F.col("k") == F.array_min(F.array_intersect("b", "c")))
+    return near.select("q", "label", R6(S.sv_similarity(F.col("b"), F.col("c"))).alias("sim"))
+
+
+_PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round({_fb('x.b', 'y.b')} + {_fb('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN cl y ON len(list_intersect(x.b, y.b)) > 0)"
+
+
+@query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT q, label, sim FROM pr WHERE sim >= 0.6e0")
+def sv_similarity_pairs(spark, sf):
+    return belief_pairs(spark, sf).where("sim >= 0.6")
+
+
+@query(f"WITH {fx.SQL_STATE}, l AS (SELECT id, turn_id, coalesce(list(s || g ORDER BY s) FILTER (WHERE g IS NOT NULL), []) AS gl, coalesce(list(s || p ORDER BY s) FILTER (WHERE p IS NOT NULL), []) AS pl FROM state GROUP BY id, turn_id) SELECT id, turn_id, round({_fb('gl', 'pl')}, 6) AS f FROM l")
+def fbeta(spark, sf):
+    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], e["value"]))
+    return fx.states(spark, sf).select("id", "turn_id", R6(S.fbeta(pairs("gold"), pairs("pred"))).alias("f"))
+
+
+@query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT * FROM (SELECT q, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pr) WHERE rk <= 5")
+def f1_topk(spark, sf):
+    return search.ranked(belief_pairs(spark, sf), "q", score="sim", k=5)
+
+
+@query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT round(avg(m), 6) AS quality, count(*) AS queries FROM (SELECT q, avg(sim) AS m FROM (SELECT q, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pr) WHERE rk <= 5 GROUP BY q)")
+def retriever_quality(spark, sf):
+    return f1_topk(spark, sf).groupBy("q").agg(F.avg("sim").alias("m")).agg(R6(F.avg("m")).alias("quality"), F.count("*").alias("queries"))
+
+
+#: A query's pool for mining: its 100 nearest classes (top_range).
+_RANGE = "tr AS (SELECT q, label, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS n FROM pr) WHERE n <= 100)"
+
+
+def _mining_pool(spark, sf):
+    return search.ranked(belief_pairs(spark, sf), "q", score="sim", k=100).select("q", "label", "sim")
+
+
+@query(f"""WITH {fx.SQL_STATE}, {_PAIRS}, {_RANGE}, sp AS (SELECT *, CAST((q * 13 + label * 7) % 5 AS DOUBLE) AS score FROM tr),
+a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM sp),
+e AS (SELECT q, coalesce(max(CASE WHEN rk = 6 THEN score END), min(score)) AS edge FROM a GROUP BY q),
+n AS (SELECT a.*, edge, count(*) FILTER (WHERE score > edge) OVER (PARTITION BY q) AS above, row_number() OVER (PARTITION BY q, score = edge ORDER BY sim DESC, label) AS fill FROM a JOIN e USING (q)),
+m AS (SELECT *, score > edge OR (score = edge AND fill <= 5 - above) AS pos FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY q, pos ORDER BY sim, label DESC) AS place FROM m)
+SELECT q, label, CASE WHEN pos THEN 'pos' ELSE 'neg' END AS kind, place FROM o WHERE pos OR place <= 4""")
+def infonce_mining(spark, sf):
+    p = _mining_pool(spark, sf).withColumn("score", ((F.col("q") * 13 + F.col("label") * 7) % 5).cast("double"))
+    return mining.info_nce(p, 5, 8)
+
+
+@query(f"""WITH {fx.SQL_STATE}, {_PAIRS}, {_RANGE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS hi, row_number() OVER (PARTITION BY q ORDER BY sim, label) AS lo FROM tr)
+SELECT q, label, 1e0 AS target FROM r WHERE hi <= 5 UNION ALL SELECT q, label, 0e0 FROM r WHERE lo <= 5""")
+def contrastive_mining(spark, sf):
+    return mining.contrastive(_mining_pool(spark, sf), 5)
+
+
+# --- combinatorial scoring ---
+
+_COMBI = f"""WITH {fx.SQL_DENSE}, pool AS (SELECT q, label, rk - 1 AS pos FROM ({_RANKED_DENSE}) WHERE rk <= 20),
+pm AS (SELECT q, label, iter, row_number() OVER (PARTITION BY q, iter ORDER BY (pos * 7919 + iter * 104729 + q * 31) % 1009, pos) - 1 AS op FROM pool, (SELECT unnest([0, 1, 2]) AS iter)),
+mem AS (SELECT q, label, iter, op // 5 AS grp, CASE WHEN (q * 31 + iter * 17 + (op // 5) * 7) % 5 = 0 THEN 1 ELSE 0 END AS jga FROM pm),
+tot AS (SELECT q, iter, sum(jga) AS total, count(*) AS g FROM (SELECT DISTINCT q, iter, grp, jga FROM mem) GROUP BY q, iter),
+sc AS (SELECT q, label, count(*) AS occurence, CAST(sum(jga) AS DOUBLE) AS score, round(sum(jga - CASE WHEN g > 1 THEN (total - jga) / (g - 1)::DOUBLE ELSE 0e0 END), 6) AS influence FROM mem JOIN tot USING (q, iter) GROUP BY q, label)"""
+
+
+def _combi(spark, sf):
+    pool = _dense_top(spark, sf, 20).select("q", "label", (F.col("rk") - 1).alias("pos"))
+    stub = lambda q, i, g: ((q * 31 + i * 17 + g * 7) % 5 == 0).cast("int")
+    return scoring.example_scores(scoring.group_scores(pool, 3, 5, stub))
+
+
+@query(f"{_COMBI} SELECT * FROM sc")
+def combi_scores(spark, sf):
+    return _combi(spark, sf)
+
+
+@query(f"{_COMBI} SELECT q, label, influence, 6 - rk AS place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY influence DESC, label) AS rk FROM sc) WHERE rk <= 5")
+def combi_select(spark, sf):
+    return scoring.select_examples(_combi(spark, sf), "influence", 5).select("q", "label", "influence", "place")
+
+
+# --- sampling and set operations ---
+
+_DRAW = "(({0} * 7919 + {1} * 104729) % 100003)"
+
+
+@query(f"SELECT event_id FROM events ORDER BY {_DRAW.format('event_id', 3)}, event_id LIMIT (SELECT CAST(floor(count(*) * 0.05e0) AS BIGINT) FROM events)")
+def sample_by_turn(spark, sf):
+    return sampling.by_row(table(spark, sf, "events").select("event_id"), "event_id", 0.05, 3)
+
+
+@query(f"SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY {_DRAW.format('user_id', 1)}, user_id LIMIT (SELECT CAST(floor(count(DISTINCT user_id) * 0.1e0) AS BIGINT) FROM events)) GROUP BY user_id")
+def sample_by_dialog(spark, sf):
+    return sampling.by_dialogue(table(spark, sf, "events"), "user_id", 0.1, 1).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT conv_id FROM conversations)")
+def pre_assigned(spark, sf):
+    ids = table(spark, sf, "conversations").select(F.col("conv_id").alias("user_id"))
+    return sampling.pre_assigned(table(spark, sf, "events"), ids, "user_id").select("event_id", "user_id")
+
+
+@query(f"SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)) ORDER BY {_DRAW.format('user_id', 42)}, user_id LIMIT (SELECT CAST(floor(count(DISTINCT user_id) * 0.2e0) AS BIGINT) FROM events)")
+def disjoint_dev(spark, sf):
+    taken = table(spark, sf, "conversations").select(F.col("conv_id").alias("user_id"))
+    return sampling.disjoint(table(spark, sf, "events"), taken, "user_id", 0.2)
+
+
+@query("SELECT DISTINCT lang FROM documents WHERE source = 'src0' INTERSECT SELECT DISTINCT lang FROM documents WHERE source = 'src1'")
+def schema_intersect(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.where("source = 'src0'").select("lang").intersect(d.where("source = 'src1'").select("lang"))
+
+
+@query("SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING NOT bool_or(o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))")
+def domain_subset_filter(spark, sf):
+    d = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("d"))
+    return d.where(F.size(F.array_except("d", F.array(*map(F.lit, ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))))) == 0).select("id")
+
+
+@query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id HAVING bool_or(event_type IN ('signup', 'error'))")
+def any_service_filter(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.collect_set("event_type").alias("d"))
+    return e.where(F.arrays_overlap("d", F.array(F.lit("signup"), F.lit("error")))).select("id", "n")
+
+
+@query("""SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 0 AND max(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) <= 50 AND NOT bool_or(regexp_matches(text, '[^\\x00-\\x7F]'))""")
+def valid_dialogues(spark, sf):
+    c = table(spark, sf, "conversations")
+    g = c.groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"), F.max(X.n_words(F.col("text"))).alias("words"), F.bool_and(X.ascii_only(F.col("text"))).alias("ascii"))
+    return g.where("n % 2 = 0 AND words <= 50 AND ascii").select("id", "n")
+
+
+@query("SELECT path, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT lang || '/' || n_chars AS path, source FROM documents) GROUP BY path HAVING count(*) > 1")
+def config_collisions(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), F.col("n_chars").cast("string")).alias("path"), "source")
+    return d.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")).where("n > 1").select("path", "sources")
+
+
+@query("SELECT vec_id AS label, 2 AS file, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 1, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 3 <> 0")
+def index_union_last(spark, sf):
+    """Index files united, the last file that has a label winning."""
+    from ..sources.index import union_indexes
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("label"), "embedding")
+    return union_indexes([e.withColumn("file", F.lit(1)), e.where("label % 3 = 0").withColumn("file", F.lit(2))]).select("label", "file", R6(F.col("embedding")[0].cast("double")).alias("head"))
+
+
+# --- texts and values ---
+
+_HIST = f"WITH {fx.SQL_CONV}, n AS (SELECT id, turn_id, CASE WHEN sys = 'none' THEN '' ELSE sys END AS sys, CASE WHEN usr = 'none' THEN '' ELSE usr END AS usr FROM conv)"
+
+
+def _conv(spark, sf):
+    c = fx.conversation_turns(spark, sf)
+    return c.select("id", "turn_id", dialogue.history("sys").alias("sys"), dialogue.history("usr").alias("usr"))
+
+
+@query(f"{_HIST} SELECT id, turn_id, string_agg('[CONTEXT]  [SYS] ' || sys || ' [USER] ' || usr, '') OVER (PARTITION BY id ORDER BY turn_id ROWS UNBOUNDED PRECEDING) AS text FROM n")
+def history_concat(spark, sf):
+    return _conv(spark, sf).select("id", "turn_id", X.turn_text("dialog_context", full_history=True).alias("text"))
+
+
+@query(f"{_HIST} SELECT id, turn_id, '[CONTEXT]  [SYS] ' || sys || ' [USER] ' || usr AS text FROM n")
+def turn_text_dialog(spark, sf):
+    return _conv(spark, sf).select("id", "turn_id", X.turn_text("dialog").alias("text"))
+
+
+def _stated(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    return s.select("id", "turn_id", F.array(F.lit("none")).alias("sys"), F.array("slot").alias("usr"), F.col("before").alias("last_slot_values"), F.col("gold").alias("slot_values"), S.compute_delta(F.col("before"), F.col("gold")).alias("turn_slot_values"))
+
+
+_TWO = f"WITH {fx.SQL_STATE}, two AS (SELECT id, turn_id, s, g, lag(g) OVER (PARTITION BY id, s ORDER BY turn_id) AS h FROM state)"
+_SAID = "coalesce(string_agg(CASE WHEN {0} IS NOT NULL THEN replace(s, '-', ' ') || ': ' || {0} || ', ' END, '' ORDER BY s), '')"
+
+
+@query(f"{_TWO} SELECT two.id, two.turn_id, '[CONTEXT] ' || {_SAID.format('h')} || ' [SYS]  [USER] ' || any_value(gold.slot) || ' [BS] ' || coalesce(string_agg(CASE WHEN g IS DISTINCT FROM h THEN s END, ', ' ORDER BY s), '') AS text FROM two JOIN gold USING (id, turn_id) GROUP BY two.id, two.turn_id")
+def turn_text_dialog_context(spark, sf):
+    return _stated(spark, sf).select("id", "turn_id", X.turn_text("dialog_context", gt_type="gt_delta_slot").alias("text"))
+
+
+@query(f"{_TWO} SELECT id, turn_id, ' [BS] ' || {_SAID.format('g')} AS text FROM two GROUP BY id, turn_id")
+def gt_suffix(spark, sf):
+    return _stated(spark, sf).select("id", "turn_id", X.turn_text("gt_full_bs").alias("text"))
+
+
+@query(f"{_TWO} SELECT id, turn_id, '[CONTEXT] ' || coalesce(string_agg(CASE WHEN h IS NOT NULL THEN s END, ', ' ORDER BY s), '') || ' [SYS]  [USER] ' AS text FROM two GROUP BY id, turn_id")
+def turn_text_context_slots(spark, sf):
+    return _stated(spark, sf).select("id", "turn_id", X.turn_text("context", only_slot=True).alias("text"))
+
+
+@query("SELECT event_id, split_part(event_type || '|' || props, '|', 1) AS first FROM events")
+def multi_value_first(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.first_value(F.concat_ws("|", "event_type", "props")).alias("first"))
+
+
+@query("SELECT label, regexp_extract(label, '^(.*)_turn_[0-9]+$', 1) AS id, CAST(regexp_extract(label, '_turn_([0-9]+)$', 1) AS INT) AS turn_id FROM (SELECT DISTINCT 'd_' || conv_id || '_turn_' || turn AS label FROM conversations)")
+def label_parse(spark, sf):
+    c = table(spark, sf, "conversations").select(X.label(F.concat(F.lit("d_"), F.col("conv_id").cast("string")), F.col("turn")).alias("label")).distinct()
+    return c.select("label", X.label_dialogue(F.col("label")).alias("id"), X.label_turn(F.col("label")).alias("turn_id"))
+
+
+_T = "CAST(event_id % 30 AS VARCHAR) || ':' || (CASE WHEN event_id % 3 = 0 THEN '' ELSE '0' END) || CAST(event_id % 7 AS VARCHAR)"
+
+
+@query(f"SELECT event_id, CASE WHEN regexp_matches(t, '^([0-1]?[0-9]|2[0-4]):[0-5][0-9]$') THEN t END AS t FROM (SELECT event_id, CASE WHEN length({_T}) < 5 THEN '0' || {_T} ELSE {_T} END AS t FROM events)")
+def time_normalize(spark, sf):
+    e = F.col("event_id")
+    t = F.concat((e % 30).cast("string"), F.lit(":"), F.when(e % 3 == 0, "").otherwise("0"), (e % 7).cast("string"))
+    return table(spark, sf, "events").select("event_id", X.canonical_time(t).alias("t"))
+
+
+@query("""SELECT p_partkey, CASE v WHEN 'sat' THEN 'saturday' WHEN 'center' THEN 'centre' WHEN 'asian' THEN 'asian oriental' ELSE v END AS value FROM (SELECT p_partkey, trim(regexp_replace(replace(replace(lower(p_name || '/' || p_type || '-' || p_brand), '/', ' and '), '-', ' '), ' +', ' ', 'g')) AS v FROM part)""")
+def text_normalize(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.normalize(F.concat("p_name", F.lit("/"), "p_type", F.lit("-"), "p_brand")).alias("value"))
+
+
+@query("SELECT p_partkey, lower(trim(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9_.+-]+', '_', 'g'), '._-')) AS slug FROM part")
+def slugs(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
+
+
+@query("SELECT user_id AS id, trim(max_by(event_type, value)) AS completion FROM events GROUP BY user_id")
+def best_completion(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("user_id").alias("id")).agg(F.trim(F.max_by("event_type", "value")).alias("completion"))
+
+
+@query("SELECT l_returnflag AS canonical, max_by(l_linestatus, n * 1000 - CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END) AS surface, sum(n) AS n FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY l_returnflag")
+def surface_most_common(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("canonical"), F.col("l_linestatus").alias("surface"), F.lit(1).alias("n"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("first_seen"))
+    return canonical.surface_forms(l)
+
+
+def _names(spark, sf):
+    known = table(spark, sf, "part").select(F.lit("part").alias("slot"), F.lower("p_name").alias("value"))
+    p = table(spark, sf, "part")
+    n = F.lower("p_name")
+    v = F.when(F.col("p_partkey") % 3 == 0, n).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("the "), n, F.lit(" hotel"))).otherwise(F.concat(F.lit("zzz"), n, F.lit("qqqqqqqqqqqqqqqqq")))
+    return p.select(F.lit("part").alias("slot"), v.alias("value")), known
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part), v AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN lower(p_name) WHEN 1 THEN 'the ' || lower(p_name) || ' hotel' ELSE 'zzz' || lower(p_name) || 'qqqqqqqqqqqqqqqqq' END AS value FROM part)
+SELECT 'part' AS slot, value, c AS canonical FROM v LEFT JOIN k ON c = value OR 'the ' || c || ' hotel' = value""")
+def canonical_exact_alias(spark, sf):
+    return canonical.canonical(*_names(spark, sf))
+
+
+@query()
+def fuzzy_canonical(spark, sf):
+    known = table(spark, sf, "customer").select(F.lit("name").alias("slot"), F.lower("c_mktsegment").alias("value"))
+    seen = table(spark, sf, "customer").select(F.lit("name").alias("slot"), F.concat(F.lower("c_mktsegment"), F.lit("s")).alias("value"))
+    return canonical.canonical(seen, known, 85)
+
+
+@query("""SELECT event_id, 'shop-' || event_type AS slot, CAST(event_id % 5 AS VARCHAR) AS value FROM events""")
+def parse_nl(spark, sf):
+    """Completions like {'shop-view': '3'} back to their pairs."""
+    from ..functions.parsing import parse_pairs
+
+    e = table(spark, sf, "events").select("event_id", F.format_string("{'shop-%s': '%s'}", "event_type", (F.col("event_id") % 5).cast("string")).alias("completion"))
+    return e.select("event_id", F.explode(parse_pairs("completion")).alias("slot", "value"))
+
+
+# --- aggregation extras ---
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(spark, sf):
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
