@@ -91,3 +91,14 @@ def sv_similarity(gold: Column, pred: Column, beta: float = 1.0) -> Column:
     """F-beta of slot-values plus F1 of slots, less one."""
     g, p = single(gold), single(pred)
     return fbeta(g, p, beta) + fbeta(heads(g), heads(p)) - 1
+
+
+def distinct_similarity(gold: Column, gold_heads: Column, pred: Column, pred_heads: Column) -> Column:
+    """``sv_similarity`` at beta 1 of beliefs without repeats (a state's), whose heads were taken before: F1 of sets is
+    twice the intersection over the sum of sizes."""
+
+    def f1(a: Column, b: Column) -> Column:
+        n = F.size(a) + F.size(b)
+        return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.when(n > 0, n))
+
+    return f1(gold, pred) + f1(gold_heads, pred_heads) - 1

@@ -31,8 +31,8 @@ def standardized(both: DataFrame, how: str = "z") -> DataFrame:
 
 def pooled(scored: DataFrame, pool_s: int, pool_b: int) -> DataFrame:
     """Only candidates in the first pool_s of the dense or the first pool_b of the sparse side."""
-    rs = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "label"))
-    rb = F.row_number().over(Window.partitionBy("q").orderBy(F.col("b").desc(), "label"))
+    rs = F.row_number().over(Window.partitionBy("q").orderBy(F.round("s", 9).desc(), "label"))
+    rb = F.row_number().over(Window.partitionBy("q").orderBy(F.round("b", 9).desc(), "label"))
     return scored.withColumn("rs", rs).withColumn("rb", rb).where((F.col("rs") <= pool_s) | (F.col("rb") <= pool_b))
 
 

@@ -119,7 +119,7 @@ _Z = """zz AS (SELECT q, label, s, b, CASE WHEN stddev_pop(s01) OVER w > 1e-12 T
   CASE WHEN stddev_pop(b) OVER w > 1e-12 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0e0 END AS zb FROM (SELECT *, (s + 1) / 2 AS s01 FROM cand) WINDOW w AS (PARTITION BY q))"""
 _MM = """zz AS (SELECT q, label, s, b, CASE WHEN max(s01) OVER w > min(s01) OVER w THEN (s01 - min(s01) OVER w) / (max(s01) OVER w - min(s01) OVER w) ELSE 0e0 END AS zs,
   CASE WHEN max(b) OVER w > min(b) OVER w THEN (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) ELSE 0e0 END AS zb FROM (SELECT *, (s + 1) / 2 AS s01 FROM cand) WINDOW w AS (PARTITION BY q))"""
-_CUT = "cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, label) AS rs, row_number() OVER (PARTITION BY q ORDER BY b DESC, label) AS rb FROM {0}) WHERE rs <= {1} OR rb <= {1})"
+_CUT = "cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, label) AS rs, row_number() OVER (PARTITION BY q ORDER BY round(b, 9) DESC, label) AS rb FROM {0}) WHERE rs <= {1} OR rb <= {1})"
 
 
 def _fused(z: str, score: str, pool: int = 10, source: str = "zz") -> str:
@@ -337,14 +337,13 @@ def belief_pairs(spark, sf) -> DataFrame:
     """q, label, sim of each query turn and each belief class that shares a slot-value with it. The join is on shared
     values, the query side being the small one; a pair counts under the smallest value it shares, so once."""
     beliefs = _beliefs(spark, sf)
-    q = beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), "b", F.explode("b").alias("k"))
-    classes = beliefs.groupBy("b").agg(F.min("event_id").alias("label"))
-    c = classes.select("label", F.col("b").alias("c"), F.explode("b").alias("k"))
-    near = q.join(c, "k").where(F.col("k") == F.array_min(F.array_intersect("b", "c")))
-    return near.select("q", "label", R6(S.sv_similarity(F.col("b"), F.col("c"))).alias("sim"))
+    q = beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), "b", S.heads(F.col("b")).alias("hb"))
+    c = beliefs.groupBy(F.col("b").alias("c")).agg(F.min("event_id").alias("label")).select("label", "c", S.heads(F.col("c")).alias("hc"))
+    near = q.withColumn("k", F.explode("b")).join(c.withColumn("k", F.explode("c")), "k").where(F.col("k") == F.array_min(F.array_intersect("b", "c")))
+    return near.select("q", "label", R6(S.distinct_similarity(F.col("b"), F.col("hb"), F.col("c"), F.col("hc"))).alias("sim"))
 
 
-_PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round({_fb('x.b', 'y.b')} + {_fb('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN cl y ON len(list_intersect(x.b, y.b)) > 0)"
+_PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round(2e0 * len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b)) + 2e0 * len(list_intersect(x.h, y.h)) / (len(x.h) + len(y.h)) - 1, 6) AS sim FROM be x JOIN cl y ON len(list_intersect(x.b, y.b)) > 0)"
 
 
 @query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT q, label, sim FROM pr WHERE sim >= 0.6e0")
