@@ -20,11 +20,12 @@ from .common import held_out, text_rows, written
 _WORD = re.compile(r"[^\W\d_]+")
 #: Sizes of the model: most words, most n-grams and longest n-gram. Counts cover all training rows; the model keeps the most frequent.
 WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
-#: Distinct words that a task counts before it hands them on, and unseen words whose scores a worker keeps.
+#: Distinct words that a task counts before it hands them on, and tokens between white space whose scores a worker keeps.
 HELD = 150_000
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. None spans white space, so those of a text are those of its tokens."""
     return _WORD.findall(text.lower())
 
 
@@ -46,15 +47,24 @@ def _counted(counts: dict[str, Counter], names: tuple[str, str]) -> pa.RecordBat
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over all rows of ``docs`` (text, lang), counted in the tasks before they are shuffled."""
 
+    def handed(held: dict[str, Counter]) -> pa.RecordBatch:
+        words: dict[str, Counter] = {}
+        for lang, tokens in held.items():
+            c = words[lang] = Counter()
+            for token, n in tokens.items():
+                for w in _WORD.findall(token):
+                    c[w] += n
+        return _counted(words, ("lang", "word"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist()):
-                held.setdefault(lang, Counter()).update(words_of(t.as_py()))
+                held.setdefault(lang, Counter()).update(t.as_py().lower().split())
                 if sum(map(len, held.values())) > HELD:
-                    yield _counted(held, ("lang", "word"))
+                    yield handed(held)
                     held = {}
-        yield _counted(held, ("lang", "word"))
+        yield handed(held)
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -84,8 +94,10 @@ class Model:
         self.langs = langs
         self.at = {w: i for i, w in enumerate(words)}
         self.words = self._logs(list(words.values()), word_totals)
-        self.grams = dict(zip(grams, self._logs(list(grams.values()), gram_totals)))
-        self.unseen: dict[str, np.ndarray] = {}
+        self.gram_at = {g: i for i, g in enumerate(grams)}
+        self.grams = self._logs(list(grams.values()), gram_totals)
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((HELD + 1, len(langs)), np.float32)
 
     @staticmethod
     def _logs(counts: list[list[int]], totals: list[int]) -> np.ndarray:
@@ -94,43 +106,63 @@ class Model:
 
     def back_off(self, word: str) -> np.ndarray:
         """The mean over an unseen word's positions of the longest known n-gram that begins there."""
-        if word in self.unseen:
-            return self.unseen[word]
-        w, total, n = f"^{word}$", np.zeros(len(self.langs), np.float32), 0
+        w, get, found = f"^{word}$", self.gram_at.get, []
         for i in range(len(w) - 1):
-            for size in range(min(LONGEST, len(w) - i), 0, -1):
-                g = self.grams.get(w[i : i + size])
+            for end in range(min(i + LONGEST, len(w)), i, -1):
+                g = get(w[i:end])
                 if g is not None:
-                    total, n = total + g, n + 1
+                    found.append(g)
                     break
-        found = total / n if n else total
-        if len(word) <= 64:
-            if len(self.unseen) >= HELD:
-                self.unseen.clear()
-            self.unseen[word] = found
-        return found
+        return self.grams[found].mean(0) if found else np.zeros(len(self.langs), np.float32)
+
+    def of_token(self, token: str) -> np.ndarray:
+        """The sum over a token's words of a known word's log frequencies, or of what it falls back to."""
+        words = [token] if token.isalpha() else _WORD.findall(token)
+        if len(words) == 1:
+            at = self.at.get(words[0])
+            return self.back_off(words[0]) if at is None else self.words[at]
+        found = (self.words[self.at[w]] if w in self.at else self.back_off(w) for w in words)
+        return sum(found, np.zeros(len(self.langs), np.float32))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its share of all languages' likelihood; "und" and 0 without letters."""
-        words = words_of(text or "")
-        if not words or not self.langs:
+        tokens = (text or "").lower().split()
+        if not self.langs or not any(map(_WORD.search, tokens)):
             return "und", 0.0
-        places = list(map(self.at.get, words))
-        known = [p for p in places if p is not None]
-        total = self.words[known].sum(0, dtype=np.float64)
-        if len(known) < len(words):
-            for w, p in zip(words, places):
-                if p is None:
-                    total += self.back_off(w)
+        places = list(map(self.known.get, tokens))
+        if None in places:
+            if len(self.known) + len(tokens) > HELD:
+                self.known.clear()
+            if len(tokens) > HELD:  # a text of more tokens than the table has room for
+                total = sum(map(self.of_token, tokens), np.zeros(len(self.langs)))
+                return self._best(total)
+            for t in tokens:
+                if t not in self.known:
+                    at = self.known[t] = len(self.known)
+                    self.sums[at] = self.of_token(t)
+            places = list(map(self.known.__getitem__, tokens))
+        return self._best(self.sums[places].sum(0, dtype=np.float64))
+
+    def _best(self, total: np.ndarray) -> tuple[str, float]:
         best = int(total.argmax())
         return self.langs[best], 1 / float(np.exp(total - total[best]).sum())
 
 
 def _most(counts: DataFrame, key: str, langs: list[str], most: int) -> dict[str, list[int]]:
-    """The most frequent keys, at most ``most``, with their counts by language."""
+    """Keys with their counts by language: those of the largest totals, as many whole steps of totals as hold at most
+    ``most`` keys. Steps keep three digits of a total, so there are few, and what the driver gets is bounded by ``most``."""
     by_lang = (F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0).cast("long")).alias(f"l{i}") for i, x in enumerate(langs))
-    top = counts.groupBy(key).agg(F.sum("n").alias("n"), *by_lang).orderBy(F.desc("n"), key).limit(most).collect()
-    return {r[key]: [r[f"l{i}"] for i in range(len(langs))] for r in top}
+    keys = written(counts.groupBy(key).agg(F.sum("n").alias("n"), *by_lang), f"{key}-totals")
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0)))
+    step = (F.floor(F.col("n") / unit) * unit).cast("long")
+    left, least = most, None
+    for r in keys.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    top = keys.where(step >= least).collect() if least is not None else []
+    return {r[key]: [r[f"l{i}"] for i in range(len(langs))] for r in sorted(top, key=lambda r: (-r.n, r[key]))}
 
 
 def learn(docs: DataFrame, most_langs: int = 256) -> Model:
