@@ -21,7 +21,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Sizes of the model: most words, most n-grams and longest n-gram. Counts cover all training rows; the model keeps the most frequent.
 WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
 #: Distinct words that a task counts before it hands them on, and tokens between white space whose scores a worker keeps.
-HELD = 150_000
+HELD, SCORED = 150_000, 400_000
 
 
 def words_of(text: str) -> list[str]:
@@ -97,7 +97,7 @@ class Model:
         self.gram_at = {g: i for i, g in enumerate(grams)}
         self.grams = self._logs(list(grams.values()), gram_totals)
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((HELD + 1, len(langs)), np.float32)
+        self.sums = np.zeros((SCORED + 1, len(langs)), np.float32)
 
     @staticmethod
     def _logs(counts: list[list[int]], totals: list[int]) -> np.ndarray:
@@ -113,7 +113,7 @@ class Model:
                 if g is not None:
                     found.append(g)
                     break
-        return self.grams[found].mean(0) if found else np.zeros(len(self.langs), np.float32)
+        return self.grams[found].sum(0) / len(found) if found else np.zeros(len(self.langs), np.float32)
 
     def of_token(self, token: str) -> np.ndarray:
         """The sum over a token's words of a known word's log frequencies, or of what it falls back to."""
@@ -131,9 +131,9 @@ class Model:
             return "und", 0.0
         places = list(map(self.known.get, tokens))
         if None in places:
-            if len(self.known) + len(tokens) > HELD:
+            if len(self.known) + len(tokens) > SCORED:
                 self.known.clear()
-            if len(tokens) > HELD:  # a text of more tokens than the table has room for
+            if len(tokens) > SCORED:  # a text of more tokens than the table has room for
                 total = sum(map(self.of_token, tokens), np.zeros(len(self.langs)))
                 return self._best(total)
             for t in tokens:
