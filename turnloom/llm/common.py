@@ -44,3 +44,11 @@ def held_out(id_col: str | Column, mod: int, rest: int) -> Column:
     """Whether crc32(id as text) mod ``mod`` is ``rest``; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod == rest
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

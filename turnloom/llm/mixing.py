@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Bits of a permutation number, and of the bucket that its highest bits name.
 PERM, BUCKET = 52, 12
@@ -115,17 +115,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     plan = plan.join(by_source, "rank", "left").select("source", "source_size", "target", "whole", "last", "one", "quota", F.transform("leaves", lambda x: x["shard"]).alias("leaves"))
     plan = written(plan, "mix-decisions")
 
-    d = docs.withColumns({"_size": size, "_perm": perm}).alias("d").join(plan.alias("p"), F.expr(f"d.{source_col} <=> p.source"))
+    s, p = fresh(docs, "_size"), fresh(docs, "_perm")
+    d = docs.withColumns({s: size, p: perm}).alias("d").join(plan.alias("p"), F.expr(f"d.{source_col} <=> p.source"))
     unit = float(1 << PERM)
     length = F.col("p.whole") + (F.col("p.last") + 1) / F.lit(unit)
-    copies = F.col("p.whole") + (F.col("d._perm") <= F.greatest("p.last", F.when(F.col("d._perm") == F.col("p.one"), F.col("p.one")))).cast("long")
+    copies = F.col("p.whole") + (F.col(f"d.{p}") <= F.greatest("p.last", F.when(F.col(f"d.{p}") == F.col("p.one"), F.col("p.one")))).cast("long")
 
     def shard(c: Column) -> Column:
-        block = F.least(F.floor((c + F.col("d._perm") / F.lit(unit)) / length * F.col("p.quota")).cast("int"), F.col("p.quota").cast("int") - 1)
-        return F.when(F.col("p.quota") > 0, F.element_at("p.leaves", F.when(F.col("p.quota") > 0, block + 1).otherwise(1))).otherwise(F.col("d._perm") % shards)
+        block = F.least(F.floor((c + F.col(f"d.{p}") / F.lit(unit)) / length * F.col("p.quota")).cast("int"), F.col("p.quota").cast("int") - 1)
+        return F.when(F.col("p.quota") > 0, F.element_at("p.leaves", F.when(F.col("p.quota") > 0, block + 1).otherwise(1))).otherwise(F.col(f"d.{p}") % shards)
 
     taken = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<bigint>"))
-    return d.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("d._size").alias("mix_size"), F.col("p.source_size").alias("mix_source_size"), F.col("p.target").alias("mix_target"), taken.alias("mix_shards"))
+    return d.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col(f"d.{s}").alias("mix_size"), F.col("p.source_size").alias("mix_source_size"), F.col("p.target").alias("mix_target"), taken.alias("mix_shards"))
 
 
 def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
@@ -133,6 +134,7 @@ def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     planned = mix(docs, seed=seed, **options)
     kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order", "mix_size", "mix_source_size", "mix_target", "mix_shards")]
     id_col = options.get("id_col", "doc_id")
-    copies = planned.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("mix_shards").alias("_copy", "mix_shard"))
-    order = _number(F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string"))
-    return copies.withColumn("mix_order", order).drop("_copy")
+    copy = fresh(planned, "_copy")
+    copies = planned.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("mix_shards").alias(copy, "mix_shard"))
+    order = _number(F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy).cast("string"))
+    return copies.withColumn("mix_order", order).drop(copy)

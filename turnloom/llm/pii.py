@@ -180,7 +180,7 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     more = []
     for s, kind, e in plain_spans(plain):
         a, b = back(s, e)
-        if not any(k == kind and x < b and a < y for x, k, y in base):
+        if not any(k == kind and x <= a and b <= y for x, k, y in base):
             more.append((a, kind, b))
     return base, sorted({*base, *more}, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
