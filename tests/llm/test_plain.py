@@ -160,5 +160,6 @@ def test_label_model_finds_accuracies():
     m = toxicity.fit_label_model(len(v), v.sum(0), v.T @ v, 0.2)
     assert np.abs(m.fires[1] - p1).max() < 0.04 and np.abs(m.fires[0] - p0).max() < 0.02
     copied = np.c_[v, v[:, 0]]
-    assert toxicity.fit_label_model(len(v), copied.sum(0), copied.T @ copied, 0.2).weight[0] < 0.8
+    w = toxicity.fit_label_model(len(v), copied.sum(0), copied.T @ copied, 0.2).weight
+    assert w[0] < 0.95 * w[1]
     assert zlib.crc32(b"") == 0

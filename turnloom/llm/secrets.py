@@ -112,7 +112,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base = base_spans(text)
                 every = sorted([*base, *novel_spans(text, base)], key=lambda x: (x[0], KINDS.index(x[1])))
                 kinds = [k for _, k, _ in base]
-                for c, k in zip(cols, KINDS):
+                for c, k in zip(cols, KINDS[:3]):
                     c.append(kinds.count(k))
                 cols[3].append(hashlib.sha256(written_out(base).encode()).hexdigest())
                 cols[4].append(written_out(every))
