@@ -93,6 +93,10 @@ def test_code_and_references():
     assert M.state_reference({"hotel-stay": "6"}, "restaurant-people", "6", ["please"]) is None
 
 
+def test_reference_values():
+    assert M.reference_values({"restaurant-area": "north", "hotel-stars": "dontcare", "bus-x": "1"}, {"hotel-area": "north|east"}, ["same area"]) == ["hotel-starsdontcare", "restaurant-area-state.hotel.area"]
+
+
 def test_aliases_and_numbers():
     assert {"acorn", "the acorn", "the acorn hotel"} <= canonical.aliases("the acorn guest house")
     assert "restaurant two two" in canonical.aliases("restaurant 2 2")

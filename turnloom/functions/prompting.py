@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .parsing import code_name
-from .text import DELETE, blank_none, first_value
+from .text import DELETE, DOMAINS, blank_none, first_value
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -67,6 +67,20 @@ def state_reference(prior: dict[str, str], slot: str, value: str, texts: list[st
     return next((s for s, v in prior.items() if v.lower() == value.lower()), None)
 
 
+def reference_values(delta: dict[str, str], prior: dict[str, str], texts: list[str], prefix: str = "state.", separator: str = ".") -> list[str]:
+    """slot-value strings of a delta in which a value that refers to the prior state is replaced by what it refers to."""
+    prior = {s: v.split("|")[0] for s, v in prior.items()}
+    out = []
+    for slot, value in sorted(delta.items()):
+        said = state_reference(prior, slot, value, texts)
+        if said:
+            domain, _, name = said.partition("-")
+            value = f"{prefix}{domain}{separator}{code_name(name)}"
+        if slot.partition("-")[0] in DOMAINS:
+            out.append(slot + ("" if value in ("none", "dontcare") else "-") + value)
+    return out
+
+
 def model(complete: Callable[[list[dict]], dict[str, float]]) -> Callable[[Column], Column]:
     """A completion model as a column function of prompts: Arrow batches in, a map of completion to log probability out."""
 

@@ -38,12 +38,6 @@ def diverse(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFram
     return cut.groupBy("q").applyInPandas(choose, "q long, label long, rk int")
 
 
-def overlap(a: str, b: str) -> float:
-    """Share of distinct tokens that two texts have in common."""
-    x, y = set(a.split()), set(b.split())
-    return len(x & y) / len(x | y) if x or y else 0.0
-
-
 def diverse_mixed(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
     """As ``diverse`` with the product of both sides' similarities, each by its deviation in the pool; pool has text too."""
 
@@ -88,3 +82,32 @@ def round_robin(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"q": pdf["q"].iloc[0], "label": got, "rk": np.arange(1, len(got) + 1)})
 
     return sides.select("q", "label", "rk", "side").groupBy("q").applyInPandas(choose, "q long, label long, rk int")
+
+
+def diverse_round_robin(dense: DataFrame, sparse: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
+    """A diverse choice from each side (q, label, score, v), then their exact alternation."""
+    return round_robin(diverse(dense, k, weight, size), diverse(sparse, k, weight, size), k)
+
+
+def round_robin_diverse(dense: DataFrame, sparse: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
+    """Greedy over both sides' pools (q, label, rk, score, v, text): the alternation says which side an item counts for;
+    it has that side's score, and loses by that side's similarity (cosine, or shared tokens) to what was chosen."""
+    columns = ["q", "label", "rk", "score", "v", "text", "side"]
+    both = dense.where(F.col("rk") <= size).withColumn("side", F.lit(0)).select(columns).unionByName(sparse.where(F.col("rk") <= size).withColumn("side", F.lit(1)).select(columns))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rk")
+        lists = [pdf.loc[pdf["side"] == i, "label"].tolist() for i in (0, 1)]
+        side: dict = {}
+        for i, x in enumerate(alternate(*lists, len(pdf))):
+            side[x] = i % 2 if x in lists[i % 2] else 1 - i % 2
+        own = pdf[pdf["side"] == pdf["label"].map(side)].sort_values(["score", "label"], ascending=[False, True]).reset_index(drop=True)
+        v = np.stack(own["v"].to_numpy())
+        sets = [frozenset(t.split()) for t in own["text"]]
+        lexical = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
+        # a row is what an item does to the others: each of them loses by its own side's measure
+        similarity = np.where((own["side"] == 0).to_numpy()[None, :], v @ v.T, lexical)
+        at = greedy(own["score"].to_numpy(), similarity, k, weight)
+        return pd.DataFrame({"q": own["q"].iloc[at].to_numpy(), "label": own["label"].iloc[at].to_numpy(), "rk": np.arange(1, len(at) + 1)})
+
+    return both.groupBy("q").applyInPandas(choose, "q long, label long, rk int")

@@ -202,6 +202,20 @@ def multiply_div_top_k(spark, sf):
     return selection.diverse_mixed(_with_vectors(spark, sf, f).join(docs, "label"), 5, 0.2, 20)
 
 
+@query()
+def div_round_robin(spark, sf):
+    sparse, dense = _lists(spark, sf)
+    return selection.diverse_round_robin(_with_vectors(spark, sf, dense), _with_vectors(spark, sf, sparse), 5, 0.5, 20)
+
+
+@query()
+def round_robin_div(spark, sf):
+    sparse, dense = _lists(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text")
+    side = lambda x: _with_vectors(spark, sf, x).join(docs, "label")
+    return selection.round_robin_diverse(side(dense), side(sparse), 5, 0.5, 20)
+
+
 # --- states and metrics over event-derived dialogues ---
 
 
