@@ -187,3 +187,12 @@ def test_pipeline_stages(spark):
     p = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     tokens = sum(len(x) // 2 + 1 for x in Encoder(vocabulary()).encode([r.text or "" for r in docs.collect()]))
     assert p.agg(F.sum("length")).first()[0] == tokens
+
+
+def test_mix_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    names = ["doc_id", "size", "source_size", "target", "taken", "shards"]
+    assert sorted(map(tuple, queries.op7_mixing(spark, SF).select(names).collect())) == sorted(con.execute(queries.oracle_sql()["op7_mixing"]).fetchall())

@@ -12,6 +12,7 @@ from .common import shared_dir
 from .language import identify
 from .media import features, store
 from .mixing import mix
+from .mixing_sql import mix_sql
 from .neighbours import nearest
 from .packing import pack
 from .pii import find_pii
@@ -80,4 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the mix has an SQL form; the others hash, encode, compress or learn."""
+    return {"op7_mixing": mix_sql()}
