@@ -104,6 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     # all buckets before that one are in, and nothing of it if its first document is already too much
     first = F.shiftleft(F.col("e.bucket").cast("long"), PERM - BUCKET) - 1
     last = ends.alias("e").join(run.alias("r"), F.expr("e.source <=> r.source"), "left").select("e.source", F.coalesce("r.last", first).alias("last"), (F.col("e.left") - F.coalesce("r.words", "e.before")).alias("lack"))
+    last = written(last, "mix-last")  # of known size, so that a hot source's rows needn't meet in one task
     # of the documents after the run, the one whose size is nearest to what lacks comes too, if that brings the sum nearer
     after = rows.alias("r").join(last.alias("l"), F.expr("r.source <=> l.source")).where("r.perm > l.last").groupBy("r.source", "r.perm", "l.lack").agg(F.sum("r.size").alias("size"))
     one = after.where("abs(size - lack) < lack").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")), "perm"))["perm"].alias("one"))
