@@ -111,7 +111,7 @@ def random_retriever(spark, sf):
 
 _HYB = (
     fx.SQL_DENSE
-    + ", hd AS (SELECT dense.* FROM dense JOIN documents ON doc_id = label), "
+    + ", hd AS (SELECT dense.* FROM dense JOIN documents a ON a.doc_id = label JOIN documents b ON b.doc_id = q), "
     + fx.sql_bm25("SELECT doc_id AS q, text AS qtext FROM documents WHERE doc_id IN (SELECT q FROM hd)", "SELECT doc_id AS label, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
     + ", cand AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label))"
 )
