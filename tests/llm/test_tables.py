@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnloom.llm import mixing, neighbours, packing, queries, token_files
+from turnloom.llm import language, mixing, neighbours, packing, queries, token_files
 from turnloom.llm.common import shared_dir
 from turnloom.llm.language import identify
 from turnloom.llm.media import features, store
@@ -162,6 +162,29 @@ def test_language_held_out_accuracy(spark):
     assert right >= 0.95 * n
 
 
+def test_language_equals_a_model_of_all_words_and_grams(spark, monkeypatch):
+    """Held words and n-grams are few here, so most are looked up in the tables."""
+    monkeypatch.setattr(language, "WORDS", 40)
+    monkeypatch.setattr(language, "GRAMS", 60)
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "word " * 9 + "zqxj " + "y" * 3000, None), (-2, "7 !", "en"), (-2, None, "en")], docs.schema))
+    rows = docs.collect()
+    train = [r for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5]
+    langs = sorted({r.lang for r in train})
+    words, grams = {}, {}
+    for r in train:
+        for w in language.words_of(r.text):
+            words.setdefault(w, [0] * len(langs))[langs.index(r.lang)] += 1
+    for w, c in words.items():
+        for g in language.grams_of(w):
+            grams[g] = [a + b for a, b in zip(grams.get(g, [0] * len(langs)), c)]
+    m = language.Model(langs, words, [sum(c) for c in zip(*words.values())], grams, [sum(c) for c in zip(*grams.values())])
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in identify(docs).collect())
+    want = sorted((r.doc_id, *m.predict(r.text)) for r in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
 def test_toxicity_of_planted_words(spark):
     rows = [(i, " ".join(["good calm words about rivers"] * 5) + (" you vilezak thing" if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 Known words score by their log frequency in each language; an unseen word falls back to the longest known character
-n-grams at each of its positions, down to single characters.
+n-grams at each of its positions, down to single characters. All counted words and n-grams count: workers hold the most
+frequent ones, and what a text has beyond those is looked up in tables of the rest, by joins.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import held_out, text_rows, written
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Sizes of the model: most words, most n-grams and longest n-gram. Counts cover all training rows; the model keeps the most frequent.
+#: Most words and most n-grams that a worker holds, the most frequent ones (the rest is looked up in tables), and the longest n-gram.
 WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
 #: Distinct words that a task counts before it hands them on, and tokens between white space whose scores a worker keeps.
 HELD, SCORED = 150_000, 400_000
@@ -88,21 +89,29 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams; its size has the bounds WORDS and GRAMS."""
+    """Log frequencies by language of known words and n-grams.
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], word_totals: list[int], grams: dict[str, list[int]], gram_totals: list[int]):
+    ``n_words`` and ``n_grams`` are how many were counted, if more than are given; ``predict`` takes those given for all,
+    ``part`` leaves the words that aren't given to the caller.
+    """
+
+    def __init__(self, langs: list[str], words: dict[str, list[int]], word_totals: list[int], grams: dict[str, list[int]], gram_totals: list[int], n_words: int = 0, n_grams: int = 0):
         self.langs = langs
         self.at = {w: i for i, w in enumerate(words)}
-        self.words = self._logs(list(words.values()), word_totals)
+        self.words = self._logs(list(words.values()), word_totals, n_words)
         self.gram_at = {g: i for i, g in enumerate(grams)}
-        self.grams = self._logs(list(grams.values()), gram_totals)
+        self.grams = self._logs(list(grams.values()), gram_totals, n_grams)
+        self.more_grams = n_grams > len(grams)
         self.known: dict[str, int] = {}
         self.sums = np.zeros((SCORED + 1, len(langs)), np.float32)
+        self.left: dict[str, int] = {}
+        self.left_words: list[list[str]] = []
+        self.left_some = np.zeros(SCORED + 1, bool)
 
     @staticmethod
-    def _logs(counts: list[list[int]], totals: list[int]) -> np.ndarray:
+    def _logs(counts: list[list[int]], totals: list[int], n: int = 0) -> np.ndarray:
         c = np.array(counts, np.float64).reshape(-1, len(totals)) + 0.5
-        return np.log(c / (np.array(totals, np.float64) + 0.5 * max(1, len(counts)))).astype(np.float32)
+        return np.log(c / (np.array(totals, np.float64) + 0.5 * max(1, n, len(counts)))).astype(np.float32)
 
     def back_off(self, word: str) -> np.ndarray:
         """The mean over an unseen word's positions of the longest known n-gram that begins there."""
@@ -143,38 +152,126 @@ class Model:
             places = list(map(self.known.__getitem__, tokens))
         return self._best(self.sums[places].sum(0, dtype=np.float64))
 
+    def part(self, text: str) -> tuple[bool, np.ndarray, dict[str, int]]:
+        """Whether a text has letters, the sum over its held words, and how often it has each of the others."""
+        tokens = text.lower().split()
+        total, others = np.zeros(len(self.langs)), Counter()
+        if not self.langs or not any(map(_WORD.search, tokens)):
+            return False, total, others
+        for i in range(0, len(tokens), SCORED):
+            some = tokens[i : i + SCORED]
+            places = list(map(self.left.get, some))
+            if None in places:
+                if len(self.left) + len(some) > SCORED:
+                    self.left.clear()
+                    self.left_words.clear()
+                for t in some:
+                    if t not in self.left:
+                        self._place(t)
+                places = list(map(self.left.__getitem__, some))
+            at = np.array(places)
+            total += self.sums[at].sum(0, dtype=np.float64)
+            for x, n in zip(*(v.tolist() for v in np.unique(at[self.left_some[at]], return_counts=True))):
+                for w in self.left_words[x]:
+                    others[w] += n
+        return True, total, others
+
+    def _place(self, token: str) -> None:
+        at = self.left[token] = len(self.left)
+        words = [token] if token.isalpha() else _WORD.findall(token)
+        held = [i for w in words if (i := self.at.get(w)) is not None]
+        self.sums[at] = self.words[held].sum(0) if len(held) != 1 else self.words[held[0]]
+        self.left_words.append([w for w in words if w not in self.at] if len(held) < len(words) else [])
+        self.left_some[at] = len(held) < len(words)
+
+    def back_off_part(self, word: str) -> tuple[np.ndarray, int, list[tuple[int, int, str | None, list[float] | None]]]:
+        """The sum over the positions of an unseen word whose longest n-gram is certainly held, their number, and for each
+        other position (position, length, n-gram, log frequencies): the held one, and longer ones to be looked up."""
+        w, get, found, tries = f"^{word}$", self.gram_at.get, [], []
+        for i in range(len(w) - 1):
+            longest = min(i + LONGEST, len(w))
+            end, g = next(((e, g) for e in range(longest, i, -1) if (g := get(w[i:e])) is not None), (i, None))
+            if end < longest and self.more_grams:
+                if g is not None:
+                    tries.append((i, end - i, None, self.grams[g].tolist()))
+                tries += [(i, e - i, w[i:e], None) for e in range(end + 1, longest + 1)]
+            elif g is not None:
+                found.append(g)
+        return self.grams[found].sum(0, dtype=np.float64), len(found), tries
+
     def _best(self, total: np.ndarray) -> tuple[str, float]:
         best = int(total.argmax())
         return self.langs[best], 1 / float(np.exp(total - total[best]).sum())
 
 
-def _most(counts: DataFrame, key: str, langs: list[str], most: int) -> dict[str, list[int]]:
+def _most(counts: DataFrame, key: str, langs: list[str], totals: list[int], most: int) -> tuple[dict[str, list[int]], int, DataFrame]:
     """Keys with their counts by language: those of the largest totals, as many whole steps of totals as hold at most
-    ``most`` keys. Steps keep three digits of a total, so there are few, and what the driver gets is bounded by ``most``."""
+    ``most`` keys; how many keys there are; and the table of the other keys with their log frequencies (key, logs).
+    Steps keep three digits of a total, so there are few, and what the driver gets is bounded by ``most``."""
     by_lang = (F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0).cast("long")).alias(f"l{i}") for i, x in enumerate(langs))
     keys = written(counts.groupBy(key).agg(F.sum("n").alias("n"), *by_lang), f"{key}-totals")
     unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0)))
     step = (F.floor(F.col("n") / unit) * unit).cast("long")
+    steps = keys.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
     left, least = most, None
-    for r in keys.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+    for r in steps:
         left -= r["count"]
         if left < 0:
             break
         least = r.step
+    n = sum(r["count"] for r in steps)
     top = keys.where(step >= least).collect() if least is not None else []
-    return {r[key]: [r[f"l{i}"] for i in range(len(langs))] for r in sorted(top, key=lambda r: (-r.n, r[key]))}
+    held = {r[key]: [r[f"l{i}"] for i in range(len(langs))] for r in sorted(top, key=lambda r: (-r.n, r[key]))}
+    logs = F.array(*(F.log((F.col(f"l{i}") + F.lit(0.5)) / F.lit(t + 0.5 * max(1, n))) for i, t in enumerate(totals)))
+    return held, n, (keys.where(step < least) if least is not None else keys).select(key, logs.alias("logs"))
 
 
-def learn(docs: DataFrame, most_langs: int = 256) -> Model:
-    """A model from all rows of ``docs`` (text, lang) that have both; at most ``most_langs`` languages, the most frequent."""
+def learn(docs: DataFrame, most_langs: int = 256) -> tuple[Model, DataFrame | None, DataFrame | None]:
+    """A model from all rows of ``docs`` (text, lang) that have both, and the tables (word, logs) and (gram, logs) of what
+    it doesn't hold; at most ``most_langs`` languages, the most frequent."""
     words = written(word_counts(docs.where("lang is not null and text is not null")), "words")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], {}, [0], {}, [0])
+        return Model([], {}, [0], {}, [0]), None, None
     grams = written(gram_counts(words), "grams")
-    gram_totals = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(langs, _most(words, "word", langs, WORDS), [totals[x] for x in langs], _most(grams, "gram", langs, GRAMS), [gram_totals[x] for x in langs])
+    by_lang = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    word_totals, gram_totals = [totals[x] for x in langs], [by_lang[x] for x in langs]
+    held, n_words, more_words = _most(words, "word", langs, word_totals, WORDS)
+    held_grams, n_grams, more_grams = _most(grams, "gram", langs, gram_totals, GRAMS)
+    return Model(langs, held, word_totals, held_grams, gram_totals, n_words, n_grams), more_words, more_grams
+
+
+def _summed(df: DataFrame, by: str, vector: str, n: int, times: str | None = None) -> DataFrame:
+    """``by``, and the sum of the vectors (of ``n`` numbers) of its rows, each ``times`` often; and how many there are."""
+    one = [F.col(vector)[i] * F.col(times) if times else F.col(vector)[i] for i in range(n)]
+    sums = df.groupBy(by).agg(F.count("*").alias("rows"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(one)))
+    return sums.select(by, "rows", F.array(*(f"s{i}" for i in range(n))).alias("sums"))
+
+
+def _backed_off(unseen: DataFrame, sent, grams: DataFrame) -> DataFrame:
+    """word, logs of each word of ``unseen`` (word): what it falls back to. ``sent`` broadcasts the model."""
+    schema = "word string, base array<double>, found int, tries array<struct<at:int,n:int,gram:string,logs:array<double>>>"
+    arrow = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("gram", pa.string()), ("logs", pa.list_(pa.float64()))]))
+    width = len(sent.value.langs)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            parts = [m.back_off_part(w) for w in b.column(0).to_pylist()]
+            tries = [[dict(zip(("at", "n", "gram", "logs"), t)) for t in p[2]] for p in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0].tolist() for p in parts], pa.list_(pa.float64())), pa.array([p[1] for p in parts], pa.int32()), pa.array(tries, arrow)], names=["word", "base", "found", "tries"])
+
+    out = unseen.mapInArrow(back, schema)
+    if not sent.value.more_grams:
+        return out.select("word", F.transform("base", lambda x: x / F.greatest("found", F.lit(1))).alias("logs"))
+    out = written(out, "backed-off")
+    tries = out.select("word", F.inline("tries"))
+    looked = tries.where("gram is not null").select("word", "at", "n", "gram").join(grams, "gram").select("word", "at", "n", "logs")
+    longest = tries.where("gram is null").select("word", "at", "n", "logs").unionByName(looked).groupBy("word", "at").agg(F.max_by("logs", "n").alias("logs"))
+    out = out.select("word", "base", "found").join(_summed(longest, "word", "logs", width), "word", "left")
+    total = F.when(F.col("sums").isNull(), F.col("base")).otherwise(F.zip_with("base", "sums", lambda x, y: x + y))
+    return out.select("word", F.transform(total, lambda x: x / F.greatest(F.col("found") + F.coalesce("rows", F.lit(0)), F.lit(1))).alias("logs"))
 
 
 def identify(docs: DataFrame, fold: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -184,14 +281,31 @@ def identify(docs: DataFrame, fold: int = 5, rest: int = 0, id_col: str = "doc_i
     languages teach nothing; repeated rows stay; ties go to the first language by code point.
     """
     out = held_out(id_col, fold, rest)
-    model = learn(docs.where(~out).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    model, more_words, more_grams = learn(docs.where(~out).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    texts = text_rows(docs, id_col, text_col)
+    if not model.langs:
+        return texts.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and most_langs
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            pairs = [m.predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    found = text_rows(docs, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), "lang_pred", "score")
+            parts = [m.part(t.as_py()) for t in b.column(1)]
+            ends = pa.array(np.cumsum([0, *(len(p[2]) for p in parts)]), pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.array([w for p in parts for w in p[2]], pa.string()))
+            times = pa.ListArray.from_arrays(ends, pa.array([n for p in parts for n in p[2].values()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.bool_()), pa.array([p[1].tolist() for p in parts], pa.list_(pa.float64())), words, times], names=["doc_id", "letters", "held", "words", "times"])
+
+    # written, so that a row keeps its number
+    parts = texts.mapInArrow(part, "doc_id long, letters boolean, held array<double>, words array<string>, times array<long>")
+    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "held-parts")
+    others = parts.select("row", F.inline(F.arrays_zip("words", "times"))).toDF("row", "word", "times")
+    unseen = others.select("word").distinct().join(more_words, "word", "left_anti")
+    looked = more_words.unionByName(_backed_off(unseen, sent, more_grams))
+    sums = _summed(others.join(looked, "word"), "row", "logs", len(model.langs), "times")
+    total = F.when(F.col("sums").isNull(), F.col("held")).otherwise(F.zip_with("held", "sums", lambda x, y: x + y))
+    found = parts.select("row", "doc_id", "letters", "held").join(sums, "row", "left").select("doc_id", "letters", total.alias("total"))
+    top = F.array_max("total")
+    best = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", top).cast("int"))
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return found.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), F.when(F.col("letters"), best).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"))
