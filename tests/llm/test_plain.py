@@ -28,6 +28,14 @@ def test_pieces_give_the_library_ids(enc, t):
     assert enc.encode([t]) == enc._whole([t])
 
 
+@pytest.mark.parametrize("t", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y  z", "a <|endoftext| > b"])
+def test_added_tokens_give_the_library_ids(enc, t):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary()).encode(t, add_special_tokens=False).ids
+    assert enc.by_piece and [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(["p q", t, "r"])][1] == want
+
+
 def test_other_tokenizers_are_asked_whole():
     e = Encoder(vocabulary("word_bpe_49k.json"))
     assert not e.by_piece and e.encode(["Hello  world"]) == e._whole(["Hello  world"])

@@ -2,8 +2,8 @@
 
 For a byte-level BPE without normalizer, pieces between pre-token borders are encoded independently, so each distinct
 piece is encoded once per worker (by the library, in batches) and its ids are kept as packed bytes in a bounded table.
-Texts with characters on which Python's ``re`` and the library's pattern might differ, and all other tokenizers, are
-encoded whole by the library.
+Texts with characters on which Python's ``re`` and the library's pattern might differ, texts that contain an added token
+such as ``<|endoftext|>``, and all other tokenizers, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.by_piece = (
             sys.byteorder == "little"
             and spec.get("normalizer") is None
@@ -51,7 +52,6 @@ class Encoder:
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
-            and all(t.get("special") for t in spec.get("added_tokens", []))
         )
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.width, self.kept, self.young, self.old = self.dtype.itemsize, kept, {}, {}
@@ -82,7 +82,7 @@ class Encoder:
             return self._whole(texts)
         split, odd = [], []
         for i, t in enumerate(texts):
-            if UNSAFE.search(t):
+            if UNSAFE.search(t) or self.added.search(t):
                 odd.append(i)
                 split.append(())
             else:
