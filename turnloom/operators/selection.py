@@ -5,12 +5,14 @@ Pools are cut to a fixed size by a window before they are grouped, so a group ne
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import ranked
+from .search import EPSILON, K1, B, ranked, tokens
 
 
 def greedy(scores: np.ndarray, similarity: np.ndarray, k: int, weight: float) -> list[int]:
@@ -25,6 +27,20 @@ def greedy(scores: np.ndarray, similarity: np.ndarray, k: int, weight: float) ->
     return out
 
 
+def bm25_between(docs: list[list[str]]) -> np.ndarray:
+    """BM25 scores within a pool of token lists, as in ``search.bm25_pool_scores``: a row is a member as the query."""
+    n, counts = len(docs), [Counter(d) for d in docs]
+    df = Counter(t for c in counts for t in c)
+    at = {t: i for i, t in enumerate(sorted(df))}
+    w = np.array([np.log(n - df[t] + 0.5) - np.log(df[t] + 0.5) for t in at])
+    idf = np.where(w < 0, EPSILON * w.mean() if len(w) else 0.0, w)
+    f = np.zeros((n, len(at)))
+    for i, c in enumerate(counts):
+        f[i, [at[t] for t in c]] = list(c.values())
+    length = f.sum(1, keepdims=True)
+    return f @ (idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / (length.mean() or 1.0)))).T
+
+
 def diverse(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
     """q, label, rk chosen greedily. ``pool``: q, label, score, v (unit vectors); similarity is cosine."""
 
@@ -38,20 +54,36 @@ def diverse(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFram
     return cut.groupBy("q").applyInPandas(choose, "q long, label long, rk int")
 
 
+def diverse_lexical(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
+    """As ``diverse`` of a sparse list (q, label, score, text); similarity is BM25 within the pool."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "label"], ascending=[False, True]).reset_index(drop=True)
+        at = greedy(pdf["score"].to_numpy(), bm25_between([list(t) for t in pdf["toks"]]), k, weight)
+        return pd.DataFrame({"q": pdf["q"].iloc[at].to_numpy(), "label": pdf["label"].iloc[at].to_numpy(), "rk": np.arange(1, len(at) + 1)})
+
+    cut = ranked(pool, "q", k=size).select("q", "label", "score", _toks())
+    return cut.groupBy("q").applyInPandas(choose, "q long, label long, rk int")
+
+
+def _toks():
+    return F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("toks")
+
+
 def diverse_mixed(pool: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
-    """As ``diverse`` with the product of both sides' similarities, each by its deviation in the pool; pool has text too."""
+    """As ``diverse`` with the product of both sides' similarities (cosine, and BM25 within the pool), each by its deviation
+    in the pool; pool has text too."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "label"], ascending=[False, True]).reset_index(drop=True)
         v = np.stack(pdf["v"].to_numpy())
         cos = v @ v.T
-        sets = [frozenset(t.split()) for t in pdf["text"]]
-        lex = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
+        lex = bm25_between([list(t) for t in pdf["toks"]])
         z = lambda m: (m - m.mean()) / (m.std() or 1.0)
         at = greedy(pdf["score"].to_numpy(), z(cos) * z(lex), k, weight)
         return pd.DataFrame({"q": pdf["q"].iloc[at].to_numpy(), "label": pdf["label"].iloc[at].to_numpy(), "rk": np.arange(1, len(at) + 1)})
 
-    cut = ranked(pool, "q", k=size).select("q", "label", "score", "v", "text")
+    cut = ranked(pool, "q", k=size).select("q", "label", "score", "v", _toks())
     return cut.groupBy("q").applyInPandas(choose, "q long, label long, rk int")
 
 
@@ -85,14 +117,14 @@ def round_robin(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
 
 
 def diverse_round_robin(dense: DataFrame, sparse: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
-    """A diverse choice from each side (q, label, score, v), then their exact alternation."""
-    return round_robin(diverse(dense, k, weight, size), diverse(sparse, k, weight, size), k)
+    """A diverse choice from each side (q, label, score, and v or text), then their exact alternation."""
+    return round_robin(diverse(dense, k, weight, size), diverse_lexical(sparse, k, weight, size), k)
 
 
 def round_robin_diverse(dense: DataFrame, sparse: DataFrame, k: int, weight: float, size: int = 100) -> DataFrame:
     """Greedy over both sides' pools (q, label, rk, score, v, text): the alternation says which side an item counts for;
-    it has that side's score, and loses by that side's similarity (cosine, or shared tokens) to what was chosen."""
-    columns = ["q", "label", "rk", "score", "v", "text", "side"]
+    it has that side's score, and loses by that side's similarity (cosine, or BM25 within the pool) to what was chosen."""
+    columns = ["q", "label", "rk", "score", "v", _toks(), "side"]
     both = dense.where(F.col("rk") <= size).withColumn("side", F.lit(0)).select(columns).unionByName(sparse.where(F.col("rk") <= size).withColumn("side", F.lit(1)).select(columns))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,8 +135,7 @@ def round_robin_diverse(dense: DataFrame, sparse: DataFrame, k: int, weight: flo
             side[x] = i % 2 if x in lists[i % 2] else 1 - i % 2
         own = pdf[pdf["side"] == pdf["label"].map(side)].sort_values(["score", "label"], ascending=[False, True]).reset_index(drop=True)
         v = np.stack(own["v"].to_numpy())
-        sets = [frozenset(t.split()) for t in own["text"]]
-        lexical = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
+        lexical = bm25_between([list(t) for t in own["toks"]])
         # a row is what an item does to the others: each of them loses by its own side's measure
         similarity = np.where((own["side"] == 0).to_numpy()[None, :], v @ v.T, lexical)
         at = greedy(own["score"].to_numpy(), similarity, k, weight)

@@ -176,6 +176,10 @@ def round_robin_exact(spark, sf):
     return selection.round_robin(dense, sparse, 10)
 
 
+def _with_texts(spark, sf, pool):
+    return pool.join(table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text"), "label")
+
+
 def _with_vectors(spark, sf, pool):
     return pool.join(fx.vectors(spark, sf), "label")
 
@@ -192,7 +196,7 @@ def div_select_dense(spark, sf):
 @query()
 def div_select_bm25(spark, sf):
     sparse, _ = _lists(spark, sf)
-    return selection.diverse(_with_vectors(spark, sf, sparse), 5, 0.5, 20)
+    return selection.diverse_lexical(_with_texts(spark, sf, sparse), 5, 0.5, 20)
 
 
 @query()
@@ -205,7 +209,7 @@ def multiply_div_top_k(spark, sf):
 @query()
 def div_round_robin(spark, sf):
     sparse, dense = _lists(spark, sf)
-    return selection.diverse_round_robin(_with_vectors(spark, sf, dense), _with_vectors(spark, sf, sparse), 5, 0.5, 20)
+    return selection.diverse_round_robin(_with_vectors(spark, sf, dense), _with_texts(spark, sf, sparse), 5, 0.5, 20)
 
 
 @query()
