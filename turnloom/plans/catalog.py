@@ -385,6 +385,43 @@ def retriever_quality(spark, sf):
     return f1_topk(spark, sf).groupBy("q").agg(F.avg("sim").alias("m")).agg(R6(F.avg("m")).alias("quality"), F.count("*").alias("queries"))
 
 
+def belief_rows(spark, sf, k: int) -> DataFrame:
+    """q, label, sim, rk: the k turns, of all turns but the query's own, whose beliefs are most similar to a query turn's.
+
+    Distinct beliefs of queries meet all classes of beliefs, empty ones too. A class's first row is the one it is named
+    after, so the first k + 1 rows are among the first k + 1 rows of the first k + 1 classes.
+    """
+    beliefs = _beliefs(spark, sf)
+    c = beliefs.groupBy("b").agg(F.min("event_id").alias("label")).withColumn("h", S.heads(F.col("b")))
+    turns = beliefs.where("event_id % 50 = 0")
+    q = turns.select("b").distinct().select(F.col("b").alias("qb"), S.heads(F.col("b")).alias("qh"))
+    near = q.join(c, F.lit(True)).select("qb", "b", "label", R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h"))).alias("sim"))
+    near = search.ranked(near, "qb", score="sim", k=k + 1).select("qb", "b", "sim")
+    members = search.ranked(beliefs.select("b", F.col("event_id").alias("label")), "b", score="label", k=k + 1, ascending=True).drop("rk")
+    rows = search.ranked(near.join(members, "b").select("qb", "label", "sim"), "qb", score="sim", k=k + 1).drop("rk")
+    own = turns.select(F.col("event_id").alias("q"), F.col("b").alias("qb")).join(rows, "qb").where("q <> label")
+    return search.ranked(own.select("q", "label", "sim"), "q", score="sim", k=k)
+
+
+def _f1(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1e0 ELSE 2e0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
+_ROWS = f"""{_BELIEF}, ar AS (SELECT event_id AS i, b, list_transform(b, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2)) AS h FROM bel),
+pa AS (SELECT x.i AS q, y.i AS label, round({_f1('x.b', 'y.b')} + {_f1('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN ar y ON x.i <> y.i),
+tk AS (SELECT * FROM (SELECT q, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pa) WHERE rk <= 5)"""
+
+
+@query(f"WITH {fx.SQL_STATE}, {_ROWS} SELECT * FROM tk")
+def f1_topk_rows(spark, sf):
+    return belief_rows(spark, sf, 5)
+
+
+@query(f"WITH {fx.SQL_STATE}, {_ROWS} SELECT round(avg(m), 6) AS quality, count(*) AS queries FROM (SELECT q, avg(sim) AS m FROM tk GROUP BY q)")
+def retriever_quality_rows(spark, sf):
+    return belief_rows(spark, sf, 5).groupBy("q").agg(F.avg("sim").alias("m")).agg(R6(F.avg("m")).alias("quality"), F.count("*").alias("queries"))
+
+
 #: A query's pool for mining: its 100 nearest classes (top_range).
 _RANGE = "tr AS (SELECT q, label, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS n FROM pr) WHERE n <= 100)"
 
