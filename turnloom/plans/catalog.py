@@ -442,6 +442,13 @@ def infonce_mining(spark, sf):
     return mining.info_nce(p, 5, 8)
 
 
+@query()
+def infonce_easy_negatives(spark, sf):
+    """What completes the rows of infonce_mining: each anchor's and positive's easy negatives, from all turns."""
+    turns = table(spark, sf, "events").select(F.col("event_id").alias("label"))
+    return mining.easy_negatives(infonce_mining(spark, sf), turns, 8)
+
+
 @query(f"""WITH {fx.SQL_STATE}, {_PAIRS}, {_RANGE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS hi, row_number() OVER (PARTITION BY q ORDER BY sim, label) AS lo FROM tr)
 SELECT q, label, 1e0 AS target FROM r WHERE hi <= 5 UNION ALL SELECT q, label, 0e0 FROM r WHERE lo <= 5""")
 def contrastive_mining(spark, sf):
