@@ -154,6 +154,15 @@ def test_novelty():
     assert secrets.novel_spans("plain x7Gq9Zr2Lm4Tp8Vw1Nc5Kd3", []) == []
 
 
+def test_novelty_of_letters_alone():
+    before, after = "the quick brown fox jumps over the lazy dog, and so on. " * 3, " was sent with the request of the day"
+    for key in ("xQzGqWvZrKLmTpHV", "kVwQpZxRtNbJhGfYcMdLsXaE"):
+        t = f"{before}Authorization: Bearer {key}{after}"
+        assert [t[s:e] for s, _, e in secrets.novel_spans(t, [])] == [key]
+    for word in ("internationalization", "get_password_validator", "1111222233334444"):
+        assert secrets.novel_spans(f"{before}the password for {word}{after}", []) == []
+
+
 def test_backoff():
     m = language.Model(["aa", "bb"], {"foo": [9, 0], "bar": [0, 9]}, [9, 9], {"q": [5, 0], "z": [0, 5]}, [5, 5])
     assert m.predict("foo foo")[0] == "aa" and m.predict("qqq")[0] == "aa" and m.predict("zzz, 7")[0] == "bb"

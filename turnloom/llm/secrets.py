@@ -44,6 +44,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 REACH, AROUND = 48, 192
 #: Least marginal bits a character that are novel; hexadecimal digits have at most 4, base64 at most 6.
 NOVEL = 3.2
+#: The same without digits: long words that the surroundings lack cost about 6, random letters of both cases 7 and more.
+NOVEL_LETTERS = 7.0
 
 _COMPRESSOR = None
 
@@ -76,7 +78,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def novel_spans(text: str, known: list[Span]) -> list[Span]:
-    """Candidates of high marginal cost that no known span touches. Letters and digits must both occur."""
+    """Candidates of high marginal cost that no known span touches; of letters alone, of a higher cost."""
     found, done = [], 0
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
@@ -88,9 +90,10 @@ def novel_spans(text: str, known: list[Span]) -> list[Span]:
                 break
             at = done = m.end()
             c = m[0]
-            if any(s < m.end() and m.start() < e for s, _, e in known) or not (any(x.isdigit() for x in c) and any(x.isalpha() for x in c)):
+            if any(s < m.end() and m.start() < e for s, _, e in known) or not any(x.isalpha() for x in c):
                 continue
-            if marginal_bits(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND]) >= NOVEL:
+            least = NOVEL if any(x.isdigit() for x in c) else NOVEL_LETTERS
+            if marginal_bits(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND]) >= least:
                 found.append((m.start(), "novel", m.end()))
     return found
 
