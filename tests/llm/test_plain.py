@@ -180,3 +180,12 @@ def test_label_model_finds_accuracies():
     w = toxicity.fit_label_model(len(v), copied.sum(0), copied.T @ copied, 0.2).weight
     assert w[0] < 0.95 * w[1]
     assert zlib.crc32(b"") == 0
+
+
+def test_label_model_of_few_documents():
+    r = np.random.default_rng(1)
+    y = np.arange(60) % 4 == 0
+    v = (r.random((60, 4)) < np.where(y[:, None], 0.8, 0.02)).astype(float)
+    assert v.sum(0).max() < 20
+    p = toxicity.fit_label_model(60, v.sum(0), v.T @ v, 0.25).posterior(v > 0)
+    assert p[y].min() > 0.25 > p[~y & (v.sum(1) == 0)].max()

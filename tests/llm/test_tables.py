@@ -15,7 +15,7 @@ from turnloom.llm.pii import find_pii, redacted
 from turnloom.llm.secrets import find_secrets
 from turnloom.llm.simhash import deduplicated, near_duplicates
 from turnloom.llm.tokenizing import Encoder, vocabulary
-from turnloom.llm.toxicity import toxicity, without_toxic
+from turnloom.llm.toxicity import choose_features, toxicity, without_toxic
 from turnloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -185,6 +185,13 @@ def test_language_equals_a_model_of_all_words_and_grams(spark, monkeypatch):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
 
 
+def test_every_feature_that_passes_is_taken(spark):
+    words = [f"{a}{b}{c}" for a in "qxzvk" for b in "abcdefghij" for c in "mnoprstuwy"]
+    rows = [(" ".join(words) if i % 2 else "calm talk of rivers", i % 2) for i in range(60)]
+    found = choose_features(spark.createDataFrame(rows, "text string, toxic int"), 0.5).features
+    assert set(words) <= set(found)
+
+
 def test_toxicity_of_planted_words(spark):
     rows = [(i, " ".join(["good calm words about rivers"] * 5) + (" you vilezak thing" if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

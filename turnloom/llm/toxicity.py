@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, text_rows, written
 
-#: Bounds: labelled training rows, features of a model, lexicon voters.
-SAMPLE, FEATURES, LEXICONS = 20_000, 400, 16
+#: Bounds: labelled training rows, lexicon voters.
+SAMPLE, LEXICONS = 20_000, 16
+#: Votes at which what a voter's own votes say counts half.
+HALF = 20
 #: A feature needs this share of toxic documents among those it is in.
 PRECISION = 0.8
 #: Distinct features that a task counts before it hands them on.
@@ -97,8 +99,9 @@ class Lexicon:
         return votes
 
 
-def choose_features(labelled: DataFrame, share: float, most: int = FEATURES) -> Lexicon:
-    """The features that mark toxic rows of ``labelled`` (text, toxic) best: most toxic rows first, each at PRECISION."""
+def choose_features(labelled: DataFrame, share: float) -> Lexicon:
+    """All features that mark toxic rows of ``labelled`` (text, toxic), each at PRECISION: most toxic rows first. Their
+    number is bounded by that of the rows and the test."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
@@ -122,7 +125,7 @@ def choose_features(labelled: DataFrame, share: float, most: int = FEATURES) ->
     says = t * F.log(t / n / F.lit(share)) + F.when(n > t, (n - t) * F.log((n - t) / n / F.lit(1 - share))).otherwise(0.0)
     good = sums.where(t >= PRECISION * n).where(says >= 1 + math.log(max(1, sums.count())))
     # a beginning stands for its words and is preferred where it marks more rows
-    top = good.orderBy((F.col("toxic") - 4 * F.col("clean")).desc(), F.length("feature"), "feature").limit(most).collect()
+    top = good.orderBy((F.col("toxic") - 4 * F.col("clean")).desc(), F.length("feature"), "feature").collect()
     return Lexicon(tuple(r.feature for r in top))
 
 
@@ -142,46 +145,61 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _median(weighted: list[tuple[float, float]]) -> float:
+    """Of (value, weight): where half of the weight lies on either side."""
+    v, w = np.array(sorted(weighted)).T
+    below = np.cumsum(w) - w / 2
+    return float(np.interp(w.sum() / 2, below, v))
+
+
 def fit_label_model(n: int, ones: np.ndarray, pairs: np.ndarray, share: float) -> LabelModel:
     """From the moments of ``n`` documents' votes: how often each voter fires, and each pair together.
 
     With hidden label variance s = share (1 - share), the covariance of two voters independent given the label is
     s a_i a_j, a_i being by how much likelier voter i fires on toxic documents. Each a_i is the median over pairs (j, k)
     of sqrt(C_ij C_ik / C_jk / s); what a pair's covariance has beyond that is its correlation. Correlated voters share
-    their weight.
+    their weight. What a voter says is shrunk by how seldom it fires, and counts less in the others' medians.
     """
     m, s = len(ones), share * (1 - share)
     mean = ones / max(n, 1)
     cov = pairs / max(n, 1) - np.outer(mean, mean)
-    alive = mean * n >= 20
+    alive, sure = ones > 0, ones / (ones + HALF)
     a = np.zeros(m)
     for i in np.flatnonzero(alive):
         others = [j for j in np.flatnonzero(alive) if j != i and cov[i, j] > 0]
-        trips = [cov[i, j] * cov[i, k] / cov[j, k] / s for x, j in enumerate(others) for k in others[:x] if cov[j, k] > 1e-12]
-        a[i] = np.sqrt(np.median(trips)) if trips else 0
-    high = np.clip(mean + (1 - share) * a, 1e-4, 0.999)
-    low = np.clip(mean - share * a, 1e-4, 0.999)
+        trips = [(cov[i, j] * cov[i, k] / cov[j, k] / s, sure[j] * sure[k]) for x, j in enumerate(others) for k in others[:x] if cov[j, k] > 1e-12]
+        a[i] = np.sqrt(_median(trips)) if trips else 0
+    high = np.clip(mean + (1 - share) * a * sure, 1e-4, 0.999)
+    low = np.clip(mean - share * a * sure, 1e-4, 0.999)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     extra = (cov - s * np.outer(a, a)) / np.outer(spread, spread)
     np.fill_diagonal(extra, 0)
-    correlation = np.where(np.outer(alive, alive), np.clip(extra, -1, 1), 0)
+    correlation = np.where(np.outer(alive, alive), np.clip(extra, -1, 1) * np.outer(sure, sure), 0)
     weight = np.where(alive, 1 / (1 + np.maximum(correlation - 0.1, 0).sum(1)), 0)
     return LabelModel(np.stack([np.minimum(low, high), high]), weight, share, correlation)
 
 
 def fit_classifier(hits: list[list[int]], labels: np.ndarray, width: int, penalty: float = 0.02, rounds: int = 12) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic regression on which features a document has, by Newton's method."""
-    x = np.zeros((len(hits), width + 1), np.float32)
-    x[:, -1] = 1
-    for i, h in enumerate(hits):
-        x[i, h] = 1
+    """Weights (the last is the bias) of a logistic regression on which features a document has, by Newton's method. Rows
+    are spread out in blocks, so that memory follows the features and not their product with the rows."""
+
+    def blocks(size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(hits), size):
+            x = np.zeros((len(hits[start : start + size]), width + 1), np.float32)
+            x[:, -1] = 1
+            for i, h in enumerate(hits[start : start + size]):
+                x[i, h] = 1
+            yield x, labels[start : start + size]
+
     w = np.zeros(width + 1)
     ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (labels - p) - ridge * w
-        h = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
+        g, h = -ridge * w, np.zeros((width + 1, width + 1))
+        for x, y in blocks():
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g += x.T @ (y - p)
+            h += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
         w = w + np.linalg.solve(h + np.diag(ridge), g)
     return w
 
