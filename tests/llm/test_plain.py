@@ -19,13 +19,21 @@ ODD = st.text(alphabet="aé ß'’\n\t 12_.,-日😀ªµ½²\x1c\x85st", max_siz
 
 @pytest.fixture(scope="module")
 def enc():
-    return Encoder(vocabulary(), kept=200)
+    return Encoder(vocabulary(), kept=2000)
 
 
-@settings(max_examples=300, deadline=None)
-@given(ODD)
-def test_pieces_give_the_library_ids(enc, t):
-    assert enc.encode([t]) == enc._whole([t])
+PIECES = st.lists(st.sampled_from(["a", "it's", "'s", "'rest", "'", "''", "'LL", "'ll", " ", "  ", "\n", "\n\n", "\t", "é", "Ÿ", "ɏ", "×", "12", "7", "!", "…", "—", "€", "ab.c", "漢", "½", "\x1c", "\x85", "\xa0", "<", "|"]), max_size=14).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(PIECES | ODD, max_size=6))
+def test_pieces_give_the_library_ids(enc, texts):
+    assert enc.encode(texts) == enc._whole(texts)
+
+
+def test_long_texts_give_the_library_ids(enc):
+    texts = ["a" * 200_000, " " * 100_000, "é ' " * 50_000, "", "word's\n " * 30_000]
+    assert enc.encode(texts) == enc._whole(texts)
 
 
 @pytest.mark.parametrize("t", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y  z", "a <|endoftext| > b"])

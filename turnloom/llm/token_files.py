@@ -68,8 +68,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         with fs.open_output_stream(f"{root}/{stem}.ids") as out:
             for b in batches:
                 doc = b.column(0)
-                for one in range(0, b.num_rows, 512):
-                    packed = enc.encode(b.column(1).slice(one, 512).to_pylist())
+                for one in range(0, b.num_rows, 4096):
+                    packed = enc.encode(b.column(1).slice(one, 4096))
                     out.write(end.join(packed) + end)
                     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.width + 1
                     offsets += (n_ids + np.cumsum(sizes)).tolist()
