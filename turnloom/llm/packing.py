@@ -57,41 +57,45 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = 16_384) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids; a row a piece, in the columns of LEFT.
 
-    Each task encodes its rows and packs their pieces; bins with a gap then are opened again and their pieces packed once
-    more, ``fan_in`` tasks' together, so no task sees more than a bounded number of tasks' leftovers. Null texts are empty
-    (the end id alone); repeated rows are packed each on its own; an empty table gives no rows.
+    Each task encodes its rows and packs their pieces; sequences with a gap then are opened again and their pieces packed
+    once more, about ``rows`` of them together, dealt by their sequence's number: as many teams as there are pieces for, so
+    that none grows with the table. Null texts are empty (the end id alone); very long texts are cut; repeated rows are
+    packed each on its own; of equal lengths the earlier row comes first; an empty table gives no rows.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
-        found: list[tuple] = []
+        found: list[list] = [[] for _ in range(5)]
         for b in batches:
-            for one in range(0, b.num_rows, 512):
-                ids = b.column(0).slice(one, 512).to_pylist()
-                for doc, packed in zip(ids, enc.encode(b.column(1).slice(one, 512).to_pylist())):
+            for one in range(0, b.num_rows, 4096):
+                ids = b.column(0).slice(one, 4096).to_pylist()
+                for doc, packed in zip(ids, enc.encode(b.column(1).slice(one, 4096))):
                     wide = np.frombuffer(packed + end, enc.dtype).astype("<u4")
                     for k, (s, n) in enumerate(pieces_of(len(wide), capacity)):
-                        found.append((doc, k, s, n, zlib.crc32(wide[s : s + n])))
-        if not found:
+                        for column, x in zip(found, (doc, k, s, n, zlib.crc32(wide[s : s + n]))):
+                            column.append(x)
+        if not found[0]:
             return
-        doc, piece, start, length, crc = zip(*found)
+        doc, piece, start, length, crc = found
         bins, offsets, gaps = sum_of_squares(np.array(length, np.int64), capacity)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((part << 32) + bins), pa.array(offsets), pa.array(gaps[bins] > 0), pa.array(np.full(len(doc), part // fan_in))],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "team"],
+            [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((part << 32) + bins), pa.array(offsets), pa.array(gaps[bins] > 0)],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"],
         )
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         bins, offsets, _ = sum_of_squares(pdf["length"].to_numpy(), capacity)
         # ids of the second round count down from -1, apart from those of the first
-        return pdf.assign(sequence_id=-1 - ((pdf["team"].to_numpy() << 40) + bins), offset=offsets).drop(columns=["open", "team"])
+        return pdf.assign(sequence_id=-1 - ((pdf["team"].to_numpy() << 40) + bins), offset=offsets).drop(columns="team")
 
-    first = written(text_rows(docs, id_col, text_col).mapInArrow(local, f"{LEFT}, open boolean, team long"), "packed")
-    done = first.where(~F.col("open")).drop("open", "team")
-    return done.unionByName(first.where("open").groupBy("team").applyInPandas(again, LEFT))
+    first = written(text_rows(docs, id_col, text_col).mapInArrow(local, f"{LEFT}, open boolean"), "packed")
+    done, opened = first.where(~F.col("open")).drop("open"), first.where("open").drop("open")
+    teams = max(1, -(-opened.count() // rows))
+    dealt = opened.withColumn("team", F.pmod(F.xxhash64("sequence_id"), F.lit(teams)))
+    return done.unionByName(dealt.groupBy("team").applyInPandas(again, LEFT))
