@@ -197,3 +197,52 @@ def test_label_model_of_few_documents():
     assert v.sum(0).max() < 20
     p = toxicity.fit_label_model(60, v.sum(0), v.T @ v, 0.25).posterior(v > 0)
     assert p[y].min() > 0.25 > p[~y & (v.sum(1) == 0)].max()
+
+
+def _naive_novel(t, known):
+    """The same candidates by one search from every sensitive word to the text's end."""
+    found, done = [], 0
+    for w in re.finditer("|".join(secrets.SENSITIVE), t, re.A | re.I):
+        at = max(done, w.end())
+        for m in re.compile(r"[A-Za-z0-9+/_.=~-]{16,}").finditer(t, at):
+            if m.start() > w.end() + secrets.REACH or at > w.end() + secrets.REACH:
+                break
+            done, c = m.end(), m[0]
+            if any(s < m.end() and m.start() < e for s, _, e in known) or not any(x.isalpha() for x in c):
+                continue
+            least = secrets.NOVEL if any(x.isdigit() for x in c) else secrets.NOVEL_LETTERS
+            if secrets.marginal_bits(t[max(0, m.start() - secrets.AROUND) : m.start()], c, t[m.end() : m.end() + secrets.AROUND]) >= least:
+                found.append((m.start(), "novel", m.end()))
+    return found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "secret", " ", ", ", "x7Gq9Zr2Lm4Tp8Vw1", "Nc5Kd3", "a" * 40, "bearer ", "the", "b" * 60 + " ", "=", "0f" * 20]), max_size=30).map("".join))
+def test_novel_spans_equal_a_naive_search(t):
+    known = secrets.base_spans(t)
+    assert secrets.novel_spans(t, known) == _naive_novel(t, known)
+
+
+@pytest.mark.parametrize("t", ["token " * 170_000, "token" * 200_000, "secret x7Gq9Zr2Lm4Tp8Vw1Nc5 " * 3_000, "password=" + "Z1" * 500_000], ids=["words", "run", "keys", "value"])
+def test_secrets_of_long_texts(t):
+    import time
+
+    start = time.process_time()
+    base = secrets.base_spans(t)
+    found = secrets.novel_spans(t, base)
+    assert time.process_time() - start < 20 and all(e - s >= secrets.SHORTEST for s, _, e in found)
+    assert len(base) == t.startswith("password")
+
+
+@pytest.mark.parametrize("t, n", [("а" + " " * 1_000_000, 0), ("а" + " [" * 400_000, 0), ("joе@exаmple.com, " * 20_000, 20_000), ("а " + "a@b.co " * 60_000, 0), ("one " * 5 + "plus-" * 100_000, 0)], ids=["spaces", "brackets", "disguised", "plain", "plus"])
+def test_personal_data_of_long_texts(t, n):
+    import time
+
+    start = time.process_time()
+    base, every = pii.spans(t)
+    assert time.process_time() - start < 20 and len(every) - len(base) == n
+
+
+def test_brackets_take_the_spaces_around_them():
+    t = "bob   ( at )  mail  [dot]   com"
+    assert [t[s:e] for s, _, e in pii.spans(t)[1]] == [t]

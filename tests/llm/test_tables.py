@@ -1,5 +1,7 @@
 """The operators on tables: odd rows, empty tables, clashing columns, and brute force."""
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +21,7 @@ from turnloom.llm.toxicity import choose_features, toxicity, without_toxic
 from turnloom.session import table
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # has secrets and personal data
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, _size string, _perm int, hits string, copies long, mix_shard int, label string"
 TEXTS = [None, "", "   ", "the cat", "the cat", "word " * 30_000, "x" * 50_000, "a@b.co " * 3, "Ünïcode ＡＢ​ 日本", "the quick brown fox jumps over it"]
 
@@ -226,3 +229,65 @@ def test_mix_equals_its_sql(spark):
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     names = ["doc_id", "size", "source_size", "target", "taken", "shards"]
     assert sorted(map(tuple, queries.op7_mixing(spark, SF).select(names).collect())) == sorted(con.execute(queries.oracle_sql()["op7_mixing"]).fetchall())
+
+
+def _digest(found, kinds):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in sorted(found, key=lambda x: (x[0], kinds.index(x[1])))).encode()).hexdigest()
+
+
+def test_secrets_of_the_query_by_plain_patterns(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, LARGER, "documents").select("doc_id", "text").collect()}
+    some = 0
+    for r in queries.op6_zstd_novelty_secrets(spark, LARGER).collect():
+        t = texts[r.doc_id]
+        a = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        k = [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        h = [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (len(a), len(k), len(h), _digest(a + k + h, ("assign", "access", "hex")))
+        assert {f"{x}:{s}:{e}" for s, x, e in a + k + h} <= set(r.spans.split(","))
+        some += len(a + k + h)
+    assert some
+
+
+def test_personal_data_of_the_query_by_plain_patterns(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, LARGER, "documents").select("doc_id", "text").collect()}
+    some = 0
+    for r in queries.op8_deobfuscated_pii(spark, LARGER).collect():
+        t = texts[r.doc_id]
+        e = [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        i = [(m.start(), "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        p = [(m.start(), "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        c = []
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = [int(x) for x in m[0] if x.isdigit()]
+            if 12 <= len(d) <= 19 and sum(v if j % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for j, v in enumerate(reversed(d))) % 10 == 0:
+                c.append((m.start(), "card", m.end()))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == (len(e), len(i), len(c), len(p), _digest(e + i + c + p, ("email", "ip", "card", "phone")))
+        some += len(e + i + c + p)
+    assert some
+
+
+def test_packing_by_a_naive_rule(spark):
+    """The query's rows against the library's ids; the squares rule against one that tries every open bin."""
+    e, want = Encoder(vocabulary()), []
+    for r in table(spark, SF, "documents").select("doc_id", "text").collect():
+        ids = np.r_[np.frombuffer(e._whole([r.text or ""])[0], e.dtype), 0].astype("<u4")
+        first = len(ids) % 2048 or 2048
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    p = queries.op3_best_fit_packing(spark, SF).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(p[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    before = p.groupby("sequence_id")["length"].cumsum() - p["length"]
+    assert (before == p["offset"]).all() and p.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert p["sequence_id"].nunique() <= 1.05 * -(-p["length"].sum() // 2048)
+    r = np.random.default_rng(2)
+    lengths, gaps = np.sort(r.integers(1, 20, 120))[::-1], []
+    for s in lengths.tolist():
+        def squares(g):
+            left = [x for x in g if x]
+            return sum(left.count(x) ** 2 for x in set(left))
+        tries = [(squares(gaps[:i] + [g - s] + gaps[i + 1 :]), g, i) for i, g in enumerate(gaps) if g >= s]
+        new = (squares(gaps + [20 - s]), 21, len(gaps))
+        best = min([*tries, new])
+        gaps = gaps[: best[2]] + [(20 if best == new else best[1]) - s] + gaps[best[2] + 1 :]
+    assert sorted(packing.sum_of_squares(lengths, 20)[2].tolist()) == sorted(gaps)

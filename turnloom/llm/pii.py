@@ -96,8 +96,8 @@ LOOKALIKES = dict(zip("асеорхуіјѕһԁԛԝνοικρταΑΒΕΖΗΙΚ
 _ODD = "[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‍‐-‒⁠﻿！-～\U0001d400-\U0001d7ff]"
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _RUN = rf"(?:\bplus[\x20-]*)?\b{_WORD}(?:[\x20,.-]{{1,2}}{_WORD}){{{SPELLED - 1},}}\b"
-_AT = r"[\x20]*[\[({<][\x20]*(?:at|@|arroba|ät)[\x20]*[\])}>][\x20]*"
-_DOT = r"[\x20]*[\[({<][\x20]*(?:dot|\.|punkt|point|punto)[\x20]*[\])}>][\x20]*"
+_AT = r"[\[({<][\x20]*(?:at|@|arroba|ät)[\x20]*[\])}>][\x20]*"
+_DOT = r"[\[({<][\x20]*(?:dot|\.|punkt|point|punto)[\x20]*[\])}>][\x20]*"
 _AT_WORD = r"(?<=[a-z0-9])\x20at\x20(?=[a-z0-9-]+(?:\x20dot\x20|\.)[a-z]+)"
 _DOT_WORD = r"(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9])"
 _DISGUISE = re.compile(f"(?P<odd>{_ODD})|(?P<run>{_RUN})|(?P<at>{_AT}|{_AT_WORD})|(?P<dot>{_DOT}|{_DOT_WORD})", re.I)
@@ -149,7 +149,11 @@ def transduce(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]]:
             n += len(s)
 
     for m in _DISGUISE.finditer(text):
-        put(text[at : m.start()], at, m.start(), True)
+        start = m.start()
+        if m.lastgroup in ("at", "dot"):  # the spaces before a bracket belong to it
+            while start > at and text[start - 1] == " ":
+                start -= 1
+        put(text[at:start], at, start, True)
         at = m.end()
         if m.lastgroup == "odd":
             new = _plain_char(m[0])
@@ -158,7 +162,7 @@ def transduce(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]]:
             new = "+" * low.startswith("plus") + "".join(DIGIT_WORDS[w] for w in re.findall(_WORD, low.removeprefix("plus")))
         else:
             new = "@" if m.lastgroup == "at" else "."
-        put(new, m.start(), m.end(), False)
+        put(new, start, m.end(), False)
     put(text[at:], at, len(text), True)
 
     def back(s: int, e: int) -> tuple[int, int]:
@@ -177,10 +181,13 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     plain, back = transduce(text)
     if plain == text:
         return base, base
+    # spans of a kind don't overlap, so only the last that begins at or before another can contain it
+    of = {k: [(x, y) for x, j, y in base if j == k] for k in KINDS}
     more = []
     for s, kind, e in plain_spans(plain):
         a, b = back(s, e)
-        if not any(k == kind and x <= a and b <= y for x, k, y in base):
+        i = bisect_right(of[kind], a, key=lambda p: p[0])
+        if not i or of[kind][i - 1][1] < b:
             more.append((a, kind, b))
     return base, sorted({*base, *more}, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
@@ -200,8 +207,9 @@ def redact(text: str, found: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, counts of the plain spans by kind, base_sha256 of them, and spans (all). Null texts are empty;
-    repeated rows stay; an empty table gives no rows."""
+    """Per row: doc_id, counts of the plain spans by kind, base_sha256 of them, and spans (all). Null texts are empty; null
+    ids stay; very long texts are read whole, in linear time; spans of equal start come in the order of KINDS; repeated rows
+    stay; an empty table gives no rows; other columns aren't read."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +228,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data masked in its text, and n_chars, if there, to match; null texts stay null."""
+    """``docs`` with personal data masked in its text, and n_chars, if there, to match. Null texts stay null, empty ones
+    empty; very long ones are masked whole; overlapping spans are masked as one; repeated rows stay; an empty table gives no
+    rows; all other columns stay as they are."""
     @F.pandas_udf("string")
     def mask(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else redact(t, spans(t)[1]))

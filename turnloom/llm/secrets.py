@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +41,11 @@ mongodb redis amazonaws.com googleapis.com github.com example.com http:// https:
 YOUR_API_KEY_HERE REPLACE_ME CHANGE_ME changeme placeholder xxxxxxxxxxxxxxxx 0123456789abcdef abcdefghijklmnopqrstuvwxyz
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000-0000-0000-0000-000000000000 get_user_by_id set_password_hash validate_session_token
 """
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
-#: Characters after a sensitive word within which a candidate begins; characters of surroundings on either side.
+_KEY = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+#: Characters of a candidate at least.
+SHORTEST = 16
+#: Defaults of two parameters. A candidate begins at most REACH characters after a sensitive word's end (what begins later is
+#: no candidate); AROUND characters on either side are its surroundings (repetition further away doesn't lower its cost).
 REACH, AROUND = 48, 192
 #: Least marginal bits a character that are novel; hexadecimal digits have at most 4, base64 at most 6.
 NOVEL = 3.2
@@ -77,23 +82,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def novel_spans(text: str, known: list[Span]) -> list[Span]:
-    """Candidates of high marginal cost that no known span touches; of letters alone, of a higher cost."""
+def novel_spans(text: str, known: list[Span], reach: int = REACH, around: int = AROUND) -> list[Span]:
+    """Candidates of high marginal cost that no known span touches; of letters alone, of a higher cost. Each sensitive
+    word looks at the ``reach`` characters after it alone, and no stretch of key characters is measured twice."""
     found, done = [], 0
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
+    starts = [s for s, _, _ in known]
+    ends = list(accumulate((e for _, _, e in known), max))
     for w in _SENSITIVE.finditer(text):
-        at, limit = max(done, w.end()), w.end() + REACH
-        while (m := _CANDIDATE.search(text, at, len(text))) if at <= limit else None:
-            if m.start() > limit:
-                break
-            at = done = m.end()
-            c = m[0]
-            if any(s < m.end() and m.start() < e for s, _, e in known) or not any(x.isalpha() for x in c):
+        at, limit = max(done, w.end()), w.end() + reach
+        while at <= limit and (m := _KEY.search(text, at, limit + 1)):
+            if m.end() > limit:  # the stretch goes on beyond the window
+                m = _KEY.match(text, m.start())
+            at, n = m.end(), m.end() - m.start()
+            if n < SHORTEST:
+                continue
+            done, c, i = at, m[0], bisect_left(starts, m.end())
+            if i and ends[i - 1] > m.start() or not any(x.isalpha() for x in c):
                 continue
             least = NOVEL if any(x.isdigit() for x in c) else NOVEL_LETTERS
-            if marginal_bits(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND]) >= least:
+            if marginal_bits(text[max(0, m.start() - around) : m.start()], c, text[m.end() : m.end() + around]) >= least:
                 found.append((m.start(), "novel", m.end()))
     return found
 
@@ -102,9 +112,10 @@ def written_out(found: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in found)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, counts of the known forms, base_sha256 of their spans, and spans (all). Null texts are empty;
-    repeated rows stay; an empty table gives no rows."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, around: int = AROUND) -> DataFrame:
+    """Per row: doc_id, counts of the known forms, base_sha256 of their spans, and spans (all). Null texts are empty; null
+    ids stay; very long texts are read whole, in linear time; spans of equal start come in the order of KINDS; repeated rows
+    stay; an empty table gives no rows; other columns aren't read."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +124,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in b.column(1):
                 text = t.as_py()
                 base = base_spans(text)
-                every = sorted([*base, *novel_spans(text, base)], key=lambda x: (x[0], KINDS.index(x[1])))
+                every = sorted([*base, *novel_spans(text, base, reach, around)], key=lambda x: (x[0], KINDS.index(x[1])))
                 kinds = [k for _, k, _ in base]
                 for c, k in zip(cols, KINDS[:3]):
                     c.append(kinds.count(k))
