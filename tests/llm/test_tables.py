@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnloom.llm import language, mixing, neighbours, packing, queries, token_files
+from turnloom.llm import language, mixing, neighbours, packing, queries, simhash, token_files
 from turnloom.llm.common import shared_dir
 from turnloom.llm.language import identify
 from turnloom.llm.media import features, store
@@ -291,3 +291,38 @@ def test_packing_by_a_naive_rule(spark):
         best = min([*tries, new])
         gaps = gaps[: best[2]] + [(20 if best == new else best[1]) - s] + gaps[best[2] + 1 :]
     assert sorted(packing.sum_of_squares(lengths, 20)[2].tolist()) == sorted(gaps)
+
+
+def _linked(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if (p := find(a)) != (q := find(b)):
+            parent[max(p, q)] = min(p, q)
+    return {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_near_links_by_brute_force(spark, bucket):
+    """Clusters with equal segments, whose candidates are mostly rejected; with small buckets most go the other way."""
+    r = np.random.default_rng(9)
+    fps = {0, -1}
+    for _ in range(6):
+        centre = int(r.integers(-(1 << 63), 1 << 63))
+        for _ in range(40):
+            x = centre
+            for bit in r.choice(64, r.integers(0, 6), replace=False) if r.random() < 0.5 else r.choice(32, r.integers(0, 9), replace=False):
+                x ^= 1 << int(bit) if bit < 63 else -(1 << 63)
+            fps.add(x)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    near = [(a, b) for a in fps for b in fps if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
+    links = [tuple(x) for x in simhash.near_links(df, bucket).collect()]
+    assert set(links) <= set(near) and len(links) == len(set(links)) and _linked(links) == _linked(near)
+    if bucket == simhash.BUCKET:
+        fetched = simhash.lookups(df).join(simhash.segment_tables(df), "key").where("fp <> other").count()
+        assert set(links) == set(near) and fetched > 4 * len(near)  # verification rejects most

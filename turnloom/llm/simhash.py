@@ -1,10 +1,14 @@
 """SimHash near-duplicate detection with multi-index hashing.
 
-Fingerprints are cut into two segments. For each segment, the small Hamming ball around its value is enumerated, the
-other segment staying as it is, and both together are the key of a table of distinct fingerprints. Two fingerprints at
-``2 * radius`` or fewer differing bits meet under at least one key (a point halfway between them differs from each by
-at most ``radius`` bits), and complete distances are verified on what meets. With radius 1 a fingerprint has 65 keys and
-a key at most 65 fingerprints, so tables and buckets are bounded at every size and no bucket needs a cap.
+Fingerprints are cut into two segments of 32 bits, and a table is kept for each segment: segment value, fingerprint. Of two
+fingerprints at 2 or fewer differing bits, either the first segments differ in at most one bit, or the second ones are
+equal. So the ball of radius 1 around a fingerprint's first segment and the ball of radius 0 around its second one are looked
+up in the tables, and complete distances are verified on what is fetched. Of two neighbouring values only the one with the
+bit set looks up the other, which halves the ball.
+
+Buckets of more than ``BUCKET`` fingerprints aren't fetched. All fingerprints that would look into one are linked by balls
+around the whole fingerprint instead: two of them at 2 or fewer differing bits share the one halfway between them, under
+which at most 65 fingerprints meet, so that way is exact and bounded too.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .common import text_rows, written
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
+#: Fingerprints of a segment value beyond which its bucket isn't fetched.
+BUCKET = 256
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -56,24 +62,51 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     return rows.mapInArrow(of, "doc_id long, fp long" + ", text_hash long" * text_hash)
 
 
-def ball_keys(fp: Column) -> Column:
-    """The keys of a fingerprint: for each 32-bit segment the ball of radius 1 around it, the other segment unchanged."""
+def _segments(fp: Column) -> tuple[Column, Column]:
+    """Both segments as keys: the second one's bits begin at 2^32, where its number stands."""
+    return fp.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(fp, 32).bitwiseOR(F.lit(1 << 32))
 
-    def ball(low: int) -> Column:
-        return F.transform(F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(low, low + 32))), lambda bit: fp.bitwiseXOR(bit))
 
-    return F.concat(F.array(fp), ball(0), ball(32))
+def segment_tables(distinct: DataFrame) -> DataFrame:
+    """key, other: each fingerprint under the value of each of its segments."""
+    return distinct.select(F.explode(F.array(*_segments(F.col("fp")))).alias("key"), F.col("fp").alias("other"))
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, that join all of ``distinct`` (column fp) at 2 or fewer differing bits.
+def lookups(distinct: DataFrame) -> DataFrame:
+    """fp, key, own: the values that a fingerprint looks up, and whether they are its own (then the greater fingerprint
+    alone links the other)."""
+    first, second = _segments(F.col("fp"))
+    bits = F.array(*(F.lit(1 << i).cast("long") for i in range(32)))
+    ball = F.transform(F.filter(bits, lambda bit: first.bitwiseAND(bit) != 0), lambda bit: first.bitwiseXOR(bit))
+    keys = F.concat(F.array(first, second), ball)
+    return distinct.select("fp", F.posexplode(keys).alias("at", "key")).select("fp", "key", (F.col("at") < 2).alias("own"))
 
-    Under a key each fingerprint is linked to the next smaller one there: as many links as members, not all pairs.
-    """
-    table = distinct.select("fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, of the fetched pairs (fp, other, own) at 2 or fewer differing bits."""
+    x, y = F.col("fp"), F.col("other")
+    near = (F.bit_count(x.bitwiseXOR(y)) <= 2) & (~F.col("own") | (x > y)) & (x != y)
+    return pairs.where(near).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+
+
+def _halfway_links(distinct: DataFrame) -> DataFrame:
+    """Links that join all of ``distinct`` at 2 or fewer differing bits: under each key of the ball of radius 1 around a
+    whole fingerprint, a fingerprint is linked to the next smaller one there, not to all."""
+    bits = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
+    keys = F.concat(F.array("fp"), F.transform(bits, lambda bit: F.col("fp").bitwiseXOR(bit)))
     before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    links = table.select(F.col("fp").alias("a"), before.alias("b")).where("b is not null")
-    return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    return distinct.select("fp", F.explode(keys).alias("key")).select(F.col("fp").alias("a"), before.alias("b")).where("b is not null")
+
+
+def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b), a > b, that join all of ``distinct`` (column fp) at 2 or fewer differing bits."""
+    tables, probes = segment_tables(distinct), lookups(distinct)
+    crowded = written(tables.groupBy("key").count().where(F.col("count") > bucket).select("key"), "crowded")
+    if crowded.isEmpty():
+        return _verified(probes.join(tables, "key")).distinct()
+    fetched = probes.join(crowded, "key", "left_anti").join(tables, "key")
+    crowd = probes.join(crowded, "key", "left_semi").select("fp").distinct()
+    return _verified(fetched).unionByName(_halfway_links(crowd)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -110,8 +143,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable) of each row.
 
     Rows with equal fingerprints are one class before any link is sought, so groups of copies cost one entry. Null texts
-    are empty (fingerprint zero, linked like any other); rows with a null doc_id keep it and get their class's id; an
-    empty table gives no rows; repeated rows stay.
+    are empty (fingerprint zero, linked like any other); very long texts are fingerprinted whole; rows with a null doc_id
+    keep it and get their class's id; an empty table gives no rows; repeated rows stay; other columns aren't read.
     """
     fps = written(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
     named = _named(fps).select("fp", "component_id")
@@ -120,7 +153,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
 
 def deduplicated(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` (all columns) with one row of each component: the one of the smallest doc_id (null last), then of the
-    smallest text hash; of rows that repeat both, any one."""
+    smallest text hash; of rows that repeat both, any one. Null and empty texts are one class; an empty table gives no rows."""
     fps = written(fingerprints(docs, words, seed, text_hash=True), "fingerprints")
     each = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     rooted = each.join(_named(fps), "fp")
