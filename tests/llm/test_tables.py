@@ -165,6 +165,19 @@ def test_language_held_out_accuracy(spark):
     assert right >= 0.95 * n
 
 
+def _model(train):
+    langs = sorted({lang for _, _, lang in train})
+    at, words, grams = {x: i for i, x in enumerate(langs)}, {}, {}
+    for _, t, lang in train:
+        for w in language.words_of(t):
+            words.setdefault(w, np.zeros(len(langs), int))[at[lang]] += 1
+    for w, c in words.items():
+        for g in language.grams_of(w):
+            grams[g] = grams.get(g, 0) + c
+    totals = lambda c: sum(c.values()).tolist()
+    return language.Model(langs, words, totals(words), grams, totals(grams))
+
+
 def test_language_equals_a_model_of_all_words_and_grams(spark, monkeypatch):
     """Held words and n-grams are few here, so most are looked up in the tables."""
     monkeypatch.setattr(language, "WORDS", 40)
@@ -173,15 +186,7 @@ def test_language_equals_a_model_of_all_words_and_grams(spark, monkeypatch):
     docs = docs.unionByName(spark.createDataFrame([(-1, "word " * 9 + "zqxj " + "y" * 3000, None), (-2, "7 !", "en"), (-2, None, "en")], docs.schema))
     rows = docs.collect()
     train = [r for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5]
-    langs = sorted({r.lang for r in train})
-    words, grams = {}, {}
-    for r in train:
-        for w in language.words_of(r.text):
-            words.setdefault(w, [0] * len(langs))[langs.index(r.lang)] += 1
-    for w, c in words.items():
-        for g in language.grams_of(w):
-            grams[g] = [a + b for a, b in zip(grams.get(g, [0] * len(langs)), c)]
-    m = language.Model(langs, words, [sum(c) for c in zip(*words.values())], grams, [sum(c) for c in zip(*grams.values())])
+    m = _model([(r.doc_id, r.text, r.lang) for r in train])
     got = sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in identify(docs).collect())
     want = sorted((r.doc_id, *m.predict(r.text)) for r in rows)
     assert [g[:2] for g in got] == [w[:2] for w in want]
@@ -326,3 +331,52 @@ def test_near_links_by_brute_force(spark, bucket):
     if bucket == simhash.BUCKET:
         fetched = simhash.lookups(df).join(simhash.segment_tables(df), "key").where("fp <> other").count()
         assert set(links) == set(near) and fetched > 4 * len(near)  # verification rejects most
+
+
+def test_language_of_many_languages_and_odd_letters(spark, monkeypatch):
+    """300 languages of 100 words each, of which workers hold few, against a model in one process; numbers that aren't
+    digits are no letters."""
+    monkeypatch.setattr(language, "CELLS", 300 * 80)
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i, j: "".join(letters[(i * 7919 + j * 104729) // 20**k % 20] for k in range(6))
+    rows = [(2 * i + k, " ".join(word(i, j) for j in range(k * 40, k * 40 + 60)), f"l{i:03d}") for i in range(300) for k in range(2)]
+    rows += [(100_000 + i, t, "l000") for i, t in enumerate(["½", "²", "Ⅷ", "①", "7 ½!"])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[100_000 + i] == ("und", 0.0) for i in range(5))
+    want = _model([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    for d, t, _ in rows:
+        lang, score = want.predict(t)
+        assert got[d][1] == pytest.approx(score, abs=2e-2) and (got[d][0] == lang or score < 0.6)
+
+
+def test_codes_estimate_inner_products():
+    r = np.random.default_rng(4)
+    for d in (16, 64, 100):
+        q, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.standard_normal((30, d)), r.standard_normal((400, d))))
+        signs = np.where(v > 0, 1, -1) / np.sqrt(d)
+        got = neighbours.Quantised(q).dots(neighbours.packed_words(v > 0))
+        assert np.abs(got - q @ signs.T).max() < 6 * neighbours.Quantised(q).step.max()
+        factor = np.abs(v).sum(1) / np.sqrt(d)
+        err = neighbours.EPS * np.sqrt((1 - factor**2) / (d - 1) + (neighbours.Quantised(q).step ** 2 / 6)[:, None]) / factor
+        assert (np.abs(got / factor - q @ v.T) > err).mean() < 0.01
+
+
+def test_toxicity_is_the_same_with_repeated_ids(spark):
+    rows = [(i % 200, ("you vilezak thing " if i % 4 == 0 else "calm words ") + str(i)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    a, b = (sorted(map(tuple, toxicity(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels).collect())) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert a == b
+
+
+def test_stored_media_has_its_index(spark):
+    f = features(store(spark.createDataFrame([(1, "x" * 5000), (2, None)], "doc_id long, text string"))).collect()
+    assert all(r.index_ok and r.samples == 1152 * len(r.seek_offsets) and r.rate == 48000 for r in f)
+
+
+def test_folders_are_shared_and_cleared(spark, tmp_path):
+    from turnloom.llm import common
+
+    df = common.written(spark.range(3).toDF("a"), "x")
+    assert df.count() == 3 and common.clear(spark) >= 1
+    with pytest.raises(Exception):
+        df.count()

@@ -2,32 +2,39 @@
 
 Known words score by their log frequency in each language; an unseen word falls back to the longest known character
 n-grams at each of its positions, down to single characters. All counted words and n-grams count: workers hold the most
-frequent ones, and what a text has beyond those is looked up in tables of the rest, by joins.
+frequent ones as Arrow arrays, and what a text has beyond those is looked up in tables of the rest, by joins.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_rows, written
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Most words and most n-grams that a worker holds, the most frequent ones (the rest is looked up in tables), and the longest n-gram.
-WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
-#: Distinct words that a task counts before it hands them on, and tokens between white space whose scores a worker keeps.
-HELD, SCORED = 150_000, 400_000
+#: Most words and most n-grams that a worker holds, the most frequent ones (the rest is looked up in tables); most numbers
+#: that their log frequencies make, so that many languages mean fewer of them; and the longest n-gram.
+WORDS, GRAMS, CELLS, LONGEST = 600_000, 200_000, 4_000_000, 4
+#: Bytes of text of a group that is cut into words at once, and words whose n-grams are counted at once.
+GROUP, WORDS_AT_ONCE = 8 << 20, 100_000
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case. None spans white space, so those of a text are those of its tokens."""
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    if low.isalpha():
+        return [low]
+    found = _WORD.findall(low)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]  # numbers that aren't digits
 
 
 def grams_of(word: str, longest: int = LONGEST) -> Iterator[str]:
@@ -39,207 +46,226 @@ def grams_of(word: str, longest: int = LONGEST) -> Iterator[str]:
                 yield w[i : i + n]
 
 
-def _counted(counts: dict[str, Counter], names: tuple[str, str]) -> pa.RecordBatch:
-    rows = [(g, x, n) for g, c in counts.items() for x, n in c.items()]
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=[*names, "n"])
+class Cut:
+    """A group of texts cut into words: each distinct token is cut once.
+
+    ``text`` and ``token`` are the places of all tokens, ``words`` the distinct words, ``owner`` and ``word`` the tokens'
+    words, in the tokens' order, as places.
+    """
+
+    def __init__(self, column: pa.Array):
+        spaced = pc.replace_substring(pc.replace_substring(column, "\n", " "), "\t", " ")
+        lists = pc.split_pattern(spaced, " ")
+        flat = lists.flatten().dictionary_encode()
+        self.n, self.token = len(column), flat.indices.to_numpy().astype(np.int64)
+        self.text = np.repeat(np.arange(len(column)), np.diff(lists.offsets.to_numpy()))
+        cut = [words_of(t) for t in flat.dictionary.to_pylist()]
+        self.tokens, sizes = len(cut), np.fromiter(map(len, cut), np.int64, len(cut))
+        words = pa.array([w for c in cut for w in c], pa.string()).dictionary_encode()
+        self.words, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.owner = np.repeat(np.arange(len(cut)), sizes)
+
+    def occurrences(self, of: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each of ``of`` (a number a text) has each of the words at the places ``some`` of ``word``: distinct
+        pairs, ordered, and their counts."""
+        owner, word = self.owner[some], self.word[some]
+        per = np.bincount(owner, minlength=self.tokens)
+        at = np.flatnonzero(per[self.token])
+        pairs, n = np.unique(of[self.text[at]] * self.tokens + self.token[at], return_counts=True)
+        who, token = pairs // max(1, self.tokens), pairs % max(1, self.tokens)
+        times = per[token]
+        first = np.cumsum(per) - per
+        places = np.repeat(first[token] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pairs, back = np.unique(np.repeat(who, times) * len(self.words) + word[places], return_inverse=True)
+        counts = np.bincount(back, weights=np.repeat(n, times), minlength=len(pairs)).astype(np.int64)
+        return pairs // max(1, len(self.words)), pairs % max(1, len(self.words)), counts
+
+
+def _groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about GROUP bytes of text, a row at least."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, GROUP + (size[at - 1] if at else 0))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over all rows of ``docs`` (text, lang), counted in the tasks before they are shuffled."""
 
-    def handed(held: dict[str, Counter]) -> pa.RecordBatch:
-        words: dict[str, Counter] = {}
-        for lang, tokens in held.items():
-            c = words[lang] = Counter()
-            for token, n in tokens.items():
-                for w in _WORD.findall(token):
-                    c[w] += n
-        return _counted(words, ("lang", "word"))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        for b in batches:
-            for t, lang in zip(b.column(0), b.column(1).to_pylist()):
-                held.setdefault(lang, Counter()).update(t.as_py().lower().split())
-                if sum(map(len, held.values())) > HELD:
-                    yield handed(held)
-                    held = {}
-        yield handed(held)
+        for b in _groups(batches, 0):
+            cut, langs = Cut(b.column(0)), b.column(1).dictionary_encode()
+            lang, word, n = cut.occurrences(langs.indices.to_numpy().astype(np.int64), np.arange(len(cut.word)))
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), cut.words.take(pa.array(word)), pa.array(n)], names=["lang", "word", "n"])
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _counted_grams(words: list[str], times: np.ndarray, longest: int = LONGEST) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of words, and how often they occur if each word does ``times``."""
+    letters, place = np.unique(np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32), return_inverse=True)
+    if len(letters) >= 1 << 16 and len(words) > 1:  # places take 16 bits
+        half = len(words) // 2
+        a, b = _counted_grams(words[:half], times[:half]), _counted_grams(words[half:], times[half:])
+        return a[0] + b[0], np.r_[a[1], b[1]]
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # characters to the word's end, this one included
+    weight, place = np.repeat(times, sizes), place.astype(np.uint64)
+    names = [chr(x) for x in letters]
+    grams, counts, code = [], [], np.zeros(len(place), np.uint64)
+    for n in range(1, longest + 1):
+        code = (code[: len(place) - n + 1] << np.uint64(16)) | place[n - 1 :]
+        at = left[: len(code)] >= n
+        if n == 1:
+            at &= (left != 1) & (left != np.repeat(sizes, sizes))
+        found, back = np.unique(code[at], return_inverse=True)
+        counts.append(np.bincount(back, weights=weight[: len(code)][at], minlength=len(found)).astype(np.int64))
+        parts = [[names[i] for i in (found >> np.uint64(16 * k)) & np.uint64(0xFFFF)] for k in reversed(range(n))]
+        grams += map("".join, zip(*parts))
+    return grams, np.concatenate(counts)
+
+
 def gram_counts(words: DataFrame) -> DataFrame:
     """lang, gram, n from counted words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        def handed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            for lang in pc.unique(table["lang"]).to_pylist():
+                some = table.filter(pc.equal(table["lang"], lang))
+                grams, n = _counted_grams(some["word"].to_pylist(), some["n"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                c = held.setdefault(lang, Counter())
-                for g in grams_of(word):
-                    c[g] += n
-                if len(c) > HELD:
-                    yield _counted(held, ("lang", "gram"))
-                    held = {}
-        yield _counted(held, ("lang", "gram"))
+            held.append(b)
+            if sum(x.num_rows for x in held) >= WORDS_AT_ONCE:
+                yield from handed(held)
+                held = []
+        if held:
+            yield from handed(held)
 
     return words.select("lang", "word", "n").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log frequencies by language of known words and n-grams.
+def _logs(counts: list[list[int]], totals: list[int], n: int = 0) -> np.ndarray:
+    c = np.array(counts, np.float64).reshape(-1, len(totals)) + 0.5
+    return np.log(c / (np.array(totals, np.float64) + 0.5 * max(1, n, len(counts))))
 
-    ``n_words`` and ``n_grams`` are how many were counted, if more than are given; ``predict`` takes those given for all,
-    ``part`` leaves the words that aren't given to the caller.
-    """
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], word_totals: list[int], grams: dict[str, list[int]], gram_totals: list[int], n_words: int = 0, n_grams: int = 0):
+class Model:
+    """Log frequencies by language of all known words and n-grams, in one process."""
+
+    def __init__(self, langs: list[str], words: dict[str, list[int]], word_totals: list[int], grams: dict[str, list[int]], gram_totals: list[int]):
         self.langs = langs
-        self.at = {w: i for i, w in enumerate(words)}
-        self.words = self._logs(list(words.values()), word_totals, n_words)
-        self.gram_at = {g: i for i, g in enumerate(grams)}
-        self.grams = self._logs(list(grams.values()), gram_totals, n_grams)
-        self.more_grams = n_grams > len(grams)
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((SCORED + 1, len(langs)), np.float32)
-        self.left: dict[str, int] = {}
-        self.left_words: list[list[str]] = []
-        self.left_some = np.zeros(SCORED + 1, bool)
-
-    @staticmethod
-    def _logs(counts: list[list[int]], totals: list[int], n: int = 0) -> np.ndarray:
-        c = np.array(counts, np.float64).reshape(-1, len(totals)) + 0.5
-        return np.log(c / (np.array(totals, np.float64) + 0.5 * max(1, n, len(counts)))).astype(np.float32)
+        self.words = dict(zip(words, _logs(list(words.values()), word_totals)))
+        self.grams = dict(zip(grams, _logs(list(grams.values()), gram_totals)))
 
     def back_off(self, word: str) -> np.ndarray:
         """The mean over an unseen word's positions of the longest known n-gram that begins there."""
-        w, get, found = f"^{word}$", self.gram_at.get, []
+        w, found = f"^{word}$", []
         for i in range(len(w) - 1):
-            for end in range(min(i + LONGEST, len(w)), i, -1):
-                g = get(w[i:end])
-                if g is not None:
-                    found.append(g)
-                    break
-        return self.grams[found].sum(0) / len(found) if found else np.zeros(len(self.langs), np.float32)
-
-    def of_token(self, token: str) -> np.ndarray:
-        """The sum over a token's words of a known word's log frequencies, or of what it falls back to."""
-        words = [token] if token.isalpha() else _WORD.findall(token)
-        if len(words) == 1:
-            at = self.at.get(words[0])
-            return self.back_off(words[0]) if at is None else self.words[at]
-        found = (self.words[self.at[w]] if w in self.at else self.back_off(w) for w in words)
-        return sum(found, np.zeros(len(self.langs), np.float32))
+            known = (g for end in range(min(i + LONGEST, len(w)), i, -1) if (g := self.grams.get(w[i:end])) is not None)
+            found += [g for g in (next(known, None),) if g is not None]
+        return np.mean(found, 0) if found else np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its share of all languages' likelihood; "und" and 0 without letters."""
-        tokens = (text or "").lower().split()
-        if not self.langs or not any(map(_WORD.search, tokens)):
+        words = words_of(text or "")
+        if not self.langs or not words:
             return "und", 0.0
-        places = list(map(self.known.get, tokens))
-        if None in places:
-            if len(self.known) + len(tokens) > SCORED:
-                self.known.clear()
-            if len(tokens) > SCORED:  # a text of more tokens than the table has room for
-                total = sum(map(self.of_token, tokens), np.zeros(len(self.langs)))
-                return self._best(total)
-            for t in tokens:
-                if t not in self.known:
-                    at = self.known[t] = len(self.known)
-                    self.sums[at] = self.of_token(t)
-            places = list(map(self.known.__getitem__, tokens))
-        return self._best(self.sums[places].sum(0, dtype=np.float64))
-
-    def part(self, text: str) -> tuple[bool, np.ndarray, dict[str, int]]:
-        """Whether a text has letters, the sum over its held words, and how often it has each of the others."""
-        tokens = text.lower().split()
-        total, others = np.zeros(len(self.langs)), Counter()
-        if not self.langs or not any(map(_WORD.search, tokens)):
-            return False, total, others
-        for i in range(0, len(tokens), SCORED):
-            some = tokens[i : i + SCORED]
-            places = list(map(self.left.get, some))
-            if None in places:
-                if len(self.left) + len(some) > SCORED:
-                    self.left.clear()
-                    self.left_words.clear()
-                for t in some:
-                    if t not in self.left:
-                        self._place(t)
-                places = list(map(self.left.__getitem__, some))
-            at = np.array(places)
-            total += self.sums[at].sum(0, dtype=np.float64)
-            for x, n in zip(*(v.tolist() for v in np.unique(at[self.left_some[at]], return_counts=True))):
-                for w in self.left_words[x]:
-                    others[w] += n
-        return True, total, others
-
-    def _place(self, token: str) -> None:
-        at = self.left[token] = len(self.left)
-        words = [token] if token.isalpha() else _WORD.findall(token)
-        held = [i for w in words if (i := self.at.get(w)) is not None]
-        self.sums[at] = self.words[held].sum(0) if len(held) != 1 else self.words[held[0]]
-        self.left_words.append([w for w in words if w not in self.at] if len(held) < len(words) else [])
-        self.left_some[at] = len(held) < len(words)
+        total = sum((self.words[w] if w in self.words else self.back_off(w) for w in words), np.zeros(len(self.langs)))
+        best = int(total.argmax())
+        return self.langs[best], 1 / float(np.exp(total - total[best]).sum())
+
+
+class Held:
+    """What workers hold of a model: the most frequent words and n-grams with their log frequencies by language."""
+
+    def __init__(self, langs: list[str], words: pa.Table, grams: pa.Table, more_grams: bool):
+        self.langs, self.more_grams = langs, more_grams
+        self.words, self.logs = self._arrays(words)
+        self.gram_names, self.gram_logs = self._arrays(grams)
+        self.gram_at: dict[str, int] = {}
+
+    def _arrays(self, table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        keys, logs = (pa.concat_arrays(table.column(i).chunks) if table.num_rows else pa.array([], table.schema.types[i]) for i in range(2))
+        return keys.cast(pa.string()), logs.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, len(self.langs))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"gram_at": {}}
+
+    def parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of each text: whether it has letters, and the sum over its held words; and of the others in all texts: the
+        text's place, the word, and how often."""
+        cut = Cut(column)
+        at = pc.index_in(cut.words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)[cut.word]
+        some = np.bincount(cut.owner, minlength=cut.tokens) > 0
+        letters = np.bincount(cut.text[some[cut.token]], minlength=cut.n) > 0
+        sums, held = np.zeros((cut.n, len(self.langs))), at >= 0
+        for i in range(len(self.langs)):
+            of_token = np.bincount(cut.owner[held], weights=self.logs[at[held], i], minlength=cut.tokens)
+            sums[:, i] = np.bincount(cut.text, weights=of_token[cut.token], minlength=cut.n)
+        text, word, n = cut.occurrences(np.arange(cut.n), np.flatnonzero(~held))
+        return letters, sums, text, cut.words.take(pa.array(word)), n
 
     def back_off_part(self, word: str) -> tuple[np.ndarray, int, list[tuple[int, int, str | None, list[float] | None]]]:
         """The sum over the positions of an unseen word whose longest n-gram is certainly held, their number, and for each
         other position (position, length, n-gram, log frequencies): the held one, and longer ones to be looked up."""
+        if not self.gram_at:
+            self.gram_at = {g: i for i, g in enumerate(self.gram_names.to_pylist())}
         w, get, found, tries = f"^{word}$", self.gram_at.get, [], []
         for i in range(len(w) - 1):
             longest = min(i + LONGEST, len(w))
             end, g = next(((e, g) for e in range(longest, i, -1) if (g := get(w[i:e])) is not None), (i, None))
             if end < longest and self.more_grams:
                 if g is not None:
-                    tries.append((i, end - i, None, self.grams[g].tolist()))
+                    tries.append((i, end - i, None, self.gram_logs[g].tolist()))
                 tries += [(i, e - i, w[i:e], None) for e in range(end + 1, longest + 1)]
             elif g is not None:
                 found.append(g)
-        return self.grams[found].sum(0, dtype=np.float64), len(found), tries
-
-    def _best(self, total: np.ndarray) -> tuple[str, float]:
-        best = int(total.argmax())
-        return self.langs[best], 1 / float(np.exp(total - total[best]).sum())
+        return self.gram_logs[found].sum(0, dtype=np.float64), len(found), tries
 
 
-def _most(counts: DataFrame, key: str, langs: list[str], totals: list[int], most: int) -> tuple[dict[str, list[int]], int, DataFrame]:
-    """Keys with their counts by language: those of the largest totals, as many whole steps of totals as hold at most
-    ``most`` keys; how many keys there are; and the table of the other keys with their log frequencies (key, logs).
-    Steps keep three digits of a total, so there are few, and what the driver gets is bounded by ``most``."""
-    by_lang = (F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0).cast("long")).alias(f"l{i}") for i, x in enumerate(langs))
-    keys = written(counts.groupBy(key).agg(F.sum("n").alias("n"), *by_lang), f"{key}-totals")
-    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0)))
-    step = (F.floor(F.col("n") / unit) * unit).cast("long")
+def _most(counts: DataFrame, key: str, langs: list[str], totals: list[int], most: int) -> tuple[pa.Table, int, DataFrame]:
+    """Keys with their log frequencies: those of the largest totals, as many whole steps of totals as hold at most
+    ``most`` keys; how many others there are; and the table of those (key, logs). Steps keep three digits of a total, so
+    there are few, and what the driver gets is bounded by ``most``."""
+    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # an entry a language
+    keys = written(counts.groupBy(key).agg(F.sum("n").alias("total"), by_lang.alias("by_lang")), f"{key}-totals")
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("total").cast("string")) - 3, F.lit(0)))
+    step = (F.floor(F.col("total") / unit) * unit).cast("long")
     steps = keys.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    left, least = most, None
+    n, held, least = sum(r["count"] for r in steps), 0, None
     for r in steps:
-        left -= r["count"]
-        if left < 0:
+        if held + r["count"] > most:
             break
-        least = r.step
-    n = sum(r["count"] for r in steps)
-    top = keys.where(step >= least).collect() if least is not None else []
-    held = {r[key]: [r[f"l{i}"] for i in range(len(langs))] for r in sorted(top, key=lambda r: (-r.n, r[key]))}
-    logs = F.array(*(F.log((F.col(f"l{i}") + F.lit(0.5)) / F.lit(t + 0.5 * max(1, n))) for i, t in enumerate(totals)))
-    return held, n, (keys.where(step < least) if least is not None else keys).select(key, logs.alias("logs"))
-
-
-def learn(docs: DataFrame, most_langs: int = 256) -> tuple[Model, DataFrame | None, DataFrame | None]:
-    """A model from all rows of ``docs`` (text, lang) that have both, and the tables (word, logs) and (gram, logs) of what
-    it doesn't hold; at most ``most_langs`` languages, the most frequent."""
+        held, least = held + r["count"], r.step
+    count = lambda x: F.coalesce(F.try_element_at("by_lang", F.lit(x)), F.lit(0))
+    logs = F.array(*(F.log((count(x) + F.lit(0.5)) / F.lit(t + 0.5 * max(1, n))) for x, t in zip(langs, totals)))
+    keyed = keys.select(key, logs.alias("logs"), step.alias("step"))
+    inside = F.col("step") >= least if least is not None else F.lit(False)
+    top = keyed.where(inside).select(key, F.col("logs").cast("array<float>").alias("logs")).toArrow()
+    return top, n - held, keyed.where(~inside).select(key, "logs")
+
+
+def learn(docs: DataFrame) -> tuple[Held | None, DataFrame | None, DataFrame | None]:
+    """What workers hold of a model of all rows of ``docs`` (text, lang) that have both, and the tables (word, logs) and
+    (gram, logs) of what they don't; None without any."""
     words = written(word_counts(docs.where("lang is not null and text is not null")), "words")
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     langs = sorted(totals)
     if not langs:
-        return Model([], {}, [0], {}, [0]), None, None
+        return None, None, None
     grams = written(gram_counts(words), "grams")
     by_lang = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    word_totals, gram_totals = [totals[x] for x in langs], [by_lang[x] for x in langs]
-    held, n_words, more_words = _most(words, "word", langs, word_totals, WORDS)
-    held_grams, n_grams, more_grams = _most(grams, "gram", langs, gram_totals, GRAMS)
-    return Model(langs, held, word_totals, held_grams, gram_totals, n_words, n_grams), more_words, more_grams
+    room = CELLS // len(langs)
+    held, _, more_words = _most(words, "word", langs, [totals[x] for x in langs], min(WORDS, room))
+    held_grams, rest, more_grams = _most(grams, "gram", langs, [by_lang[x] for x in langs], min(GRAMS, room))
+    return Held(langs, held, held_grams, rest > 0), more_words, more_grams
 
 
 def _summed(df: DataFrame, by: str, vector: str, n: int, times: str | None = None) -> DataFrame:
@@ -278,23 +304,22 @@ def identify(docs: DataFrame, fold: int = 5, rest: int = 0, id_col: str = "doc_i
     """doc_id, held_out, lang_pred, score of each row; learned from the rows that aren't held out.
 
     Null texts and texts without letters are "und" with score 0, as is everything if nothing can be learned; null
-    languages teach nothing; repeated rows stay; ties go to the first language by code point.
+    languages teach nothing; null ids stay; very long texts count whole; repeated rows stay; ties go to the first language
+    by code point; an empty table gives no rows; other columns aren't read.
     """
     out = held_out(id_col, fold, rest)
     model, more_words, more_grams = learn(docs.where(~out).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     texts = text_rows(docs, id_col, text_col)
-    if not model.langs:
+    if model is None:
         return texts.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and most_langs
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and CELLS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            parts = [m.part(t.as_py()) for t in b.column(1)]
-            ends = pa.array(np.cumsum([0, *(len(p[2]) for p in parts)]), pa.int32())
-            words = pa.ListArray.from_arrays(ends, pa.array([w for p in parts for w in p[2]], pa.string()))
-            times = pa.ListArray.from_arrays(ends, pa.array([n for p in parts for n in p[2].values()], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.bool_()), pa.array([p[1].tolist() for p in parts], pa.list_(pa.float64())), words, times], names=["doc_id", "letters", "held", "words", "times"])
+        for b in _groups(batches, 1):
+            letters, sums, text, words, times = sent.value.parts(b.column(1))
+            ends = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)), pa.int32())
+            held = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(letters), held, pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(times))], names=["doc_id", "letters", "held", "words", "times"])
 
     # written, so that a row keeps its number
     parts = texts.mapInArrow(part, "doc_id long, letters boolean, held array<double>, words array<string>, times array<long>")
