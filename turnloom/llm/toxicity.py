@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_rows, written
+from .common import fresh, held_out, text_rows, written
 
 #: Bounds: labelled training rows, lexicon voters.
 SAMPLE, LEXICONS = 20_000, 16
@@ -204,15 +204,14 @@ def fit_classifier(hits: list[list[int]], labels: np.ndarray, width: int, penalt
     return w
 
 
-def _tagged(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id and hits (the features found) of each row: all that later steps need of a text."""
+def _hits(lexicon: Lexicon, text: str) -> Column:
+    """The features found in a text column (null: empty): all that later steps need of it."""
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [lexicon.hits(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "hits"])
+    @F.pandas_udf("array<int>")
+    def tag(s: pd.Series) -> pd.Series:
+        return pd.Series([lexicon.hits(t or "") for t in s])
 
-    return docs.mapInArrow(tag, "doc_id long, hits array<int>")
+    return tag(F.col(text))
 
 
 @dataclass(frozen=True)
@@ -231,7 +230,8 @@ class Toxicity:
 def sample_of(docs: DataFrame, labels: DataFrame, out, most: int = SAMPLE) -> DataFrame:
     """doc_id, text, toxic of at most ``most`` labelled rows that aren't held out, in the order of a hash of the id.
 
-    Null labels don't count; an id labelled twice is toxic if one label says so.
+    Null labels don't count; an id labelled twice is toxic if one label says so; of rows that repeat an id, the one of the
+    smallest text hash stands for all.
     """
     l = labels.where("doc_id is not null and toxic is not null").where(~out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     steps = 1 << 20
@@ -239,18 +239,21 @@ def sample_of(docs: DataFrame, labels: DataFrame, out, most: int = SAMPLE) -> Da
     thin = l.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps)) if share < 1 else l
     l = thin.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     one = docs.join(F.broadcast(l), "doc_id")  # at most ``most`` narrow rows
-    return one.select("doc_id", "text", "toxic")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic"))
+    return one.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.text", "r.toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, rest: int = 1) -> tuple[Toxicity, DataFrame]:
-    """A scorer, and the table of all rows' hits. ``docs`` has doc_id and text. Without toxic and clean labelled rows the
-    scorer gives 0 to everything."""
-    sample = written(sample_of(docs, labels, held_out("doc_id", fold, rest)), "labelled").dropDuplicates(["doc_id"])
+def learn(docs: DataFrame, labels: DataFrame, fold: int, rest: int, id_col: str, text_col: str, keep: list[str], hits: str) -> tuple[Toxicity, DataFrame]:
+    """A scorer, and a written table of the columns ``keep`` of all rows with their hits in the column ``hits``. Each text
+    is read for its features once. Without toxic and clean labelled rows the scorer gives 0 to everything."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    sample = written(sample_of(text_rows(docs, id_col, text_col), labels, held_out("doc_id", fold, rest)), "labelled")
     toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not 0 < toxic < n:
-        return Toxicity(Lexicon(()), None, None), _tagged(docs, Lexicon(()))
+        none = F.array().cast("array<int>")
+        return Toxicity(Lexicon(()), None, None), docs.select(*(F.col(f"`{c}`") for c in keep), none.alias(hits))
     lexicon = choose_features(sample, toxic / n)
-    tagged = written(_tagged(docs, lexicon), "hits")
+    tagged = written(docs.select(*(F.col(f"`{c}`") for c in keep), _hits(lexicon, f"`{text_col}`").alias(hits)), "hits")
     m = min(LEXICONS, len(lexicon.features)) + lexicon.width - len(lexicon.features)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, rest: int = 1) -> t
         i, j = np.nonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, i]), pa.array(np.r_[-1, j]), pa.array(np.r_[n, pairs[i, j]])], names=["i", "j", "n"])
 
-    sums = tagged.select("hits").mapInArrow(moments, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # a row a pair of voters
+    sums = tagged.select(hits).mapInArrow(moments, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # a row a pair of voters
     n_docs, pairs = 0, np.zeros((m, m))
     for r in sums:
         if r.i < 0:
@@ -270,30 +273,32 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, rest: int = 1) -> t
         else:
             pairs[r.i, r.j] = r.n
     model = fit_label_model(n_docs, np.diag(pairs).copy(), pairs, toxic / n)
-    rows = [lexicon.hits(r.text) for r in sample.select("text").toLocalIterator(prefetchPartitions=False)]  # bounded by SAMPLE
+    rows = [list(r.hits) for r in sample.select("doc_id", _hits(lexicon, "text").alias("hits")).orderBy("doc_id").collect()]  # bounded by SAMPLE
     weights = fit_classifier(rows, model.posterior(lexicon.voters(rows)), lexicon.width)
     return Toxicity(lexicon, model, weights), tagged
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of each row. Null texts are empty and score as such; repeated rows stay; an
-    empty table gives no rows."""
-    model, tagged = learn(text_rows(docs, id_col, text_col), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), fold, rest)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
-
-    scored = tagged.mapInArrow(score, "doc_id long, score double")
+    """doc_id, held_out, score, predicted of each row. Null texts are empty and score as such; null ids are never labelled;
+    very long texts are read whole; repeated rows stay; a score of just ``threshold`` is toxic; without labels of both kinds
+    every score is 0; an empty table gives no rows; other columns aren't read."""
+    model, tagged = learn(docs, labels, fold, rest, id_col, text_col, [id_col], "hits" if id_col.lower() != "hits" else "_hits")
+    scored = tagged.toDF("doc_id", "hits").select(F.col("doc_id").cast("long").alias("doc_id"), _score(model, "hits").alias("score"))
     return scored.select("doc_id", held_out("doc_id", fold, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 3, rest: int = 1) -> DataFrame:
-    """The rows of ``docs`` (all columns) that score below ``threshold``; null texts stay."""
-    model, _ = learn(text_rows(docs), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), fold, rest)
-
+def _score(model: Toxicity, hits: str) -> Column:
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([model.lexicon.hits(t or "") for t in s]))
+        return pd.Series(model.scores([list(h) for h in s]), dtype=float)
+
+    return score(F.col(hits))
 
-    return docs.where(score(F.col("text")) < threshold)
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 3, rest: int = 1) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score below ``threshold``, a score of just that being toxic. Null texts score
+    as empty ones; very long ones are read whole; repeated rows go or stay together; without labels of both kinds all rows
+    stay; an empty table gives no rows. Rows wait with their hits in a written table, so no text is read twice."""
+    hits = fresh(docs, "hits")
+    model, tagged = learn(docs, labels, fold, rest, "doc_id", "text", docs.columns, hits)
+    return tagged.where(_score(model, hits) < threshold).drop(hits)
