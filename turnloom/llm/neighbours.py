@@ -2,8 +2,10 @@
 
 A vector's residual to the centre is rotated and each coordinate kept as one bit, with two scalars: its length, and the
 inner product of its direction with its code, which turns the code's inner product with a rotated query into an unbiased
-estimate and bounds that estimate's error. A vector is compared exactly if the lower bound of its distance doesn't exceed
-the query's k-th smallest exact distance so far in that task.
+estimate and bounds that estimate's error. Queries are rotated too and quantised to PLANES bits a coordinate, so an inner
+product is a weighted sum of the bits that a code and each of the query's bit planes share, counted on packed words. A vector
+is compared exactly if the lower bound of its distance doesn't exceed the query's k-th smallest exact distance so far in that
+task; vectors lie beside their codes, so that no candidate is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .common import shared_dir, written
 
 #: Standard errors that the bounds allow for; each side fails with a probability of about 2 exp(-EPS^2 / 2).
 EPS = 3.0
+#: Bits of a query's quantised coordinates.
+PLANES = 4
 #: Queries of a pass over the index, and vectors whose estimates are held at once.
 BLOCK, CHUNK = 2048, 512
 
@@ -43,10 +47,38 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def packed_words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of unsigned 64-bit words, the last filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
+
+
+class Quantised:
+    """Unit queries whose inner products with codes are estimated from packed bits."""
+
+    def __init__(self, units: np.ndarray):
+        self.d = units.shape[1]
+        self.low = units.min(1)
+        self.step = np.maximum((units.max(1) - self.low) / ((1 << PLANES) - 1), 1e-30)
+        levels = np.rint((units - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [packed_words(levels >> j & 1) for j in range(PLANES)]
+        self.total = self.d * self.low + self.step * levels.sum(1)
+
+    def dots(self, codes: np.ndarray) -> np.ndarray:
+        """Inner products (queries by codes) with the codes' unit sign vectors, from packed words of their bits."""
+        shared = np.zeros((len(self.low), len(codes)), np.int32)
+        for j, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                shared += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
+        ones = np.bitwise_count(codes).sum(1, dtype=np.int32)
+        positive = self.low[:, None] * ones + self.step[:, None] * shared
+        return (2 * positive - self.total[:, None]) / np.sqrt(self.d)
+
+
 def index(rows: DataFrame, seed: int = 11) -> tuple[DataFrame, np.ndarray]:
     """The index, written to the shared folder, and its centre (the mean of all vectors).
 
-    A row a vector: vec_id, code (packed bits), length of the residual, factor (its direction's inner product with its
+    A row a vector: vec_id, code (packed words), length of the residual, factor (its direction's inner product with its
     code's), and the vector itself for exact comparison.
     """
     d = len(first.vector) if (first := rows.first()) else 1
@@ -63,7 +95,7 @@ def index(rows: DataFrame, seed: int = 11) -> tuple[DataFrame, np.ndarray]:
             o = (_matrix(b.column(1), d) - centre) @ turn
             length = np.sqrt((o * o).sum(1))
             o /= np.where(length > 0, length, 1)[:, None]
-            code = np.packbits(o > 0, axis=1)
+            code = packed_words(o > 0)
             factor = np.abs(o).sum(1) / np.sqrt(d)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length), pa.array(factor), b.column(1)], names=["vec_id", "code", "length", "factor", "vector"])
 
@@ -77,7 +109,8 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int, seed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = (queries - centre) @ rotation(d, seed)
         reach = np.sqrt((q * q).sum(1))
-        q = (q / np.where(reach > 0, reach, 1)[:, None] / np.sqrt(d)).astype(np.float32)
+        q = Quantised(q / np.where(reach > 0, reach, 1)[:, None])
+        rounding = (q.step**2 / 6)[:, None]  # the variance that quantising a query adds
         best, names = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
         def add(qi: np.ndarray, at: np.ndarray, vec: np.ndarray, vid: np.ndarray) -> None:
@@ -103,14 +136,13 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int, seed
             for one in range(0, batch.num_rows, CHUNK):
                 b = batch.slice(one, CHUNK)
                 vid, vec = b.column(0).to_numpy(), _matrix(b.column(4), d)
-                packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(vid), -1)
+                codes = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(vid), -1)
                 length, factor = b.column(2).to_numpy(), np.maximum(b.column(3).to_numpy(), 1e-9)
-                signs = np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
-                dot = (q @ signs.T) / factor
-                err = EPS * np.sqrt(np.maximum(1 - factor**2, 0) / max(1, d - 1)) / factor
+                dot = q.dots(codes) / factor
+                err = EPS * np.sqrt(np.maximum(1 - factor**2, 0) / max(1, d - 1) + rounding) / factor
                 scale = 2 * reach[:, None] * length
                 low = reach[:, None] ** 2 + length**2 - scale * np.minimum(dot + err, 1)
-                slack = 1e-6 * (reach[:, None] ** 2 + length**2)  # estimates are in single precision
+                slack = 1e-9 * (reach[:, None] ** 2 + length**2)
                 if np.isinf(best[:, -1]).any():  # first the likeliest, for a limit to begin with
                     near = np.argpartition(low, min(2 * k, len(vid) - 1), axis=1)[:, : 2 * k]
                     add(np.repeat(np.arange(n), near.shape[1]), near.ravel(), vec, vid)
