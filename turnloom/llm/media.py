@@ -259,32 +259,40 @@ def carried(data: bytes, a: Audio | None = None) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and media (the carrier of the text's padded UTF-8 bytes), written to the shared folder. Null texts are empty."""
+    """doc_id, media (the carrier of the text's padded UTF-8 bytes) and its index: samples and rate, whose ratio is the exact
+    duration, and seek_offsets (where each frame begins); written to the shared folder. Null texts are empty; null ids stay;
+    very long texts are carried whole; repeated rows stay; an empty table gives no rows; other columns aren't read."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for one in range(0, b.num_rows, 256):
                 part = b.slice(one, 256)
                 media = [carry(padded(t.as_py().encode())) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+                found = [parse(m) for m in media]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(media, pa.binary()), pa.array([a.samples for a in found], pa.int64()), pa.array([a.rate for a in found], pa.int64()), pa.array([a.offsets for a in found], pa.list_(pa.int64()))],
+                    names=["doc_id", "media", "samples", "rate", "seek_offsets"],
+                )
 
-    return written(text_rows(docs, id_col, text_col).mapInArrow(encode, "doc_id long, media binary"), "media")
+    return written(text_rows(docs, id_col, text_col).mapInArrow(encode, "doc_id long, media binary, samples long, rate long, seek_offsets array<long>"), "media")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Per stored stream: digests of the payload read back and of the stored form, and what the reader found."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate long, seek_offsets array<long>"
+    """Per stored stream: digests of the payload read back and of the stored form, what the reader found, the stored index
+    and whether the reader found the same. Damaged streams are an error; an empty table gives no rows; repeated rows stay."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate long, seek_offsets array<long>, index_ok boolean"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for m in b.column(1):
+            index = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+            for m, (samples, rate, offsets) in zip(b.column(1), index):
                 data = m.as_py()
                 a = parse(data)
                 p = carried(data, a)
-                rows.append((len(p.rstrip(b"\xff")), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(data), hashlib.sha256(data).hexdigest(), a.feature, a.samples, a.rate, a.offsets))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types))], names=names)
+                rows.append((len(p.rstrip(b"\xff")), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(data), hashlib.sha256(data).hexdigest(), a.feature, samples, rate, offsets, (samples, rate, offsets) == (a.samples, a.rate, list(a.offsets))))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 11, types))], names=names)
 
-    return media.mapInArrow(read, schema)
+    return media.select("doc_id", "media", "samples", "rate", "seek_offsets").mapInArrow(read, schema)

@@ -37,7 +37,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents"))).drop("samples", "rate", "seek_offsets")
+    f = features(store(table(spark, sf_dir, "documents")))
+    return f.withColumn("seek_offsets", F.array_join(F.col("seek_offsets").cast("array<string>"), ","))
 
 
 def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
