@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.state import distinct_similarity, heads
 from .search import EPSILON, K1, B, ranked, tokens
 
 
@@ -87,6 +88,16 @@ def diverse_mixed(pool: DataFrame, k: int, weight: float, size: int = 100) -> Da
     return cut.groupBy("q").applyInPandas(choose, "q long, label long, rk int")
 
 
+def most_similar_states(pool: DataFrame, states: DataFrame, k: int, size: int = 200) -> DataFrame:
+    """q, label, sim, rk: of the first ``size`` of each list (q, label, rk), the k whose states are most similar to the
+    query's, ties to the better place. ``states``: label, b (slot-values without repeats); rows without one leave."""
+    h = states.select("label", "b", heads(F.col("b")).alias("h"))
+    first = pool.where(F.col("rk") <= size).select("q", "label", F.col("rk").alias("was"))
+    both = first.join(h, "label").join(h.toDF("q", "qb", "qh"), "q")
+    sim = F.round(distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h")), 6)
+    return ranked(both.select("q", "label", "was", sim.alias("sim")), "q", score="sim", tie="was", k=k).select("q", "label", "sim", "rk")
+
+
 def alternate(first: list, second: list, k: int) -> list:
     """first, second, first, ...: a turn whose item was taken already goes on to the same list's next; ends with the lists."""
     out, seen = [], set()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import state as S
@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import canonical, dialogue, fusion, mining, sampling, scoring, search, selection
 from ..session import ship, table
 from . import fixtures as fx
+from . import retrievers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -65,8 +66,7 @@ idf AS (SELECT q, tok, CASE WHEN w < 0 THEN 0.25e0 * avg(w) OVER (PARTITION BY q
 
 
 def _dense_top(spark, sf, k):
-    s = search.dense_scores(fx.vector_queries(spark, sf), fx.vectors(spark, sf)).withColumn("score", R6("score"))
-    return search.ranked(s, "q", k=k)
+    return search.dense_top(fx.vector_queries(spark, sf), fx.vectors(spark, sf), k)
 
 
 def _pool(spark, sf, k=20):
@@ -112,7 +112,7 @@ def random_retriever(spark, sf):
 _HYB = (
     fx.SQL_DENSE
     + ", hd AS (SELECT dense.* FROM dense JOIN documents a ON a.doc_id = label JOIN documents b ON b.doc_id = q), "
-    + fx.sql_bm25("SELECT doc_id AS q, text AS qtext FROM documents WHERE doc_id IN (SELECT q FROM hd)", "SELECT doc_id AS label, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+    + fx.sql_bm25("SELECT doc_id AS q, text AS qtext FROM documents WHERE doc_id IN (SELECT q FROM hd)", "SELECT doc_id AS label, text FROM documents")
     + ", cand AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label))"
 )
 _Z = """zz AS (SELECT q, label, s, b, CASE WHEN stddev_pop(s01) OVER w > 1e-12 THEN (s01 - avg(s01) OVER w) / stddev_pop(s01) OVER w ELSE 0e0 END AS zs,
@@ -127,10 +127,12 @@ def _fused(z: str, score: str, pool: int = 10, source: str = "zz") -> str:
 
 
 def _sides(spark, sf):
-    docs = table(spark, sf, "documents").join(fx.vectors(spark, sf).select(F.col("label").alias("doc_id")), "doc_id", "left_semi")
+    """Candidates are documents with a vector; BM25's statistics are those of all documents."""
+    every = table(spark, sf, "documents")
+    docs = every.join(fx.vectors(spark, sf).select(F.col("label").alias("doc_id")), "doc_id", "left_semi")
     ids = docs.select(F.col("doc_id").alias("label"))
     dense = search.dense_scores(fx.vector_queries(spark, sf).join(ids, "label", "left_semi"), fx.vectors(spark, sf).join(ids, "label", "left_semi"))
-    sparse = search.bm25_scores(docs.where(F.col("doc_id") % 50 == 0), docs, "doc_id", "text", "doc_id", "text").where("q <> label")
+    sparse = search.bm25_scores(docs.where(F.col("doc_id") % 50 == 0), every, "doc_id", "text", "doc_id", "text").where("q <> label")
     return sparse, dense
 
 
@@ -154,6 +156,17 @@ def hybrid_rrf(spark, sf):
     return fusion.fuse(*_sides(spark, sf), logic="rrf")
 
 
+_OTHER = _HYB.replace("AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label))", "AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label) WHERE q // 20 <> label // 20)")
+
+
+@query(_fused(_Z, "zs * zb").replace(_HYB, _OTHER))
+def hybrid_other_dialogues(spark, sf):
+    """Twenty documents are a dialogue; a query's own leaves before any statistics are taken."""
+    sparse, dense = _sides(spark, sf)
+    dialogues = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), F.floor(F.col("doc_id") / 20).alias("dialogue"))
+    return retrievers.decode_hybrid(sparse, dense, "multiply_top_k", 5, 5, dialogues=dialogues)
+
+
 def _lists(spark, sf):
     sparse, dense = _sides(spark, sf)
     both = fusion.complete(sparse, dense)
@@ -346,27 +359,51 @@ def _fb(g: str, p: str) -> str:
     return f"(CASE WHEN len({g}) = 0 THEN (CASE WHEN len({p}) = 0 THEN 1e0 ELSE 0e0 END) WHEN {tp} = 0 THEN 0e0 ELSE 2 * ({tp} / ({tp} + {fp})) * ({tp} / len({g})) / ({tp} / ({tp} + {fp}) + {tp} / len({g})) END)"
 
 
+def _f1(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1e0 ELSE 2e0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
 def _beliefs(spark, sf):
     b = F.transform(F.array_sort(F.map_entries("gold")), lambda e: F.concat_ws("-", e["key"], e["value"]))
     return fx.states(spark, sf).select("event_id", b.alias("b"))
 
 
-def belief_pairs(spark, sf) -> DataFrame:
-    """q, label, sim of each query turn and each belief class that shares a slot-value with it. The join is on shared
-    values, the query side being the small one; a pair counts under the smallest value it shares, so once."""
+def _belief_classes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Query turns (q, qb), and the classes of equal beliefs (label, b, h)."""
     beliefs = _beliefs(spark, sf)
-    q = beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), "b", S.heads(F.col("b")).alias("hb"))
-    c = beliefs.groupBy(F.col("b").alias("c")).agg(F.min("event_id").alias("label")).select("label", "c", S.heads(F.col("c")).alias("hc"))
-    near = q.withColumn("k", F.explode("b")).join(c.withColumn("k", F.explode("c")), "k").where(F.col("k") == F.array_min(F.array_intersect("b", "c")))
-    return near.select("q", "label", R6(S.distinct_similarity(F.col("b"), F.col("hb"), F.col("c"), F.col("hc"))).alias("sim"))
+    classes = beliefs.groupBy("b").agg(F.min("event_id").alias("label")).withColumn("h", S.heads(F.col("b")))
+    return beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), F.col("b").alias("qb")), classes
+
+
+def _query_beliefs(turns: DataFrame) -> DataFrame:
+    return turns.select("qb").distinct().withColumn("qh", S.heads(F.col("qb")))
 
 
-_PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round(2e0 * len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b)) + 2e0 * len(list_intersect(x.h, y.h)) / (len(x.h) + len(y.h)) - 1, 6) AS sim FROM be x JOIN cl y ON len(list_intersect(x.b, y.b)) > 0)"
+def _similarity() -> Column:
+    return R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h")))
+
+
+def belief_top(spark, sf, k: int) -> DataFrame:
+    """q, label, sim, rk: the k classes of beliefs most similar to each query turn's belief, of all classes. Each distinct
+    belief of a query turn meets the classes once, in blocks of the query side."""
+    turns, classes = _belief_classes(spark, sf)
+    near = search.paired(_query_beliefs(turns), classes, "qb").select("qb", "label", _similarity().alias("sim"))
+    return turns.join(search.ranked(near, "qb", score="sim", k=k), "qb").select("q", "label", "sim", "rk")
+
+
+_PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round({_f1('x.b', 'y.b')} + {_f1('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN cl y ON true)"
 
 
 @query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT q, label, sim FROM pr WHERE sim >= 0.6e0")
 def sv_similarity_pairs(spark, sf):
-    return belief_pairs(spark, sf).where("sim >= 0.6")
+    """At this similarity two beliefs share a value or are both empty, so only those pairs are made: a pair under the
+    smallest value that it shares, and the empty ones under a key of their own."""
+    turns, classes = _belief_classes(spark, sf)
+    keys = lambda c: F.explode(F.when(F.size(c) == 0, F.array(F.lit(""))).otherwise(F.col(c)))
+    q = _query_beliefs(turns).withColumn("k", keys("qb"))
+    near = q.join(classes.withColumn("k", keys("b")), "k").where((F.col("k") == "") | (F.col("k") == F.array_min(F.array_intersect("qb", "b"))))
+    near = near.select("qb", "label", _similarity().alias("sim")).where("sim >= 0.6")
+    return turns.join(near, "qb").select("q", "label", "sim")
 
 
 @query(f"WITH {fx.SQL_STATE}, l AS (SELECT id, turn_id, coalesce(list(s || g ORDER BY s) FILTER (WHERE g IS NOT NULL), []) AS gl, coalesce(list(s || p ORDER BY s) FILTER (WHERE p IS NOT NULL), []) AS pl FROM state GROUP BY id, turn_id) SELECT id, turn_id, round({_fb('gl', 'pl')}, 6) AS f FROM l")
@@ -377,7 +414,7 @@ def fbeta(spark, sf):
 
 @query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT * FROM (SELECT q, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pr) WHERE rk <= 5")
 def f1_topk(spark, sf):
-    return search.ranked(belief_pairs(spark, sf), "q", score="sim", k=5)
+    return belief_top(spark, sf, 5)
 
 
 @query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT round(avg(m), 6) AS quality, count(*) AS queries FROM (SELECT q, avg(sim) AS m FROM (SELECT q, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pr) WHERE rk <= 5 GROUP BY q)")
@@ -395,7 +432,7 @@ def belief_rows(spark, sf, k: int) -> DataFrame:
     c = beliefs.groupBy("b").agg(F.min("event_id").alias("label")).withColumn("h", S.heads(F.col("b")))
     turns = beliefs.where("event_id % 50 = 0")
     q = turns.select("b").distinct().select(F.col("b").alias("qb"), S.heads(F.col("b")).alias("qh"))
-    near = q.join(c, F.lit(True)).select("qb", "b", "label", R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h"))).alias("sim"))
+    near = search.paired(q, c, "qb").select("qb", "b", "label", R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h"))).alias("sim"))
     near = search.ranked(near, "qb", score="sim", k=k + 1).select("qb", "b", "sim")
     members = search.ranked(beliefs.select("b", F.col("event_id").alias("label")), "b", score="label", k=k + 1, ascending=True).drop("rk")
     rows = search.ranked(near.join(members, "b").select("qb", "label", "sim"), "qb", score="sim", k=k + 1).drop("rk")
@@ -403,10 +440,6 @@ def belief_rows(spark, sf, k: int) -> DataFrame:
     return search.ranked(own.select("q", "label", "sim"), "q", score="sim", k=k)
 
 
-def _f1(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1e0 ELSE 2e0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
-
-
 _ROWS = f"""{_BELIEF}, ar AS (SELECT event_id AS i, b, list_transform(b, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2)) AS h FROM bel),
 pa AS (SELECT x.i AS q, y.i AS label, round({_f1('x.b', 'y.b')} + {_f1('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN ar y ON x.i <> y.i),
 tk AS (SELECT * FROM (SELECT q, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rk FROM pa) WHERE rk <= 5)"""
@@ -422,12 +455,21 @@ def retriever_quality_rows(spark, sf):
     return belief_rows(spark, sf, 5).groupBy("q").agg(F.avg("sim").alias("m")).agg(R6(F.avg("m")).alias("quality"), F.count("*").alias("queries"))
 
 
+@query(f"""WITH {fx.SQL_STATE}, {fx.SQL_DENSE}, {_BELIEF}, st AS (SELECT event_id AS i, b, list_transform(b, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2)) AS h FROM bel),
+p AS (SELECT * FROM ({_RANKED_DENSE}) WHERE rk <= 200),
+s AS (SELECT p.q, p.label, p.rk AS was, round({_f1('x.b', 'y.b')} + {_f1('x.h', 'y.h')} - 1, 6) AS sim FROM p JOIN st x ON x.i = p.q JOIN st y ON y.i = p.label)
+SELECT * FROM (SELECT q, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, was) AS rk FROM s) WHERE rk <= 5""")
+def f1_top_k_decoder(spark, sf):
+    """The decoder over a dense list's first 200: the states most similar to the query's. Vectors and turns share ids here."""
+    return selection.most_similar_states(_dense_top(spark, sf, 200), _beliefs(spark, sf).withColumnRenamed("event_id", "label"), 5)
+
+
 #: A query's pool for mining: its 100 nearest classes (top_range).
 _RANGE = "tr AS (SELECT q, label, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS n FROM pr) WHERE n <= 100)"
 
 
 def _mining_pool(spark, sf):
-    return search.ranked(belief_pairs(spark, sf), "q", score="sim", k=100).select("q", "label", "sim")
+    return belief_top(spark, sf, 100).select("q", "label", "sim")
 
 
 @query(f"""WITH {fx.SQL_STATE}, {_PAIRS}, {_RANGE}, sp AS (SELECT *, CAST((q * 13 + label * 7) % 5 AS DOUBLE) AS score FROM tr),
@@ -458,7 +500,7 @@ def contrastive_mining(spark, sf):
 # --- combinatorial scoring ---
 
 _COMBI = f"""WITH {fx.SQL_DENSE}, pool AS (SELECT q, label, rk - 1 AS pos FROM ({_RANKED_DENSE}) WHERE rk <= 20),
-pm AS (SELECT q, label, iter, row_number() OVER (PARTITION BY q, iter ORDER BY (pos * 7919 + iter * 104729 + q * 31) % 1009, pos) - 1 AS op FROM pool, (SELECT unnest([0, 1, 2]) AS iter)),
+pm AS (SELECT q, label, iter, row_number() OVER (PARTITION BY q, iter ORDER BY md5(concat(q, ':', iter, ':', label)), label) - 1 AS op FROM pool, (SELECT unnest([0, 1, 2]) AS iter)),
 mem AS (SELECT q, label, iter, op // 5 AS grp, CASE WHEN (q * 31 + iter * 17 + (op // 5) * 7) % 5 = 0 THEN 1 ELSE 0 END AS jga FROM pm),
 tot AS (SELECT q, iter, sum(jga) AS total, count(*) AS g FROM (SELECT DISTINCT q, iter, grp, jga FROM mem) GROUP BY q, iter),
 sc AS (SELECT q, label, count(*) AS occurence, CAST(sum(jga) AS DOUBLE) AS score, round(sum(jga - CASE WHEN g > 1 THEN (total - jga) / (g - 1)::DOUBLE ELSE 0e0 END), 6) AS influence FROM mem JOIN tot USING (q, iter) GROUP BY q, label)"""
@@ -482,7 +524,7 @@ def combi_select(spark, sf):
 
 # --- sampling and set operations ---
 
-_DRAW = "(({0} * 7919 + {1} * 104729) % 100003)"
+_DRAW = "md5(concat({1}, ':', {0}))"
 
 
 @query(f"SELECT event_id FROM events ORDER BY {_DRAW.format('event_id', 3)}, event_id LIMIT (SELECT CAST(floor(count(*) * 0.05e0) AS BIGINT) FROM events)")
