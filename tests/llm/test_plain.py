@@ -246,3 +246,16 @@ def test_personal_data_of_long_texts(t, n):
 def test_brackets_take_the_spaces_around_them():
     t = "bob   ( at )  mail  [dot]   com"
     assert [t[s:e] for s, _, e in pii.spans(t)[1]] == [t]
+
+
+@given(st.lists(st.text("abc !'éA", max_size=30) | st.sampled_from(["you're stupid!!!!", "you are so pathetic", "go to hell", "AAAA BBBB CCCC DDDD", "worthless worthlessness idiot"]), max_size=8))
+def test_toxic_features_of_texts_equal_their_definition(texts):
+    chosen = toxicity.Lexicon(("abca", "worthless", "wort*", "worthl**", "abcab*", "aaaa*", "bca**"))
+    base = len(chosen.features)
+    for text in texts * 2:  # remembered words say the same
+        named, words = toxicity.features_of(text), set(re.findall(r"[^\W\d_]+", text.lower()))
+        found = [i for i, f in enumerate(chosen.features) if f in named]
+        found += [base + i for i, (_, v) in enumerate(toxicity.INSULTS.items()) if words & set(v.split())]
+        base_2 = base + len(toxicity.INSULTS)
+        found += [base_2 + i for i, p in enumerate(toxicity.PATTERNS) if re.search(p, text)]
+        assert chosen.hits(text) == found

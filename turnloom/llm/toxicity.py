@@ -29,7 +29,7 @@ SAMPLE, LEXICONS = 20_000, 16
 HALF = 20
 #: A feature needs this share of toxic documents among those it is in.
 PRECISION = 0.8
-#: Distinct features that a task counts before it hands them on.
+#: Distinct features that a task counts before it hands them on, and words that a worker remembers.
 HELD = 200_000
 #: Letters of the beginnings of words that are features.
 BEGINNINGS = range(4, 9)
@@ -44,6 +44,8 @@ INSULTS = {
 _INSULTS = [frozenset(v.split()) for v in INSULTS.values()]
 #: Patterns of abuse, a voter each.
 PATTERNS = (r"!{3,}", r"\byou(?:'re| are) (?:an? |so )?(?:idiot|stupid|moron|loser|pathetic)", r"\b(?:shut up|go to hell|drop dead|kill yourself)\b", r"[A-Z]{4,}(?: [A-Z]{4,}){3,}")
+#: A text that a pattern matches holds one of these, each pattern's in its place.
+NEEDS = (("!!!",), ("you're ", "you are "), ("shut up", "go to hell", "drop dead", "kill yourself"), ("",))
 _PATTERNS = [re.compile(p) for p in PATTERNS]
 
 
@@ -66,23 +68,29 @@ class Lexicon:
     def hits(self, text: str) -> list[int]:
         """Places of the features that a text has, then, counted on from there, of the insult lists and patterns that fire."""
         words = set(_WORD.findall(text.lower()))
-        at, (plain, starts) = self._places()
-        found = {at[w] for w in words & plain}
-        for n, ours in starts:
-            seen = Counter(x for w in words if len(w) > n and (x := w[:n]) in ours)
-            found.update(at[f] for x, k in seen.items() for f in (x + "*", x + "**")[: 1 + (k > 1)] if f in at)
+        at, (plain, starts), silent = self._places()
+        found, seen = {at[w] for w in words & plain}, Counter()
+        for w in words - silent:
+            ours = [x for n, known in starts if len(w) > n and (x := w[:n]) in known]
+            seen.update(ours)
+            if not ours:
+                silent.add(w)
+        if len(silent) > HELD:
+            silent.clear()
+        found.update(at[f] for x, k in seen.items() for f in (x + "*", x + "**")[: 1 + (k > 1)] if f in at)
         base = len(self.features)
         found.update(base + i for i, s in enumerate(_INSULTS) if not s.isdisjoint(words))
         base += len(_INSULTS)
-        found.update(base + i for i, p in enumerate(_PATTERNS) if p.search(text))
+        found.update(base + i for i, (p, needs) in enumerate(zip(_PATTERNS, NEEDS)) if any(n in text for n in needs) and p.search(text))
         return sorted(found)
 
-    def _places(self) -> tuple[dict[str, int], tuple]:
+    def _places(self) -> tuple[dict[str, int], tuple, set[str]]:
+        """Places of the features, what to look for, and words met that have no beginning looked for."""
         if "places" not in self.__dict__:
             at = {f: i for i, f in enumerate(self.features)}
             starts = {f.rstrip("*") for f in at if f.endswith("*")}
             by_length = [(n, frozenset(x for x in starts if len(x) == n)) for n in BEGINNINGS]
-            object.__setattr__(self, "places", (at, (frozenset(f for f in at if not f.endswith("*")), [x for x in by_length if x[1]])))
+            object.__setattr__(self, "places", (at, (frozenset(f for f in at if not f.endswith("*")), [x for x in by_length if x[1]]), set()))
         return self.places
 
     @property
@@ -273,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int, rest: int, id_col: str,
         else:
             pairs[r.i, r.j] = r.n
     model = fit_label_model(n_docs, np.diag(pairs).copy(), pairs, toxic / n)
-    rows = [list(r.hits) for r in sample.select("doc_id", _hits(lexicon, "text").alias("hits")).orderBy("doc_id").collect()]  # bounded by SAMPLE
+    rows = [list(r.hits) for r in sorted(sample.select("doc_id", _hits(lexicon, "text").alias("hits")).collect(), key=lambda r: r.doc_id)]  # bounded by SAMPLE
     weights = fit_classifier(rows, model.posterior(lexicon.voters(rows)), lexicon.width)
     return Toxicity(lexicon, model, weights), tagged
 
