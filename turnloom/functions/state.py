@@ -102,3 +102,31 @@ def distinct_similarity(gold: Column, gold_heads: Column, pred: Column, pred_hea
         return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.when(n > 0, n))
 
     return f1(gold, pred) + f1(gold_heads, pred_heads) - 1
+
+
+def by_domain(state: Column, order: tuple[str, ...], renamed: dict[str, str]) -> Column:
+    """An array of (domain, slots), slots being a map, in the given order of domains, others after them by name. Slots get
+    their names in code; whole numbers lose leading zeros and a plus sign."""
+    entries = F.array_sort(F.map_entries(state))
+    place = F.create_map(*(F.lit(x) for i, d in enumerate(order) for x in (d, i)))
+    names = F.create_map(*(F.lit(x) for kv in renamed.items() for x in kv))
+    domain = lambda e: F.split_part(e["key"], F.lit("-"), F.lit(1))
+
+    def slot(e: Column) -> Column:
+        plain = F.substring(e["key"], F.length(domain(e)) + 2, 1 << 30)
+        whole = F.regexp_replace(F.regexp_replace(F.trim(e["value"]), r"^(-?)\+?0+(?=[0-9])", "$1"), r"^(\+|-(?=0$))", "")
+        value = F.when(e["value"].rlike(r"^\s*[+-]?[0-9]+\s*$"), whole).otherwise(e["value"])
+        return F.struct(F.coalesce(F.element_at(names, plain), F.replace(plain, F.lit(" "), F.lit("_"))).alias("key"), value.alias("value"))
+
+    def block(d: Column) -> Column:
+        return F.struct(F.coalesce(F.element_at(place, d), F.lit(100)).alias("place"), d.alias("domain"), F.map_from_entries(F.transform(F.filter(entries, lambda e: domain(e) == d), slot)).alias("slots"))
+
+    blocks = F.transform(F.array_distinct(F.transform(entries, domain)), block)
+    first = lambda a, b: F.when(a["place"] != b["place"], F.when(a["place"] < b["place"], -1).otherwise(1)).when(a["domain"] < b["domain"], -1).when(a["domain"] > b["domain"], 1).otherwise(0)
+    return F.transform(F.array_sort(blocks, first), lambda x: F.struct(x["domain"].alias("domain"), x["slots"].alias("slots")))
+
+
+def changed_blocks(before: Column, now: Column, keys: list[str]) -> Column:
+    """Those of ``keys`` whose value differs between two maps, in that order; none if a map is null."""
+    changed = F.filter(F.array(*map(F.lit, keys)), lambda k: ~F.element_at(before, k).eqNullSafe(F.element_at(now, k)))
+    return F.when(before.isNull() | now.isNull(), F.array().cast("array<string>")).otherwise(changed)

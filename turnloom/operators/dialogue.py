@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.state import prf
+from ..functions.state import changed_blocks, prf
 from ..functions.text import DELETE
 
 
@@ -43,3 +43,14 @@ def slot_prf(turns: DataFrame) -> DataFrame:
     )
     pr, rc, f1 = prf(F.col("tp").cast("double"), F.col("fp").cast("double"), F.col("fn").cast("double"))
     return sums.select("slot", "tp", "fp", "fn", F.round(pr, 6).alias("precision"), F.round(rc, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def turn_domain(turns: DataFrame, before: str, now: str, keys: list[str]) -> DataFrame:
+    """``turns`` with ``changed``, the blocks (of ``keys``) that differ between two states, and ``domain``, what a turn is
+    about: its first changed block, else what the turn before was about. At a dialogue's first turn it is the first block
+    there is, else the first of ``keys``."""
+    w = Window.partitionBy("id").orderBy("turn_id")
+    there = F.get(F.filter(F.array(*map(F.lit, keys)), lambda k: F.map_contains_key(F.col(now), k)), F.lit(0))
+    t = turns.withColumn("changed", changed_blocks(F.col(before), F.col(now), keys)).withColumn("_nth", F.row_number().over(w))
+    clue = F.when(F.col("_nth") == 1, F.coalesce(there, F.lit(keys[0]))).otherwise(F.get("changed", F.lit(0)))
+    return t.withColumn("domain", F.last(clue, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_nth")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, fusion, mining, sampling, scoring, search, selection
+from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection
 from ..session import ship, table
 from . import fixtures as fx
 from . import retrievers
@@ -712,3 +712,110 @@ def parse_nl(spark, sf):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_counts(spark, sf):
     return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+# --- the jobs around a model ---
+
+
+@query(f"""WITH {fx.SQL_DENSE}, top AS (SELECT * FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, label) AS rk FROM dense) WHERE rk <= 5),
+ends AS (SELECT q, label, rk AS from_end FROM top WHERE q // 20 <> label // 20 UNION ALL
+  SELECT q, f.label, 1000000 - f.place FROM (SELECT label AS q FROM uvec WHERE label % 50 = 0) JOIN (VALUES (0, 0), (1, 1)) f(label, place) ON q // 20 <> f.label // 20),
+kept AS (SELECT * FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY from_end, label) AS n FROM ends) WHERE n <= 6)
+SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY n DESC) AS place FROM kept""")
+def demonstrations(spark, sf):
+    """Two fixed examples, then the five nearest; twenty rows are a dialogue."""
+    dialogue_of = lambda c: F.floor(F.col(c) / 20).alias("dialogue")
+    asked = fx.vector_queries(spark, sf).select(F.col("label").alias("q"), dialogue_of("label"))
+    return jobs.demonstrations(asked, _dense_top(spark, sf, 5).withColumn("dialogue", dialogue_of("label")), [(0, 0), (1, 0)], 6)
+
+
+@query(f"""WITH {fx.SQL_STATE}, v AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN g ELSE p END AS v FROM state)
+SELECT id, turn_id, event_id % 3 = 0 AS replayed, coalesce(string_agg(CASE WHEN v IS NOT NULL THEN s || '=' || v END, ';' ORDER BY s), '') AS state,
+CASE WHEN bool_and(g IS NOT DISTINCT FROM v) THEN 1 ELSE 0 END AS jga FROM v GROUP BY id, turn_id, event_id""")
+def replay_cached(spark, sf):
+    """Predictions of every third event were right and are cached."""
+    s = fx.states(spark, sf)
+    r = jobs.replay(s, s.where("event_id % 3 = 0").select("id", "turn_id", F.col("gold").alias("pred")))
+    return r.select("id", "turn_id", "replayed", _shown("pred").alias("state"), S.evaluate(F.col("gold"), F.col("pred"), 5)["jga"].alias("jga"))
+
+
+def _runs(having: str = "") -> str:
+    return f"""WITH {fx.SQL_STATE}, scored AS (SELECT id % 4 AS r, avg(jga) FILTER (WHERE true {having}) AS jga, avg(acc) FILTER (WHERE true {having}) AS acc, avg(f1) FILTER (WHERE true {having}) AS f1, count(*) FILTER (WHERE true {having}) AS n FROM metrics GROUP BY 1)
+SELECT 'table_' || c.r || '/split' AS path, CASE WHEN n IS NULL THEN 'missing' WHEN c.r = 3 THEN 'error' ELSE 'scored' END AS status, 'table_' || c.r AS grp, 'split' AS split,
+CASE WHEN c.r < 3 AND n IS NOT NULL THEN round(coalesce(jga, 0e0), 6) END AS jga, CASE WHEN c.r < 3 AND n IS NOT NULL THEN round(coalesce(acc, 0e0), 6) END AS slot_acc,
+CASE WHEN c.r < 3 AND n IS NOT NULL THEN round(coalesce(f1, 0e0), 6) END AS joint_f1, CASE WHEN c.r < 3 THEN n END AS n_total FROM range(5) c(r) LEFT JOIN scored USING (r)"""
+
+
+def _run_scores(spark, sf, turn: int = -1):
+    """Dialogues are dealt to four logs; the last has turns unknown to gold, and a fifth configuration no log."""
+    s, run = fx.states(spark, sf), F.col("id") % 4
+    logs = s.select(F.format_string("table_%d/split", run).alias("path"), "id", (F.col("turn_id") + F.when(run == 3, 1000000).otherwise(0)).alias("turn_id"), "pred")
+    configs = spark.range(5).select(F.format_string("table_%d/split", "id").alias("path")).union(spark.range(1).select(F.lit("ablation/split")))
+    return jobs.score_runs(configs, logs, s, 5, table="table_", turn=turn)
+
+
+@query(_runs())
+def run_scores(spark, sf):
+    return _run_scores(spark, sf)
+
+
+@query(_runs("AND turn_id = 2"))
+def run_scores_of_turn(spark, sf):
+    return _run_scores(spark, sf, 2)
+
+
+@query(f"""WITH {fx.SQL_STATE}, two AS (SELECT id, turn_id, s, g, lag(g) OVER (PARTITION BY id, s ORDER BY turn_id) AS h FROM state),
+c AS (SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS DISTINCT FROM h THEN s END, ',' ORDER BY s), '') AS changed, min(CASE WHEN g IS DISTINCT FROM h THEN s END) AS f, min(CASE WHEN g IS NOT NULL THEN s END) AS a FROM two GROUP BY id, turn_id)
+SELECT id, turn_id, changed, last_value(CASE WHEN turn_id = 0 THEN coalesce(a, 'shop-click') ELSE f END IGNORE NULLS) OVER (PARTITION BY id ORDER BY turn_id ROWS UNBOUNDED PRECEDING) AS domain FROM c""")
+def turn_domains(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    return dialogue.turn_domain(s, "before", "gold", fx.SLOTS).select("id", "turn_id", F.array_join("changed", ",").alias("changed"), "domain")
+
+
+@query("""WITH l AS (SELECT user_id AS id, event_type AS domain, event_id % 3 AS k, event_id, CAST(floor(value) AS INT) % 5 AS v, row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT id, dense_rank() OVER (PARTITION BY id ORDER BY CASE domain WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 100 END, domain) AS place, domain,
+CASE k WHEN 0 THEN 'price_range' WHEN 1 THEN 'book_number_of_days' ELSE 'area_x' END AS slot, CASE WHEN event_id % 2 = 0 THEN CAST(v AS VARCHAR) ELSE 'v' || v END AS value FROM l WHERE r = 1""")
+def state_by_domain(spark, sf):
+    """A user's last value of each event type and of three slots, nested."""
+    from ..functions.parsing import CODE_NAMES
+
+    level = F.pmod(F.floor("value").cast("int"), F.lit(5))
+    e = table(spark, sf, "events").withColumn("slot", F.concat_ws("-", "event_type", F.get(F.array(F.lit("pricerange"), F.lit("book stay"), F.lit("area x")), (F.col("event_id") % 3).cast("int"))))
+    e = e.withColumn("shown", F.when(F.col("event_id") % 2 == 0, F.format_string("+00%d", level)).otherwise(F.format_string("v%d", level)))
+    last = e.groupBy(F.col("user_id").alias("id"), "slot").agg(F.max_by("shown", F.struct("ts", "event_id")).alias("value"))
+    m = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("state"))  # a map by slots, of which there are fifteen
+    blocks = m.select("id", F.posexplode(S.by_domain(F.col("state"), ("view", "click"), CODE_NAMES)).alias("at", "b"))
+    return blocks.select("id", (F.col("at") + 1).cast("long").alias("place"), F.col("b.domain").alias("domain"), F.explode("b.slots").alias("slot", "value"))
+
+
+@query(f"WITH {fx.SQL_CONV} SELECT sys AS sentence_0, usr AS sentence_1, turn_id % 2 AS label FROM conv")
+def training_pairs(spark, sf):
+    t = fx.conversation_turns(spark, sf).select(F.array("sys", "usr").alias("texts"), (F.col("turn_id") % 2).cast("long").alias("label"))
+    return jobs.training_rows(t, "texts", 2)
+
+
+@query("""SELECT vec_id, d, round((embedding[d]::DOUBLE + (vec_id % 2) * embedding[16 + d]::DOUBLE + CASE WHEN vec_id % 3 = 0 THEN embedding[32 + d]::DOUBLE ELSE 0e0 END) / (1 + vec_id % 2 + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS value
+FROM (SELECT vec_id, embedding, unnest(range(1, 17)) AS d FROM embeddings)""")
+def pooled_vectors(spark, sf):
+    """Four vectors of sixteen components a row, one to three of them unmasked."""
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", F.array(*(F.slice("embedding", 1 + 16 * i, 16) for i in range(4))).alias("tokens"), F.array(F.lit(1), F.col("vec_id") % 2, F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0), F.lit(0)).alias("mask")
+    )
+    p = e.select("vec_id", F.posexplode(jobs.masked_mean("tokens", "mask")).alias("d", "value"))
+    return p.select("vec_id", (F.col("d") + 1).cast("long").alias("d"), R6("value").alias("value"))
+
+
+@query(f"""WITH {_HYB}, par AS (SELECT q, avg((s + 1) / 2) AS sm, stddev_pop((s + 1) / 2) AS sd, avg(b) AS bm, stddev_pop(b) AS bd FROM cand WHERE label % 2 = 1 GROUP BY q),
+z AS (SELECT q, label, round(CASE WHEN sd > 1e-12 AND bd > 1e-12 THEN ((s + 1) / 2 - sm) / sd * (b - bm) / bd ELSE 0e0 END, 6) AS score FROM cand LEFT JOIN par USING (q) WHERE label % 2 = 0)
+SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM z) WHERE rk <= 10""")
+def hybrid_remembered(spark, sf):
+    """Scores of even candidates, standardised as the odd ones' were."""
+    both = fusion.complete(*_sides(spark, sf))
+    z = jobs.standardized_by(both.where("label % 2 = 0"), jobs.remembered(both.where("label % 2 = 1")))
+    return search.ranked(z.select("q", "label", R6(F.col("zs") * F.col("zb")).alias("score")), "q", k=10)
+
+
+@query(f"WITH {fx.SQL_DENSE} SELECT q, label FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, label) AS rk FROM dense) WHERE rk <= 20")
+def unique_pool(spark, sf):
+    """Candidate pools, asserted to be free of repeats."""
+    return jobs.asserted_unique(_dense_top(spark, sf, 20).select("q", "label"), ["q", "label"])
