@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .parsing import code_name
+from .parsing import code_name, parse_nl_completion, parse_python_completion
 from .text import DELETE, DOMAINS, blank_none, first_value
 
 MESSAGE = "array<struct<role:string,content:string>>"
+#: Formats whose completions are code, and what ends a completion of a format (others end with their turn).
+CODE_FORMATS = ("python-prompt", "python-prompt-NULL")
+STOPS = {"python-prompt": ["\n\n", "#", "print("]}
+#: The order of domains in a prior state written as code.
+DOMAIN_ORDER = ("hotel", "train", "attraction", "restaurant", "taxi", "hospital", "police")
+#: Attempts at a completion that may fail to parse, and those that may fail otherwise.
+ATTEMPTS = 5
 
 
 def message(role: str, content: Column) -> Column:
@@ -101,3 +110,81 @@ def best_completion(c: Column) -> Column:
     """The likeliest completion, trimmed and without a leading ``agent.state.``."""
     best = F.aggregate(F.map_entries(c), F.struct(F.lit("").alias("key"), F.lit(float("-inf")).alias("value")), lambda a, x: F.when(x["value"] > a["value"], x).otherwise(a))
     return F.regexp_replace(F.trim(best["key"]), r"^agent\.state\.", "")
+
+
+def stopped(completion: Column, stops: list[str]) -> Column:
+    """A completion up to the first of the stop sequences that it holds."""
+    places = [F.when(F.locate(x, completion) > 0, F.locate(x, completion)) for x in stops if x]
+    if not places:
+        return completion
+    first = F.array_min(F.array(*places))
+    return F.when(first.isNull(), completion).otherwise(F.substring(completion, F.lit(1), first - 1))
+
+
+def parser_of(prompt_format: str, slots: frozenset[str] | None = None) -> Callable[[str, dict[str, str]], dict[str, str]]:
+    """(completion, prior state) to the parsed pairs, by the format's name: code, else pairs, which are checked against the
+    known slots unless the format is one of services (sgd)."""
+    if prompt_format in CODE_FORMATS:
+        return parse_python_completion
+    known = None if "sgd" in prompt_format.lower() else slots
+    return lambda text, prior: parse_nl_completion(text, known)
+
+
+def prior_state_code(prior: dict[str, str]) -> str:
+    """A prior state as the statement that restores it; values that are references to slots stand unquoted."""
+    blocks: dict[str, dict[str, str | int]] = {}
+    for key, value in prior.items():
+        domain, _, name = key.partition("-")
+        blocks.setdefault(domain, {})[code_name(name)] = int(value) if re.fullmatch(r"[+-]?[0-9]+", value.strip()) else value
+    places = {d: i for i, d in enumerate(DOMAIN_ORDER)}
+    text = json.dumps(dict(sorted(blocks.items(), key=lambda x: places.get(x[0], len(places)))))
+    return f"agent.state = BeliefState.from_dict({re.sub(r'"(state[.][^"]*)"', r'\1', text)})"
+
+
+def code_turn(prior: dict[str, str], sys: str | None, usr: str) -> str:
+    """A turn as code: the prior state, what the system said (unless it was silent), what the user said."""
+    said = [f'print("system: {sys}")'] if sys and sys != "none" else []
+    return "".join(f"    {line}\n" for line in [prior_state_code({s: v.split("|")[0] for s, v in prior.items()}), *said, f'print("user: {usr}")'])
+
+
+def code_prompt(system: str, preamble: str, examples: list[dict], context: dict[str, str], sys: str | None, usr: str, reverse: bool = False) -> list[dict[str, str]]:
+    """Messages of a prompt in code: numbered examples (context, sys, usr, delta; worst first), then the query turn. With
+    ``reverse`` examples go from the statements to the turn, and the query turn is left empty."""
+    messages = [{"role": "system", "content": system}]
+    title = "\n    #### Example {} ####\n".format
+    for i, x in enumerate(examples, 1):
+        turn, does = code_turn(x["context"], x["sys"], x["usr"]), "".join(f"    {line}\n" for line in python_statements(x["delta"]).split("\n"))
+        asked, answer = (does, turn) if reverse else (turn, does)
+        messages += [{"role": "user", "content": title(i) + asked}, {"role": "assistant", "content": answer}]
+    messages.append({"role": "user", "content": title(len(examples) + 1) + ("" if reverse else code_turn(context, sys, usr))})
+    if preamble:
+        messages[1]["content"] = f"{preamble}    \n{messages[1]['content']}"
+    return messages
+
+
+class TooLong(Exception):
+    """A model raises this for a prompt that exceeds its window."""
+
+
+def attempt(complete: Callable[[list[dict]], dict[str, float]], build: Callable[[list], list[dict]], parse: Callable[[str], object], examples: list) -> tuple[dict[str, float], list]:
+    """Completions whose likeliest one parses, and the examples that its prompt had.
+
+    A prompt that is too long loses its worst (first) example. After ATTEMPTS completions that don't parse, or as many
+    other failures, the last failure is raised from; a ValueError of the model is raised at once.
+    """
+    left, failed, last = list(examples), {"parse": 0, "other": 0}, None
+    while max(failed.values()) < ATTEMPTS:
+        kind = "other"
+        try:
+            completions = complete(build(left))
+            kind = "parse"
+            parse(max(completions, key=completions.get))
+            return completions, left
+        except TooLong as e:
+            last, left = e, left[1:]
+        except Exception as e:
+            if kind == "other" and isinstance(e, ValueError):
+                raise
+            last = e
+        failed[kind] += 1
+    raise RuntimeError(f"no completion after {failed['parse']} that did not parse and {failed['other']} other failures") from last

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import prompting
 from ..functions import state as S
 from ..functions import text as X
 from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection
@@ -819,3 +820,24 @@ def hybrid_remembered(spark, sf):
 def unique_pool(spark, sf):
     """Candidate pools, asserted to be free of repeats."""
     return jobs.asserted_unique(_dense_top(spark, sf, 20).select("q", "label"), ["q", "label"])
+
+
+@query(f"""WITH {fx.SQL_CONV} SELECT id, turn_id, concat('system: Track the state.', chr(10), 'user: context: {{}}', chr(10), 'system: ', chr(10), 'user: hello', chr(10), 'state change:', chr(10),
+'assistant: {{''shop-view'': ''1''}}', chr(10), 'user: context: {{''shop-turn'': ''', turn_id, '''}}', chr(10), 'system: ', nullif(sys, 'none'), chr(10), 'user: ', nullif(usr, 'none'), chr(10), 'state change:') AS prompt FROM conv""")
+def chat_prompts(spark, sf):
+    """One fixed example, then each turn; messages by lines."""
+    none = F.create_map().cast("map<string,string>")
+    example = F.struct(none.alias("context"), F.lit("none").alias("sys"), F.lit("hello").alias("usr"), F.create_map(F.lit("shop-view"), F.lit("1")).alias("delta"))
+    t = fx.conversation_turns(spark, sf).withColumn("context", F.create_map(F.lit("shop-turn"), F.col("turn_id").cast("string")))
+    p = prompting.chat_prompt("Track the state.", F.array(example), F.col("context"), F.col("sys"), F.col("usr"))
+    return t.select("id", "turn_id", F.array_join(F.transform(p, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"))
+
+
+@query("SELECT event_id, 'shop-' || event_type AS slot, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c#' END AS value FROM events")
+def stopped_completions(spark, sf):
+    """Completions cut at the first stop sequence, then parsed."""
+    from ..functions.parsing import parse_pairs
+
+    e = table(spark, sf, "events").withColumn("tail", F.get(F.array(F.lit("a'}\n\n{'x': '1'}"), F.lit("b'}print('x')#"), F.lit("c#'}")), (F.col("event_id") % 3).cast("int")))
+    said = F.format_string("{'shop-%s': '%s", "event_type", "tail")
+    return e.select("event_id", F.explode(parse_pairs(prompting.stopped(said, ["\n\n", "", "print("]))).alias("slot", "value"))
