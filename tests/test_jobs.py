@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.functions import prompting, state
+from turnloom.functions import beliefs, prompting, state
 from turnloom.operators import dialogue, jobs
+from turnloom.sources import turns as sources
 
 
 def test_demonstrations_drop_the_own_dialogue_and_the_first_of_too_many(spark):
@@ -123,3 +124,25 @@ def test_attempts():
     assert len(tries) == 5
     with pytest.raises(ValueError):
         prompting.attempt(lambda p: int("x"), list, len, [])
+
+
+def test_belief_summaries(spark):
+    meta = {"hotel": {"book": {"booked": "[]", "day": "<Monday>", "stay": ""}, "semi": {"name": "not mentioned", "area": "do not care", "type": " Concerthall"}}, "police": {"book": {"booked": "[x]"}, "semi": {}}}
+    df = spark.createDataFrame([(meta,), (None,), ({},)], f"m {beliefs.META}")
+    full, *none = [r.r for r in df.select(beliefs.belief_summary(F.col("m")).alias("r")).collect()]
+    assert all(len(r.bits) == 94 for r in (full, *none)) and all(sum(r.bits) == 0 and r.active == r.pairs == [] for r in none)
+    hotel = 14 + 17 + 5
+    assert full.bits[hotel : hotel + 26] == [0, 1, 0, 0, 1, 0, 0, 0, 1, 0] + [0] * 12 + [0, 0, 1, 1] and full.bits[-2:] == [1, 0] and full.active == ["hotel"]
+    assert [tuple(p) for p in full.pairs] == [("hotel-book day", "|monday|"), ("hotel-area", "dontcare"), ("hotel-type", "concert hall")]
+
+
+def test_replacements(spark, tmp_path):
+    f = tmp_path / "pairs.tsv"
+    f.write_text("it's\tit is\nis\twas\n\n")
+    pairs = sources.read_replacements(spark, str(f))
+    assert pairs == [("it's", "it is"), ("is", "was")]
+    df = spark.createDataFrame([("it's so, is it",), ("this",), ("is",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(beliefs.mended(F.col("t"), pairs)).collect()] == ["it was so, was it", "this", "was", "", None]
+    f.write_text("no tab\n")
+    with pytest.raises(ValueError):
+        sources.read_replacements(spark, str(f))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import prompting
+from ..functions import beliefs, prompting
 from ..functions import state as S
 from ..functions import text as X
 from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection
@@ -841,3 +841,28 @@ def stopped_completions(spark, sf):
     e = table(spark, sf, "events").withColumn("tail", F.get(F.array(F.lit("a'}\n\n{'x': '1'}"), F.lit("b'}print('x')#"), F.lit("c#'}")), (F.col("event_id") % 3).cast("int")))
     said = F.format_string("{'shop-%s': '%s", "event_type", "tail")
     return e.select("event_id", F.explode(parse_pairs(prompting.stopped(said, ["\n\n", "", "print("]))).alias("slot", "value"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS d, CASE WHEN event_id % 2 = 0 THEN '<' || event_id % 7 || '>' ELSE '' END AS day,
+  CASE event_id % 4 WHEN 0 THEN 'not mentioned' WHEN 1 THEN 'dont care' WHEN 2 THEN 'Night club ' ELSE '' END AS area FROM events),
+x AS (SELECT *, CASE WHEN day <> '' THEN '1' ELSE '0' END || CASE event_id % 4 WHEN 0 THEN '1001' WHEN 1 THEN '0101' WHEN 2 THEN '0011' ELSE '0000' END AS b FROM e)
+SELECT event_id, CASE WHEN d = 'view' THEN b ELSE '00000' END || CASE WHEN d = 'click' THEN b ELSE '00000' END AS bits,
+CASE WHEN d IN ('view', 'click') AND event_id % 4 < 3 THEN d ELSE '' END AS active,
+CASE WHEN d IN ('view', 'click') THEN concat_ws(';', CASE WHEN day <> '' THEN d || '-book day=|' || event_id % 7 || '|' END, CASE event_id % 4 WHEN 1 THEN d || '-area=dontcare' WHEN 2 THEN d || '-area=nightclub' END) ELSE '' END AS pairs FROM x""")
+def belief_bits(spark, sf):
+    """The state that an event annotates, of two domains with a booking and a search slot each."""
+    n = F.col("event_id")
+    day = F.when(n % 2 == 0, F.format_string("<%d>", n % 7)).otherwise("")
+    area = F.get(F.array(F.lit("not mentioned"), F.lit("dont care"), F.lit("Night club "), F.lit("")), (n % 4).cast("int"))
+    block = F.struct(F.create_map(F.lit("day"), day).alias("book"), F.create_map(F.lit("area"), area).alias("semi"))
+    layout = [(d, ("day",), ("area",)) for d in ("view", "click")]
+    r = table(spark, sf, "events").select("event_id", beliefs.belief_summary(F.create_map("event_type", block), layout).alias("r"))
+    pairs = F.array_join(F.transform("r.pairs", lambda p: F.concat_ws("=", p["slot"], p["value"])), ";")
+    return r.select("event_id", F.array_join(F.col("r.bits").cast("array<string>"), "").alias("bits"), F.array_join("r.active", ",").alias("active"), pairs.alias("pairs"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) > 2 THEN substr(t, 2, length(t) - 2) ELSE '' END AS text FROM (
+  SELECT doc_id, replace(replace(' ' || text || ' ', ' the ', ' that '), ' that ', ' this ') AS t FROM documents WHERE text IS NOT NULL)""")
+def mended_texts(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", beliefs.mended(F.col("text"), [("the", "that"), ("that", "this")]).alias("text"))

@@ -41,6 +41,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("ID"))
 
 
+def read_replacements(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Pairs of a file with a tab between what is replaced and by what, in the file's order: a configured list, a line each.
+    A line without a tab is an error."""
+    lines = spark.read.text(path, wholetext=True).first()
+    pairs = [tuple(x.split("\t")) for x in (lines.value if lines else "").splitlines() if x]
+    if any(len(p) != 2 for p in pairs):
+        raise ValueError(f"a line of {path} is not a pair")
+    return pairs
+
+
 def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
     """A log grows by appending; nothing that was written is written again."""
     df.write.mode(mode).json(path)
