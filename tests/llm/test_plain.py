@@ -110,6 +110,39 @@ def test_media_headers_of_other_streams():
     assert media.header(b"\xff\xff\xff\xff") is None and media.header(b"\xff") is None
 
 
+@pytest.mark.parametrize(
+    "four, fill, bits",
+    [
+        ("fffe8400", 0, 256),  # MPEG-1 Layer I, 48 kHz, stereo
+        ("fffe84c0", 0, 128),  # mono
+        ("fffe8440", 0, 144),  # joint stereo from subband 4 on
+        ("fffca400", 0, 176),  # MPEG-1 Layer II, 192 kbit/s, 48 kHz, stereo
+        ("fffca400", 255, 176 + 2 * 54),  # every subband has bits
+        ("fffca440", 255, 88 + 16 + 2 * 54),  # joint from subband 4 on
+        ("fffcb000", 0, 188),  # 224 kbit/s, 44.1 kHz, stereo
+        ("fffc14c0", 0, 26),  # 32 kbit/s, 48 kHz, mono
+        ("fffc18c0", 255, 38 + 2 * 12),  # 32 kbit/s, 32 kHz, mono
+        ("fff490c0", 0, 75),  # MPEG-2 Layer II, 22.05 kHz, mono
+    ],
+)
+def test_checksums_of_other_layers(four, fill, bits):
+    four = bytes.fromhex(four)
+    body = bytes([fill]) * (media.header(four).length - 6)
+    said = "".join(f"{b:08b}" for b in four[2:] + body)[: 16 + bits]
+    c = 0xFFFF
+    for x in said:  # the definition, bit by bit
+        c = (c << 1) ^ (0x18005 if (c >> 15) ^ int(x) else 0)
+        c &= 0xFFFF
+    frame = four + c.to_bytes(2, "big") + body
+    assert (media.parse(frame * 3).checked, media.parse(frame * 3).bad_checksums) == (3, 0)
+    last, after = 6 + (bits - 1) // 8, 6 + bits // 8 + 1
+    within, beyond = bytearray(frame), bytearray(frame)
+    within[last] ^= 128 >> (bits - 1) % 8
+    beyond[after] ^= 1
+    assert media.parse(frame + bytes(within) + frame).bad_checksums == 1
+    assert media.parse(frame + bytes(beyond) + frame).bad_checksums == 0
+
+
 PII_TEXT = st.text(alphabet="a@.-+ 0123456789()%x", max_size=60)
 
 

@@ -380,3 +380,14 @@ def test_folders_are_shared_and_cleared(spark, tmp_path):
     assert df.count() == 3 and common.clear(spark) >= 1
     with pytest.raises(Exception):
         df.count()
+
+
+def test_media_of_the_query_by_plain_digests(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    rows = queries.op4_mpeg_audio(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        p = t + b"\xff" * (576 * max(1, -(-len(t) // 576)) - len(t))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert r.media_bytes > len(p) and len(r.media_sha256) == 64 and ";bad=0;skipped=0;" in r.feature

@@ -31,6 +31,9 @@ BITRATES = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+#: Fixed values of the format: Layer II's bits an allocation, as runs of (subbands, bits): few bits a channel at 44.1 or 48 kHz
+#: and at 32 kHz, middling ones, many ones, and the lower sampling rates of MPEG-2 and 2.5.
+ALLOCATIONS = {"few": ((2, 4), (6, 3)), "few32": ((2, 4), (10, 3)), "some": ((11, 4), (12, 3), (4, 2)), "many": ((11, 4), (12, 3), (7, 2)), "low": ((4, 4), (7, 3), (19, 2))}
 #: Bytes before the payload in a carrier frame: header, checksum, mono side information.
 HEAD, SIDE = 6, 17
 UNIT, FILL = 576, 255
@@ -55,6 +58,15 @@ def crc16(data: bytes, c: int = 0xFFFF) -> int:
     return c
 
 
+def _bits_crc(data: bytes, bits: int, c: int) -> int:
+    """The checksum over the first bits of some bytes."""
+    c = crc16(data[: bits // 8], c)
+    for i in range(bits % 8):
+        top = (c >> 15) ^ (data[bits // 8] >> (7 - i) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
     version: str
@@ -157,10 +169,35 @@ def _table(data: bytes, at: int, h: Header) -> tuple[str, int, int, bytes] | Non
     return None
 
 
+def _allocation_bits(four: bytes, h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers in Layers I and II: the subbands' allocations (from the bound on, joint
+    stereo has one for both channels), and in Layer II two more for each channel's subband that has bits."""
+    mode, extension = four[3] >> 6, four[3] >> 4 & 3
+    channels, bound = (1 if mode == 3 else 2), (4 + 4 * extension if mode == 1 else 32)
+    if h.layer == 1:
+        return 4 * (channels * bound + 32 - bound)
+    each = h.kbps // channels
+    kind = "low" if h.version != "1" else ("few32" if h.rate == 32000 else "few") if each <= 48 else "some" if each <= 80 or h.rate == 48000 else "many"
+    widths = [w for n, w in ALLOCATIONS[kind] for _ in range(n)]
+    value, size = int.from_bytes(body[:64], "big"), 8 * len(body[:64])
+    at = chosen = 0
+    for band, w in enumerate(widths):
+        apart = channels if band < bound else 1
+        for _ in range(apart):
+            at += w
+            if at <= size and value >> (size - at) & ((1 << w) - 1):
+                chosen += channels // apart
+    return at + 2 * chosen
+
+
 def _sound(data: bytes, at: int, h: Header, checks: dict[bytes, int]) -> bool | None:
-    """Whether a frame's checksum holds; None if it has none that is verified here (other layers cover coded bits)."""
-    if not h.protected or h.layer != 3:
+    """Whether a frame's checksum holds; None if it has none. A frame too short for what is covered is damaged."""
+    if not h.protected:
         return None
+    if h.layer != 3:
+        four, body = data[at : at + 4], data[at + 6 : at + h.length]
+        bits = _allocation_bits(four, h, body)
+        return bits <= 8 * len(body) and _bits_crc(body, bits, crc16(four[2:])) == data[at + 4] << 8 | data[at + 5]
     covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
     c = checks.get(covered)
     if c is None:
