@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from .common import shared_dir
+from .common import shared_dir, written
 from .language import identify
 from .media import features, store
 from .mixing import mix
 from .mixing_sql import mix_sql
 from .neighbours import nearest
 from .packing import pack
+from .phrases import collocations, collocations_sql
 from .pii import find_pii
+from .prefix_counts import budgets, prefix_table
+from .runs import periodic_runs, with_planted_period
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
@@ -66,7 +69,19 @@ def op10_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op5_weak_toxicity, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii, op9_word_backoff_language, op10_rotated_bit_neighbours)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets(written(prefix_table(table(spark, sf_dir, "documents"), vocabulary()), "prefixes"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(with_planted_period(table(spark, sf_dir, "documents")))
+
+
+_OPERATORS = (op1_token_files, op2_simhash, op3_best_fit_packing, op4_mpeg_audio, op5_weak_toxicity, op6_zstd_novelty_secrets, op7_mixing, op8_deobfuscated_pii, op9_word_backoff_language, op10_rotated_bit_neighbours, op11_collocations, op12_prefix_counts, op13_lyndon_runs)
 
 
 def _shipped(f: Callable) -> Callable:
@@ -82,5 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the mix has an SQL form; the others hash, encode, compress or learn."""
-    return {"op7_mixing": mix_sql()}
+    """The mix and the phrases have an SQL form; the others hash, encode, compress, extend or learn."""
+    return {"op7_mixing": mix_sql(), "op11_collocations": collocations_sql()}
