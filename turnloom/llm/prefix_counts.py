@@ -25,6 +25,8 @@ from .words import groups
 
 #: Tokens that a training window has.
 LIMIT = 512
+#: Bytes of pre-tokens and of their counts that a worker keeps, and bytes of text that are counted at once.
+KEPT, GROUP = 32 << 20, 4 << 20
 #: Pairs of tokens of which a worker remembers whether they stand.
 PAIRS = 1 << 18
 SCHEMA = "doc_id long, n_bytes long, width int, steps binary"
@@ -37,7 +39,7 @@ class PrefixCounter(Encoder):
         super().__init__(path)
         if not self.by_piece:
             raise ValueError(f"{path}: only byte-level BPE without a normalizer has prefix counts")
-        self.dtype = np.dtype("<u4")
+        self.dtype, self.kept = np.dtype("<i4"), KEPT
         merge = self.tok.model.tokenize
         self.tokens = ahocorasick.Automaton()
         self.text_of = {}
@@ -60,7 +62,7 @@ class PrefixCounter(Encoder):
                 last[end + 1], count[end + 1] = token, count[start] + 1
         if piece[0] == "'" and piece[1:] in CONTRACTED:  # before its end: an apostrophe, and letters
             count[2:-1] = range(2, len(count) - 1)
-        return np.array(count[1:], "<u4")
+        return np.array(count[1:], "<i4")
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [self.prefixes(p).tobytes() for p in pieces]
@@ -71,9 +73,9 @@ class PrefixCounter(Encoder):
         cut = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
         spaces = pa.array([data[a:b].tobytes().decode() for a, b in runs], pa.string())
         packed = self._looked_up(pa.concat_arrays([cut, spaces]))
-        flat = np.frombuffer(packed.buffers()[2], "<u4").astype(np.int64)
+        flat = np.frombuffer(packed.buffers()[2], "<i4")
         within = flat[: len(data)]
-        before = np.r_[0, np.cumsum(within[edges[1:] - 1])]  # of all pre-tokens before each
+        before = np.r_[0, np.cumsum(within[edges[1:] - 1])].astype("<i4")  # of all pre-tokens before each
         text = np.searchsorted(ends, edges[:-1], "right")
         before[:-1] -= np.r_[0, before[np.searchsorted(edges, ends)]][text]
         out = within + np.repeat(before[:-1], np.diff(edges))
@@ -154,7 +156,7 @@ def prefix_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
-        for b in groups(batches):
+        for b in groups(batches, size=GROUP):
             steps = [np.diff(t, prepend=0) for t in c.counts(b.column(1))]
             width = [1 if not len(s) or -128 <= s.min() and s.max() < 128 else 4 for s in steps]
             packed = pa.array([s.astype(f"<i{w}").tobytes() for s, w in zip(steps, width)], pa.binary())
