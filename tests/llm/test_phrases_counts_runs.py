@@ -269,6 +269,17 @@ def test_runs_take_near_linear_time():
 # --- words ---
 
 
+def test_slices_of_columns(counter):
+    r = random.Random(2)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randrange(6))) for _ in range(60)]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(words.groups([batch, batch.slice(0, 0)], size=40))
+    assert [x for b in parts for x in b.column(1).to_pylist()] == texts and len(parts) > 5
+    assert [x for b in parts for x in words.split(b.column(1)).words.to_pylist()] == words.split(batch.column(1)).words.to_pylist()
+    assert [c.tolist() for b in parts for c in counter.counts(b.column(1))] == [c.tolist() for c in counter.counts(batch.column(1))]
+    assert words.split(batch.column(1).slice(3, 0)).words.to_pylist() == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aBé .\t\n,\x0b日", max_size=12), max_size=5))
 def test_words(texts):

@@ -85,7 +85,7 @@ class PrefixCounter(Encoder):
         return out
 
     def counts(self, column: pa.Array) -> list[np.ndarray]:
-        column = column.cast(pa.string())
+        column = pa.concat_arrays([column.cast(pa.string())])  # from its first byte on
         ends, data = self._bytes(column)
         kinds = classes(data)
         odd = np.zeros(len(column), bool)

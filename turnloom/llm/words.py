@@ -24,9 +24,12 @@ class Words(NamedTuple):
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, offsets, data = column.cast(pa.large_string()).buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and len(column) else np.zeros(0, np.uint8)
+    c = column.cast(pa.large_string())
+    if not len(c):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64)[c.offset : c.offset + len(c) + 1]
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
 
 
 def _table(separators: bytes) -> np.ndarray:
