@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import beliefs, prompting
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection
+from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection, similarity
 from ..session import ship, table
+from ..shared import written
 from . import fixtures as fx
 from . import retrievers
 
@@ -369,27 +370,20 @@ def _beliefs(spark, sf):
     return fx.states(spark, sf).select("event_id", b.alias("b"))
 
 
-def _belief_classes(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Query turns (q, qb), and the classes of equal beliefs (label, b, h)."""
-    beliefs = _beliefs(spark, sf)
-    classes = beliefs.groupBy("b").agg(F.min("event_id").alias("label")).withColumn("h", S.heads(F.col("b")))
-    return beliefs.where("event_id % 50 = 0").select(F.col("event_id").alias("q"), F.col("b").alias("qb")), classes
-
-
-def _query_beliefs(turns: DataFrame) -> DataFrame:
-    return turns.select("qb").distinct().withColumn("qh", S.heads(F.col("qb")))
-
-
-def _similarity() -> Column:
-    return R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h")))
+def _belief_classes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query turns (q, class), the classes of their beliefs, and all classes of equal beliefs (label, b, members)."""
+    beliefs = _beliefs(spark, sf).withColumnRenamed("event_id", "label")
+    classes = written(similarity.classes(beliefs), "classes")
+    turns = similarity.membership(beliefs.where("label % 50 = 0"), classes).select(F.col("label").alias("q"), "class")
+    turns = written(turns, "turns")
+    return turns, classes.join(turns.select(F.col("class").alias("label")).distinct(), "label", "left_semi"), classes
 
 
 def belief_top(spark, sf, k: int) -> DataFrame:
-    """q, label, sim, rk: the k classes of beliefs most similar to each query turn's belief, of all classes. Each distinct
-    belief of a query turn meets the classes once, in blocks of the query side."""
-    turns, classes = _belief_classes(spark, sf)
-    near = search.paired(_query_beliefs(turns), classes, "qb").select("qb", "label", _similarity().alias("sim"))
-    return turns.join(search.ranked(near, "qb", score="sim", k=k), "qb").select("q", "label", "sim", "rk")
+    """q, label, sim, rk: the k classes of beliefs most similar to each query turn's belief, of all classes."""
+    turns, wanted, classes = _belief_classes(spark, sf)
+    near = similarity.most_similar(wanted, classes, k).withColumnRenamed("q", "class")
+    return turns.join(near, "class").select("q", "label", "sim", "rk")
 
 
 _PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round({_f1('x.b', 'y.b')} + {_f1('x.h', 'y.h')} - 1, 6) AS sim FROM be x JOIN cl y ON true)"
@@ -397,14 +391,15 @@ _PAIRS = f"{_BELIEF}, pr AS (SELECT x.i AS q, y.i AS label, round({_f1('x.b', 'y
 
 @query(f"WITH {fx.SQL_STATE}, {_PAIRS} SELECT q, label, sim FROM pr WHERE sim >= 0.6e0")
 def sv_similarity_pairs(spark, sf):
-    """At this similarity two beliefs share a value or are both empty, so only those pairs are made: a pair under the
-    smallest value that it shares, and the empty ones under a key of their own."""
-    turns, classes = _belief_classes(spark, sf)
-    keys = lambda c: F.explode(F.when(F.size(c) == 0, F.array(F.lit(""))).otherwise(F.col(c)))
-    q = _query_beliefs(turns).withColumn("k", keys("qb"))
-    near = q.join(classes.withColumn("k", keys("b")), "k").where((F.col("k") == "") | (F.col("k") == F.array_min(F.array_intersect("qb", "b"))))
-    near = near.select("qb", "label", _similarity().alias("sim")).where("sim >= 0.6")
-    return turns.join(near, "qb").select("q", "label", "sim")
+    turns, wanted, classes = _belief_classes(spark, sf)
+    near = similarity.similar(wanted, classes, 0.6).withColumnRenamed("q", "class")
+    return turns.join(near, "class").select("q", "label", "sim")
+
+
+@query(f"WITH {fx.SQL_STATE}, {_BELIEF} SELECT bel.event_id, min(m.event_id) AS class, count(*) AS members FROM bel JOIN bel m ON m.b = bel.b GROUP BY bel.event_id")
+def belief_membership(spark, sf):
+    """Which class a turn's belief is of, and how many turns are: what takes the classes of the queries here to rows."""
+    return similarity.membership(_beliefs(spark, sf).withColumnRenamed("event_id", "label")).withColumnRenamed("label", "event_id")
 
 
 @query(f"WITH {fx.SQL_STATE}, l AS (SELECT id, turn_id, coalesce(list(s || g ORDER BY s) FILTER (WHERE g IS NOT NULL), []) AS gl, coalesce(list(s || p ORDER BY s) FILTER (WHERE p IS NOT NULL), []) AS pl FROM state GROUP BY id, turn_id) SELECT id, turn_id, round({_fb('gl', 'pl')}, 6) AS f FROM l")
@@ -426,18 +421,15 @@ def retriever_quality(spark, sf):
 def belief_rows(spark, sf, k: int) -> DataFrame:
     """q, label, sim, rk: the k turns, of all turns but the query's own, whose beliefs are most similar to a query turn's.
 
-    Distinct beliefs of queries meet all classes of beliefs, empty ones too. A class's first row is the one it is named
-    after, so the first k + 1 rows are among the first k + 1 rows of the first k + 1 classes.
+    A class's first row is the one it is named after, so the first k + 1 rows are among the first k + 1 rows of the first
+    k + 1 classes.
     """
-    beliefs = _beliefs(spark, sf)
-    c = beliefs.groupBy("b").agg(F.min("event_id").alias("label")).withColumn("h", S.heads(F.col("b")))
-    turns = beliefs.where("event_id % 50 = 0")
-    q = turns.select("b").distinct().select(F.col("b").alias("qb"), S.heads(F.col("b")).alias("qh"))
-    near = search.paired(q, c, "qb").select("qb", "b", "label", R6(S.distinct_similarity(F.col("qb"), F.col("qh"), F.col("b"), F.col("h"))).alias("sim"))
-    near = search.ranked(near, "qb", score="sim", k=k + 1).select("qb", "b", "sim")
-    members = search.ranked(beliefs.select("b", F.col("event_id").alias("label")), "b", score="label", k=k + 1, ascending=True).drop("rk")
-    rows = search.ranked(near.join(members, "b").select("qb", "label", "sim"), "qb", score="sim", k=k + 1).drop("rk")
-    own = turns.select(F.col("event_id").alias("q"), F.col("b").alias("qb")).join(rows, "qb").where("q <> label")
+    turns, wanted, classes = _belief_classes(spark, sf)
+    near = similarity.most_similar(wanted, classes, k + 1).select("q", F.col("label").alias("class"), "sim")
+    rows = similarity.membership(_beliefs(spark, sf).withColumnRenamed("event_id", "label"), classes)
+    members = search.ranked(rows.select("class", "label"), "class", score="label", k=k + 1, ascending=True).drop("rk")
+    rows = search.ranked(near.join(members, "class").select("q", "label", "sim"), "q", score="sim", k=k + 1).drop("rk")
+    own = turns.join(rows.withColumnRenamed("q", "class"), "class").where("q <> label")
     return search.ranked(own.select("q", "label", "sim"), "q", score="sim", k=k)
 
 
