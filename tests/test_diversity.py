@@ -102,7 +102,7 @@ def test_multiply_div_top_k(spark, lists):
     from turnloom.operators import fusion
 
     pools = defaultdict(list)
-    for r in fusion.fuse(*catalog._sides(spark, SF), k_s=10, k_b=10).collect():
+    for r in fusion.fuse(catalog._sides(spark, SF), k_s=10, k_b=10).collect():
         pools[r.q].append((r.label, r.score))
     want = {}
     for q, p in pools.items():

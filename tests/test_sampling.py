@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import fusion, sampling, search, selection
+from turnloom.operators import sampling, scan, selection
 from turnloom.plans import retrievers
 
+from .test_diversity import okapi
+
 
 def _order(keys, seed):
     return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k))
@@ -55,17 +57,23 @@ def sides(spark):
         v = r.standard_normal(8)
         rows.append((i, (v / np.linalg.norm(v)).tolist(), " ".join(r.choice(words, 12))))
     corpus = spark.createDataFrame(rows, "label long, v array<double>, text string").cache()
-    q = corpus.where("label % 10 = 0")
-    dense = search.dense_scores(q, corpus)
-    sparse = search.bm25_scores(q, corpus, "label", "text", "label", "text").where("q <> label")
-    return corpus, sparse, dense
+    vectors = {i: np.array(v) for i, v, _ in rows}
+    s = {(q, x): float(vectors[q] @ vectors[x]) for q in range(0, 40, 10) for x in range(40) if x != q}
+    b = {(q, x): score for q in range(0, 40, 10) for x, score in enumerate(okapi([t.split() for *_, t in rows], rows[q][2].split())) if x != q}
+    return corpus, s, b
+
+
+def hybrid(corpus, dialogues=None):
+    if dialogues is not None:
+        corpus = corpus.join(dialogues, "label")
+    return scan.Hybrid(corpus.where("label % 10 = 0"), corpus)
 
 
 @pytest.mark.parametrize("logic", retrievers.LOGICS)
 def test_every_strategy_by_name(spark, sides, logic):
-    corpus, sparse, dense = sides
+    corpus, _, _ = sides
     dialogues = corpus.select("label", F.floor(F.col("label") / 5).alias("dialogue"))
-    got = retrievers.decode_hybrid(sparse, dense, logic, 3, 2, corpus, dialogues=dialogues).collect()
+    got = retrievers.decode_hybrid(hybrid(corpus, dialogues), logic, 3, 2, corpus).collect()
     for q in range(0, 40, 10):
         mine = sorted((r.rk, r.label) for r in got if r.q == q)
         assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and len({m[1] for m in mine}) == 5
@@ -73,13 +81,12 @@ def test_every_strategy_by_name(spark, sides, logic):
 
 
 def test_strategies_by_brute_force(spark, sides):
-    corpus, sparse, dense = sides
-    s = {(r.q, r.label): r.score for r in dense.collect()}
-    b = {(r.q, r.label): r.score for r in sparse.collect()}
+    corpus, s, b = sides
+    both = hybrid(corpus)
     v = {r.label: np.array(r.v) for r in corpus.collect()}
     first = lambda score, q: sorted((x for x in range(40) if x != q), key=lambda x: (-round(score.get((q, x), 0.0), 6), x))
     for q in range(0, 40, 10):
-        of = lambda logic: [r.label for r in sorted(retrievers.decode_hybrid(sparse, dense, logic, 3, 3, corpus).where(F.col("q") == q).collect(), key=lambda r: r.rk)]  # noqa: E731, B023
+        of = lambda logic: [r.label for r in sorted(retrievers.decode_hybrid(both, logic, 3, 3, corpus).where(F.col("q") == q).collect(), key=lambda r: r.rk)]  # noqa: E731, B023
         assert of("top_k_round_robin") == selection.alternate(first(s, q), first(b, q), 6)
         left, chosen = {x: round(s[q, x], 6) for x in first(s, q)[:6]}, []
         while left:
@@ -92,22 +99,16 @@ def test_strategies_by_brute_force(spark, sides):
         zs, zb = z({x: s[q, x] for x in range(40) if x != q}), z({x: b.get((q, x), 0.0) for x in range(40) if x != q})
         pool = set(first(s, q)[:6]) | set(first(b, q)[:6])
         assert of("multiply_top_k") == sorted(pool, key=lambda x: (-round(zs[x] * zb[x], 6), x))[:6]  # noqa: B023
+        assert of("weighted_sum") == sorted(pool, key=lambda x: (-round((zs[x] + zb[x]) / 2, 6), x))[:6]  # noqa: B023
+        place = lambda m: {x: i for i, x in enumerate(sorted((x for x in range(40) if x != q), key=lambda x: (-round(m[q, x], 9), x)), 1)}  # noqa: E731, B023
+        ps, pb = place(s), place(b)
+        assert of("rrf") == sorted(ps, key=lambda x: (-round(1 / (59 + ps[x]) + 1 / (59 + pb[x]), 6), x))[:6]  # noqa: B023
 
 
 def test_unknown_strategies_are_errors(sides):
-    corpus, sparse, dense = sides
+    corpus, _, _ = sides
     for logic, c in (("else", corpus), ("sbert_div", None)):
         with pytest.raises(ValueError):
-            retrievers.decode_hybrid(sparse, dense, logic, corpus=c)
+            retrievers.decode_hybrid(None, logic, corpus=c)
     assert retrievers.decoder("f1_top_k") is selection.most_similar_states
     assert retrievers.decoder("hybrid") is retrievers.decode_hybrid
-
-
-def test_dense_top_by_brute_force(spark, sides, monkeypatch):
-    corpus, _, dense = sides
-    monkeypatch.setattr(search, "QUERY_ROWS", 3)
-    twice = corpus.unionByName(corpus.withColumn("label", F.col("label") + 100))  # ties
-    got = sorted(tuple(r) for r in search.dense_top(corpus, twice, 4).collect())
-    want = search.ranked(search.dense_scores(corpus, twice).withColumn("score", F.round("score", 6)), "q", k=4)
-    assert got == sorted(tuple(r) for r in want.select("q", "label", "score", "rk").collect())
-    assert search.dense_top(corpus.limit(0), corpus, 3).count() == 0

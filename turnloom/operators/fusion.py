@@ -1,53 +1,48 @@
-"""Fusing a sparse and a dense ranking: sides are (q, label, score) tables, over the same candidates of each query."""
+"""Fusing a sparse and a dense ranking. Only candidates that can enter a pool are carried; what is taken over all candidates
+of a query (means, deviations, extremes, places) comes as sums from the scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import Hybrid
 from .search import ranked
 
+#: What a place counts for: 1 / (place + SHIFT), places from 1.
+SHIFT = 59
 
-def complete(sparse: DataFrame, dense: DataFrame) -> DataFrame:
-    """q, label, s (dense), b (sparse) of all dense candidates; a candidate that shares no token has a sparse score of 0,
-    and counts as such in all statistics."""
-    return dense.select("q", "label", F.col("score").alias("s")).join(sparse.select("q", "label", F.col("score").alias("b")), ["q", "label"], "left").fillna(0.0, ["b"])
 
+def standardized(pool: DataFrame, sums: DataFrame, how: str = "z") -> DataFrame:
+    """``pool`` (q, label, s, b, ...) with zs and zb: z-scores (population deviation) or min-max shares, by the sums of each
+    query's candidates; equal scores, or a query without sums, give 0."""
 
-def standardized(both: DataFrame, how: str = "z") -> DataFrame:
-    """s and b as z-scores (population deviation) or min-max shares over each query's candidates; equal scores give 0."""
-    w = Window.partitionBy("q")
+    def std(x: Column, side: str) -> Column:
+        mean, dev, low, high = (F.col(f"{side}_{c}") for c in ("mean", "dev", "low", "high"))
+        z = F.when(dev > 1e-12, (x - mean) / dev) if how == "z" else F.when(high > low, (x - low) / (high - low))
+        return z.otherwise(0.0)
 
-    def std(c: str) -> Column:
-        x = F.col(c)
-        if how == "z":
-            d = F.stddev_pop(x).over(w)
-            return F.when(d > 1e-12, (x - F.avg(x).over(w)) / d).otherwise(0.0)
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
-        return F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0)
+    both = pool.join(sums, "q", "left")
+    return both.select(*pool.columns, std((F.col("s") + 1) / 2, "s").alias("zs"), std(F.col("b"), "b").alias("zb"))
 
-    return both.withColumn("s01", (F.col("s") + 1) / 2).select("q", "label", "s", "b", std("s01").alias("zs"), std("b").alias("zb"))
 
+def fuse(sides: Hybrid, logic: str = "multiply_top_k", k_s: int = 5, k_b: int = 5, alpha: float = 0.5, how: str = "z", digits: int = 6) -> DataFrame:
+    """q, label, score, rk of the k_s + k_b best by product, weighted sum, or reciprocal places. Pools are twice k a side.
 
-def pooled(scored: DataFrame, pool_s: int, pool_b: int) -> DataFrame:
-    """Only candidates in the first pool_s of the dense or the first pool_b of the sparse side."""
-    rs = F.row_number().over(Window.partitionBy("q").orderBy(F.round("s", 9).desc(), "label"))
-    rb = F.row_number().over(Window.partitionBy("q").orderBy(F.round("b", 9).desc(), "label"))
-    return scored.withColumn("rs", rs).withColumn("rb", rb).where((F.col("rs") <= pool_s) | (F.col("rb") <= pool_b))
-
-
-def fuse(sparse: DataFrame, dense: DataFrame, logic: str = "multiply_top_k", k_s: int = 5, k_b: int = 5, alpha: float = 0.5, how: str = "z", digits: int = 6) -> DataFrame:
-    """q, label, score, rk of the k_s + k_b best by product, weighted sum, or reciprocal ranks. Pools are twice k a side."""
+    By reciprocal places all candidates compete. The first k of a side have 1 / (k + SHIFT) or more, and one that is behind
+    the first 2 k + SHIFT on both sides has less, so only those before are placed exactly.
+    """
     if logic not in ("multiply_top_k", "weighted_sum", "rrf"):
         raise ValueError(f"unknown decoding logic: {logic}")
-    both = complete(sparse, dense)
+    k = k_s + k_b
     if logic == "rrf":
-        r = pooled(both, 1 << 30, 1 << 30)
-        score = 1 / (F.col("rs") + 59.0) + 1 / (F.col("rb") + 59.0)
+        pool = sides.places(sides.lists(2 * k + SHIFT))
+        score = 1 / (F.col("rs") + float(SHIFT)) + 1 / (F.col("rb") + float(SHIFT))
     else:
-        r = pooled(standardized(both, how), 2 * k_s, 2 * k_b)
+        pool = sides.lists(2 * max(k_s, k_b)).where((F.col("rs") <= 2 * k_s) | (F.col("rb") <= 2 * k_b))
+        pool = standardized(pool, sides.sums(), how)
         score = F.col("zs") * F.col("zb") if logic == "multiply_top_k" else alpha * F.col("zs") + (1 - alpha) * F.col("zb")
-    return ranked(r.select("q", "label", F.round(score, digits).alias("score")), "q", k=k_s + k_b)
+    return ranked(pool.select("q", "label", F.round(score, digits).alias("score")), "q", k=k)
 
 
 def interleaved(sparse: DataFrame, dense: DataFrame, k: int) -> DataFrame:

@@ -1,20 +1,11 @@
-"""Sparse and dense top-k search, as joins and windows."""
+"""Ranked lists, BM25 within pools, and draws; ``scan`` has the searches over whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
-
+from .scan import EPSILON, K1, B, tokens
 
 def ranked(df: DataFrame, by: str | list[str], score: str = "score", tie: str = "label", k: int | None = None, ascending: bool = False) -> DataFrame:
     """rk (from 1) within ``by``, by score, ties by label; only the first k if given (the plan then prunes groups early)."""
@@ -29,32 +20,6 @@ def top_k(df: DataFrame, k: int, by: str = "q") -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("rk").desc())))
 
 
-def term_table(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """label and its tokens."""
-    return corpus.select(F.col(id_col).alias("label"), tokens(F.col(text_col)).alias("toks"))
-
-
-def bm25_scores(queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, id_col: str, text_col: str) -> DataFrame:
-    """q, label, score of every pair that shares a token: Okapi BM25, with negative weights replaced by a quarter of the
-    vocabulary's mean weight, and query tokens counted as often as they occur.
-
-    Document frequencies are counted before any shuffle sees a document's text; only tokens of queries enter the join,
-    whose query side is a row a distinct token and query.
-    """
-    docs = term_table(corpus, id_col, text_col)
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("toks").cast("double")).alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = df.join(F.broadcast(stats), how="inner", on=F.lit(True)).select("tok", weight.alias("w"), "avgdl")  # stats is one row
-    mean = raw.agg(F.avg("w").alias("mean"))
-    q = queries.select(F.col(q_id).alias("q"), F.explode(tokens(F.col(q_text))).alias("tok")).groupBy("q", "tok").agg(F.count("*").alias("qn"))
-    idf = raw.join(q.select("tok").distinct(), "tok").join(F.broadcast(mean), F.lit(True)).select("tok", F.when(F.col("w") < 0, EPSILON * F.col("mean")).otherwise(F.col("w")).alias("idf"), "avgdl")
-    wanted = q.join(idf, "tok")
-    tf = docs.select("label", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(q.select("tok").distinct(), "tok", "left_semi").groupBy("label", "dl", "tok").agg(F.count("*").alias("f"))
-    part = F.col("qn") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wanted.join(tf, "tok").groupBy("q", "label").agg(F.sum(part).alias("score"))
-
-
 def bm25_pool_scores(pool: DataFrame) -> DataFrame:
     """q, label, score within each query's own pool: the statistics are those of the pool. ``pool``: q, qtext, label, text."""
     p = pool.select("q", tokens(F.col("qtext")).alias("qt"), "label", tokens(F.col("text")).alias("toks"))
@@ -79,81 +44,6 @@ def unit(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.select("label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-#: Most rows of a query side that is broadcast; a larger one is scanned in blocks of as many.
-QUERY_ROWS = 5000
-
-
-def paired(queries: DataFrame, corpus: DataFrame, key: str, on: Column | None = None) -> DataFrame:
-    """Every row of a stated query set beside every row of ``corpus`` (or those that meet ``on``). The queries go to the
-    executors in blocks of at most about QUERY_ROWS rows, by a hash of ``key``; the corpus is never shuffled."""
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    out = None
-    for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
-        part = corpus.join(F.broadcast(block), F.lit(True) if on is None else on)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """q, label, score (cosine, rounded), rk: the first k of all rows of ``corpus`` but the query's own, ties to the smaller
-    label. Both: label, v (unit vectors); rows of another dimension than the queries' take no part.
-
-    Queries are taken in blocks of about QUERY_ROWS, of which the driver holds one at a time. A task multiplies blocks of
-    matrices and returns at most k rows a query, which are ranked in the end.
-    """
-    spark, schema, out = corpus.sparkSession, "q long, label long, score double", None
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    for i in range(blocks):
-        rows = queries.select("label", "v").where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).collect()  # about QUERY_ROWS
-        if rows:
-            d = max(len(r.v) for r in rows)
-            rows = [r for r in rows if len(r.v) == d]
-            ids, q = np.array([r.label for r in rows], np.int64), np.array([r.v for r in rows])
-            part = corpus.where(F.size("v") == d).select("label", "v").mapInArrow(_top_of(ids, q, k, digits), schema)
-            out = part if out is None else out.unionByName(part)
-    return ranked(out if out is not None else spark.createDataFrame([], schema), "q", k=k)
-
-
-def _top_of(ids: np.ndarray, q: np.ndarray, k: int, digits: int, rows: int = 4096):
-    """What a task does for a block of queries: keeps each one's first k of the rows that it has seen."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, label, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches:
-            for one in range(0, batch.num_rows, rows):
-                b = batch.slice(one, rows)
-                names = b.column(0).to_numpy()
-                s = np.round(q @ b.column(1).flatten().to_numpy().reshape(len(names), -1).T, digits)
-                s[ids[:, None] == names[None, :]] = -np.inf
-                least = np.partition(s, max(0, len(names) - k), axis=1)[:, max(0, len(names) - k)]
-                i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                at, label, score = np.r_[at, i], np.r_[label, names[j]], np.r_[score, s[i, j]]
-                order = np.lexsort((label, -score, at))
-                at, label, score = at[order], label[order], score[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                at, label, score = at[place < k], label[place < k], score[place < k]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(label), pa.array(score)], names=["q", "label", "score"])
-
-    return scan
-
-
-def without_own_dialogue(scores: DataFrame, dialogues: DataFrame) -> DataFrame:
-    """``scores`` (q, label, ...) without rows whose query is of the label's dialogue. ``dialogues``: label, dialogue."""
-    of = lambda c: dialogues.select(F.col("label").alias(c), F.col("dialogue").alias(f"_{c}_dialogue"))
-    both = scores.join(of("q"), "q", "left").join(of("label"), "label", "left")
-    return both.where(~F.col("_q_dialogue").eqNullSafe(F.col("_label_dialogue"))).select(scores.columns)
-
-
-def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """q, label, score (cosine) of a stated query set against all rows, own row aside. Both: label, v (unit vectors).
-
-    The query set goes to the executors in blocks of at most QUERY_ROWS rows; the corpus is never shuffled.
-    """
-    q = queries.select(F.col("label").alias("q"), F.col("v").alias("qv"))
-    return paired(q, corpus, "q", F.col("q") != F.col("label")).select("q", "label", dot(F.col("qv"), F.col("v")).alias("score"))
-
-
 def numbered(df: DataFrame, key: str = "label", buckets: int = 1024) -> DataFrame:
     """``df`` with at, from 0 without gaps: numbers within hash buckets, after the sizes of the buckets before."""
     b = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))

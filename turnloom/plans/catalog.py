@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import beliefs, prompting
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scoring, search, selection, similarity
+from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scan, scoring, search, selection, similarity
 from ..session import ship, table
 from ..shared import written
 from . import fixtures as fx
@@ -52,10 +52,11 @@ R6 = lambda c: F.round(c, 6)
 _BENCH = fx.sql_bm25("SELECT item_id AS q, text AS qtext FROM benchmark", "SELECT doc_id AS label, text FROM documents")
 
 
-@query(f"WITH {_BENCH} SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM (SELECT q, label, round(score, 6) AS score FROM bm25)) WHERE rk <= 5")
+@query(f"""WITH {_BENCH}, listed AS (SELECT q, label, round(coalesce(score, 0e0), 6) AS score FROM (SELECT item_id AS q, doc_id AS label FROM benchmark, documents) LEFT JOIN bm25 USING (q, label))
+SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM listed) WHERE rk <= 5""")
 def bm25_topk(spark, sf):
-    s = search.bm25_scores(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
-    return search.ranked(s.withColumn("score", R6("score")), "q", k=5)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return scan.bm25_top(items, table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text"), 5)
 
 
 _POOL = """pool AS (SELECT d.q, d.label, qd.text AS qtext, dd.text AS text FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, label) AS rk FROM dense) d
@@ -68,7 +69,7 @@ idf AS (SELECT q, tok, CASE WHEN w < 0 THEN 0.25e0 * avg(w) OVER (PARTITION BY q
 
 
 def _dense_top(spark, sf, k):
-    return search.dense_top(fx.vector_queries(spark, sf), fx.vectors(spark, sf), k)
+    return scan.dense_top(fx.vector_queries(spark, sf), fx.vectors(spark, sf), k)
 
 
 def _pool(spark, sf, k=20):
@@ -128,34 +129,31 @@ def _fused(z: str, score: str, pool: int = 10, source: str = "zz") -> str:
     return f"WITH {_HYB}{', ' + z if z else ''}, {_CUT.format(source, pool)} SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM (SELECT q, label, round({score}, 6) AS score FROM cut)) WHERE rk <= 10"
 
 
-def _sides(spark, sf):
+def _sides(spark, sf, *also) -> scan.Hybrid:
     """Candidates are documents with a vector; BM25's statistics are those of all documents."""
-    every = table(spark, sf, "documents")
-    docs = every.join(fx.vectors(spark, sf).select(F.col("label").alias("doc_id")), "doc_id", "left_semi")
-    ids = docs.select(F.col("doc_id").alias("label"))
-    dense = search.dense_scores(fx.vector_queries(spark, sf).join(ids, "label", "left_semi"), fx.vectors(spark, sf).join(ids, "label", "left_semi"))
-    sparse = search.bm25_scores(docs.where(F.col("doc_id") % 50 == 0), every, "doc_id", "text", "doc_id", "text").where("q <> label")
-    return sparse, dense
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text", *also)
+    corpus = docs.join(fx.vectors(spark, sf), "label")
+    return scan.Hybrid(corpus.where("label % 50 = 0"), corpus, docs)
 
 
 @query(_fused(_Z, "zs * zb"))
 def hybrid_zscore_multiply(spark, sf):
-    return fusion.fuse(*_sides(spark, sf))
+    return fusion.fuse(_sides(spark, sf))
 
 
 @query(_fused(_MM, "zs * zb"))
 def hybrid_minmax_multiply(spark, sf):
-    return fusion.fuse(*_sides(spark, sf), how="minmax")
+    return fusion.fuse(_sides(spark, sf), how="minmax")
 
 
 @query(_fused(_Z, "0.5e0 * zs + 0.5e0 * zb"))
 def hybrid_weighted_sum(spark, sf):
-    return fusion.fuse(*_sides(spark, sf), logic="weighted_sum")
+    return fusion.fuse(_sides(spark, sf), logic="weighted_sum")
 
 
 @query(_fused("", "1 / (rs + 59e0) + 1 / (rb + 59e0)", 1 << 30, "cand"))
 def hybrid_rrf(spark, sf):
-    return fusion.fuse(*_sides(spark, sf), logic="rrf")
+    return fusion.fuse(_sides(spark, sf), logic="rrf")
 
 
 _OTHER = _HYB.replace("AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label))", "AS (SELECT q, label, hd.score AS s, coalesce(bm25.score, 0e0) AS b FROM hd LEFT JOIN bm25 USING (q, label) WHERE q // 20 <> label // 20)")
@@ -164,16 +162,13 @@ _OTHER = _HYB.replace("AS (SELECT q, label, hd.score AS s, coalesce(bm25.score,
 @query(_fused(_Z, "zs * zb").replace(_HYB, _OTHER))
 def hybrid_other_dialogues(spark, sf):
     """Twenty documents are a dialogue; a query's own leaves before any statistics are taken."""
-    sparse, dense = _sides(spark, sf)
-    dialogues = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), F.floor(F.col("doc_id") / 20).alias("dialogue"))
-    return retrievers.decode_hybrid(sparse, dense, "multiply_top_k", 5, 5, dialogues=dialogues)
+    return retrievers.decode_hybrid(_sides(spark, sf, F.floor(F.col("doc_id") / 20).alias("dialogue")), "multiply_top_k", 5, 5)
 
 
-def _lists(spark, sf):
-    sparse, dense = _sides(spark, sf)
-    both = fusion.complete(sparse, dense)
-    r = lambda c: search.ranked(both.select("q", "label", R6(c).alias("score")), "q", k=20)
-    return r("b"), r("s")
+def _lists(spark, sf, k: int = 20):
+    """The first k of both sides, sparse and dense."""
+    sides = _sides(spark, sf)
+    return sides.one("b", k), sides.one("s", k)
 
 
 _LISTS = "la AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, label) AS rs, row_number() OVER (PARTITION BY q ORDER BY round(b, 6) DESC, label) AS rb FROM cand)"
@@ -217,7 +212,7 @@ def div_select_bm25(spark, sf):
 @query()
 def multiply_div_top_k(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text")
-    f = fusion.fuse(*_sides(spark, sf), k_s=10, k_b=10)
+    f = fusion.fuse(_sides(spark, sf), k_s=10, k_b=10)
     return selection.diverse_mixed(_with_vectors(spark, sf, f).join(docs, "label"), 5, 0.2, 20)
 
 
@@ -803,9 +798,8 @@ z AS (SELECT q, label, round(CASE WHEN sd > 1e-12 AND bd > 1e-12 THEN ((s + 1) /
 SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM z) WHERE rk <= 10""")
 def hybrid_remembered(spark, sf):
     """Scores of even candidates, standardised as the odd ones' were."""
-    both = fusion.complete(*_sides(spark, sf))
-    z = jobs.standardized_by(both.where("label % 2 = 0"), jobs.remembered(both.where("label % 2 = 1")))
-    return search.ranked(z.select("q", "label", R6(F.col("zs") * F.col("zb")).alias("score")), "q", k=10)
+    sides = _sides(spark, sf)
+    return sides.products(sides.sums(F.col("label") % 2 == 1), 10, F.col("label") % 2 == 0)
 
 
 @query(f"WITH {fx.SQL_DENSE} SELECT q, label FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, label) AS rk FROM dense) WHERE rk <= 20")

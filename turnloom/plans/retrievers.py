@@ -7,45 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, search, selection
+from ..operators import fusion, scan, search, selection
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """queries: q, text; corpus: label, text."""
-    return search.ranked(search.bm25_scores(queries, corpus, "q", "text", "label", "text"), "q", k=k)
+    return scan.bm25_top(queries, corpus, k)
 
 
 def embedding(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Both with label and v, unit vectors."""
-    return search.dense_top(queries, corpus, k)
+    return scan.dense_top(queries, corpus, k)
 
 
 #: The strategies that a hybrid decoder is configured with by name; the last two decode one side alone.
 LOGICS = ("multiply_top_k", "weighted_sum", "rrf", "top_k_round_robin", "div_topk_round_robin", "multiply_div_top_k", "round_robin_div_top_k", "bm25_div", "sbert_div")
 
 
-def decode_hybrid(sparse: DataFrame, dense: DataFrame, logic: str = "top_k_round_robin", k_s: int = 5, k_b: int = 5, corpus: DataFrame | None = None, alpha: float = 0.5, discount: float = 0.2, how: str = "z", pool: int | None = None, dialogues: DataFrame | None = None) -> DataFrame:
-    """q, label, rk of k_s + k_b choices from both sides (q, label, score), by the strategy of that name.
+def decode_hybrid(sides: scan.Hybrid, logic: str = "top_k_round_robin", k_s: int = 5, k_b: int = 5, corpus: DataFrame | None = None, alpha: float = 0.5, discount: float = 0.2, how: str = "z", pool: int | None = None) -> DataFrame:
+    """q, label, rk of k_s + k_b choices from both sides, by the strategy of that name.
 
     ``corpus`` (label, v, text) is what the diverse strategies compare; ``pool`` is how many of a side they see (twice its
-    k unless given). With ``dialogues`` (label, dialogue) a query's own dialogue leaves first.
+    k unless given).
     """
     if logic not in LOGICS:
         raise ValueError(f"unknown decoding logic: {logic}")
-    if dialogues is not None:
-        sparse, dense = (search.without_own_dialogue(x, dialogues) for x in (sparse, dense))
     if logic in ("multiply_top_k", "weighted_sum", "rrf"):
-        return fusion.fuse(sparse, dense, logic, k_s, k_b, alpha, how)
+        return fusion.fuse(sides, logic, k_s, k_b, alpha, how)
     k = k_s + k_b
     if logic != "top_k_round_robin" and corpus is None:
         raise ValueError(f"{logic} needs the corpus")
     n_s, n_b = pool or 2 * k_s, pool or 2 * k_b
     if logic == "multiply_div_top_k":
-        product = fusion.fuse(sparse, dense, "multiply_top_k", n_s, n_b, how=how)
+        product = fusion.fuse(sides, "multiply_top_k", n_s, n_b, how=how)
         return selection.diverse_mixed(product.join(corpus, "label"), k, discount, n_s + n_b)
-    both = fusion.complete(sparse, dense)
-    side = lambda c, n: search.ranked(both.select("q", "label", F.round(c, 6).alias("score")), "q", k=max(n, 2 * k))
-    s, b = side("s", n_s), side("b", n_b)
+    s, b = sides.one("s", max(n_s, 2 * k)), sides.one("b", max(n_b, 2 * k))
     if logic == "top_k_round_robin":
         return selection.round_robin(s, b, k)
     s, b = (x.join(corpus, "label") for x in (s, b))
@@ -58,10 +54,10 @@ def decode_hybrid(sparse: DataFrame, dense: DataFrame, logic: str = "top_k_round
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, k: int, logic: str = "multiply_top_k", dialogues: DataFrame | None = None) -> DataFrame:
-    """Both with label, v and text."""
-    sparse = search.bm25_scores(queries, corpus, "label", "text", "label", "text").where("q <> label")
-    dense = search.dense_scores(queries.select("label", "v"), corpus.select("label", "v"))
-    return decode_hybrid(sparse, dense, logic, k, k, corpus.select("label", "v", "text"), dialogues=dialogues)
+    """Both with label, v and text. With ``dialogues`` (label, dialogue) a query's own dialogue is left out."""
+    if dialogues is not None:
+        queries, corpus = (x.join(dialogues.select("label", "dialogue"), "label", "left") for x in (queries, corpus))
+    return decode_hybrid(scan.Hybrid(queries, corpus), logic, k, k, corpus.select("label", "v", "text"))
 
 
 def random(queries: DataFrame, corpus: DataFrame, k: int, seed: int = 0) -> DataFrame:
