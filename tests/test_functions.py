@@ -1,6 +1,7 @@
 """Hand cases of the scalar functions, and properties of the state algebra."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -99,10 +100,61 @@ def test_reference_values():
 
 def test_aliases_and_numbers():
     assert {"acorn", "the acorn", "the acorn hotel"} <= canonical.aliases("the acorn guest house")
-    assert "restaurant two two" in canonical.aliases("restaurant 2 2")
+    assert canonical.reads_as("restaurant 2 2", "restaurant two two", False)
     assert canonical.spell(1234) == "one thousand, two hundred and thirty-four"
 
 
+def test_number_runs_of_any_length_are_joined(spark):
+    long = "9" * 500
+    for value, want in ((f"{long} {long}  7", f"{long}{long}7"), ("a 1 2 b 3 4c 5 6", "a 12 b 3 4c 56"), ("1 2 3 4 5", "12345"), ("1a 2 b2 3", "1a 2 b2 3")):
+        assert one(spark, "v string", (value,), X.normalize(F.col("v")).alias("n")).n == want
+
+
+def test_numbers_of_any_length_and_number():
+    names = "zero one two three four five six seven eight nine".split()
+    for value in ("1 2 3 4 5", "17 9 a 200 0", " ".join("7" * 40), "12345678901234567 x"):
+        toks = value.split()
+        for picked in (set(), {0}, {len(toks) - 1}, {1, 3}, set(range(len(toks)))):
+            for digits in (False, True):
+                alias = " ".join(canonical.worded(t, digits) if i in picked else t for i, t in enumerate(toks))
+                assert canonical.reads_as(value, alias, digits) and canonical.fold(alias, digits) == canonical.fold(value, digits)
+    assert canonical.fold("1 2 3 4 5", False) == " ".join(names[1:6])
+    assert not canonical.reads_as("two", "2", False) and not canonical.reads_as("2 2", "two", False) and not canonical.reads_as("2", "2 2", False)
+    assert canonical.spell(10**15 + 7) == "one quadrillion and seven" and canonical.worded("9" * 70, False) == "9" * 70
+    assert canonical.worded("9" * 66, False).startswith("nine hundred and ninety-nine vigintillion")
+
+
+@pytest.mark.parametrize("fuzzy", [40, 60, 70, 85, 95])
+def test_fuzzy_pairs_equal_all_comparisons(spark, fuzzy):
+    r = random.Random(fuzzy)
+    word = lambda: "".join(r.choice("abAB- ") for _ in range(r.randrange(1, 14)))
+    known = {(s, word()) for s in "xy" for _ in range(60)} | {("x", "a"), ("y", "")}
+    asked = {(s, w[:3] + r.choice(["", "a", "bb"]) + w[4:]) for s, w in known} | {("x", "b"), ("x", "")}
+    got = canonical._fuzzy(spark.createDataFrame(sorted(asked), "slot string, form string"), spark.createDataFrame(sorted(known), "slot string, canonical string"), fuzzy).collect()
+    score = lambda a, b: canonical.ratio(canonical.processed(a), canonical.processed(b))
+    assert {tuple(x) for x in got} == {(s, a, k, score(a, k)) for s, a in asked for z, k in known if s == z and score(a, k) >= fuzzy}
+
+
+def test_canonical_forms(spark):
+    known = [("hotel-name", "acorn guest house"), ("hotel-name", "hotel 1 two 3 4 5"), ("hotel-name", "pizza hut fen ditton"), ("hotel-name", "arbury lodge"), ("hotel-name", "arbury lodgf"), (None, "x"), ("hotel-name", None)]
+    values = {
+        ("hotel-name", "acorn guest house"): "acorn guest house",
+        ("hotel-name", "the acorn"): "acorn guest house",
+        ("hotel-name", "hotel 1 2 3 4 5"): "hotel 1 two 3 4 5",
+        ("hotel-name", "the hotel 1 2 3 4 5"): "hotel 1 two 3 4 5",
+        ("hotel-name", "pizza hut fenditton"): "pizza hut fen ditton",
+        ("hotel-name", "nothing like it"): None,
+        ("train-leaveat", "9:05"): "09:05",
+        ("train-leaveat", "noon"): None,
+        ("train-arriveby", "dontcare"): "dontcare",
+        ("taxi-colour", "red"): None,
+    }
+    v = spark.createDataFrame([*values, ("hotel-name", None), (None, "x"), ("hotel-name", "the acorn")], "slot string, value string")
+    got = {(r.slot, r.value): r.canonical for r in canonical.canonical(v, spark.createDataFrame(known, "slot string, value string"), 95).collect()}
+    assert got == values
+    assert canonical.canonical(v.limit(0), spark.createDataFrame(known, "slot string, value string")).count() == 0
+
+
 def test_round_robin_ends_and_skips():
     assert selection.alternate([1, 2, 3], [1, 4], 10) == [1, 4, 2, 3]
     assert selection.alternate([], [], 3) == []

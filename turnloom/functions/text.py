@@ -144,6 +144,11 @@ def spaced(c: Column, token: str) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"(?<=[^ ])(?!(?<=\d){t}\d)(?={t})", " "), rf"(?<!\d){t}(?=[^ ])|{t}(?=[^ \d])", f"{token} ")
 
 
+#: Neighbouring words of digits alone become one: each gets a mark at both ends (noncharacters, which no text has), the space
+#: between two marks goes, then the marks.
+JOINED = ((r"(?<!\S)(\d+)(?!\S)", "\ufdd0$1\ufdd1"), ("\ufdd1\\s+\ufdd0", ""), ("[\ufdd0\ufdd1]", ""))
+
+
 def normalize(c: Column) -> Column:
     """A surface value in canonical spelling: case, spacing, punctuation, adjoining numbers and known variants."""
     c = F.lower(c)
@@ -158,7 +163,7 @@ def normalize(c: Column) -> Column:
         c = spaced(c, token)
     c = F.regexp_replace(c, r"(?<=[^ ])(?='s)", " ")
     c = F.regexp_replace(c, r"'s(?=[^ ])", "'s ")
-    for old, new in ((r"^'", ""), (r"'$", ""), (r"'\s", " "), (r"\s'", " "), (r" +", " "), (r"(?<=(?:^|\s)\d{1,200})\s+(?=\d+(?:\s|$))", ""), (r"^\s+|\s+$", ""), (r"\s+", " "), (r" s ", "s "), (r" s$", "s")):
+    for old, new in ((r"^'", ""), (r"'$", ""), (r"'\s", " "), (r"\s'", " "), (r" +", " "), *JOINED, (r"^\s+|\s+$", ""), (r"\s+", " "), (r" s ", "s "), (r" s$", "s")):
         c = F.regexp_replace(c, old, new)
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in VALUE_REPLACEMENTS.items() for x in kv)), c), c)
 

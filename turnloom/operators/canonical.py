@@ -1,51 +1,77 @@
-"""Values to their canonical form: exact, by alias, then by fuzzy ratio. Aliases and ratios are plain Python, run once a
-distinct value in Arrow batches."""
+"""Values to their canonical form: exact, by alias, then by fuzzy ratio.
+
+Aliases add or cut the usual beginnings and ends of names; numbers may be in words, in any choice. The choices aren't
+enumerated: a name and its alias have the same fold (all numbers in words), so folds are joined, and the pair is read word by
+word. Fuzzy candidates come from an index of two-letter grams: a pair that reaches the ratio shares so many of them that it
+shares one of a value's rarest, and only such pairs are compared. Folds, grams and ratios are plain Python, run once a
+distinct value or candidate in Arrow batches.
+"""
 
 from __future__ import annotations
 
+import math
+import re
 from difflib import SequenceMatcher
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_time
+
 #: What names may begin and end with.
 PREFIXES = ("the ",)
 SUFFIXES = (" hotel", " restaurant", " cinema", " guest house", " theatre", " airport", " street", " gallery", " museum", " train station")
+#: Slots (without their domain) whose values are times.
+TIME_SLOTS = ("leaveat", "arriveby", "book time")
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: Names of the powers of 1000.
+_THOUSANDS = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion undecillion duodecillion tredecillion quattuordecillion quindecillion sexdecillion septendecillion octodecillion novemdecillion vigintillion".split()
 
 
 def spell(n: int) -> str:
-    """A whole number in English words."""
+    """A whole number below 10**66 in English words."""
     if n < 20:
         return _ONES[n]
     if n < 100:
         return _TENS[n // 10 - 2] + ("-" + _ONES[n % 10] if n % 10 else "")
     if n < 1000:
         return _ONES[n // 100] + " hundred" + (" and " + spell(n % 100) if n % 100 else "")
-    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")):
-        if n >= size:
-            rest = n % size
-            return spell(n // size) + " " + name + ((" and " if rest < 100 else ", ") + spell(rest) if rest else "")
-    raise AssertionError
-
-
-def numeral_aliases(value: str, most: int = 4) -> set[str]:
-    """The value with every choice of its numbers in words, read whole and digit by digit (at most ``most`` numbers vary)."""
-    toks = value.split()
-    at = [i for i, t in enumerate(toks) if t.isdecimal() and t.isascii() and len(t) < 13][:most]
-    out = set()
-    for size in range(len(at) + 1):
-        for chosen in combinations(at, size):
-            for word in (lambda t: spell(int(t)), lambda t: " ".join(spell(int(d)) for d in t)):
-                out.add(" ".join(word(t) if i in chosen else t for i, t in enumerate(toks)))
-    return out
+    power = (len(str(n)) - 1) // 3
+    first, rest = divmod(n, 1000**power)
+    return f"{spell(first)} {_THOUSANDS[power - 1]}" + ((" and " if rest < 100 else ", ") + spell(rest) if rest else "")
+
+
+def worded(token: str, digits: bool) -> str:
+    """A token that is a number in words, read whole or digit by digit; numbers too long for words, and all else, as they are."""
+    if not (token.isdecimal() and token.isascii()):
+        return token
+    if digits:
+        return " ".join(_ONES[int(d)] for d in token)
+    return spell(int(token)) if len(token.lstrip("0")) <= 3 * len(_THOUSANDS) + 3 else token
+
+
+def fold(value: str, digits: bool) -> str:
+    return " ".join(worded(t, digits) for t in value.split())
+
+
+def reads_as(alias: str, value: str, digits: bool) -> bool:
+    """Whether ``value`` is ``alias`` with any of its numbers in words."""
+    words, at = value.split(), 0
+    for t in alias.split():
+        spelled = worded(t, digits).split()
+        if words[at : at + 1] == [t]:
+            at += 1
+        elif words[at : at + len(spelled)] == spelled:
+            at += len(spelled)
+        else:
+            return False
+    return at == len(words)
 
 
 def aliases(value: str) -> set[str]:
-    """Forms of a name with and without the usual beginnings and ends, and with numbers in words."""
+    """Forms of a name with and without the usual beginnings and ends."""
     cut = {value}
     for p in ("", *PREFIXES):
         for s in ("", *SUFFIXES):
@@ -56,43 +82,114 @@ def aliases(value: str) -> set[str]:
         for p in ("", *(p for p in PREFIXES if not a.startswith(p))):
             for s in ("", *(s for s in SUFFIXES if not a.endswith(s))):
                 out.add(p + a + s)
-    return out.union(*map(numeral_aliases, out))
+    return out
+
+
+def processed(value: str) -> str:
+    """What a ratio compares: lower case, letters and digits, with spaces for all else."""
+    return re.sub(r"\W", " ", value).lower().strip()
 
 
 def ratio(a: str, b: str) -> int:
-    return round(100 * SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio())
+    return round(100 * SequenceMatcher(None, a, b).ratio())
+
+
+def grams(value: str) -> list[str]:
+    """Two-letter grams, the n-th of its kind with its number."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(value) - 1):
+        g = value[i : i + 2]
+        seen[g] = seen.get(g, 0) + 1
+        out.append(f"{g}\0{seen[g]}")
+    return out
+
+
+def looked_up(value: str, t: float) -> tuple[list[str], int]:
+    """Grams by which all values that reach the ratio ``t`` are found, and how many of them, the rarest, are enough.
+
+    Lengths a and b that reach t match M = t (a + b) / 2 letters or more, in a + b - 2 M + 1 runs at most, so they share M
+    less that many grams, and b is a t / (2 - t) at least. One of the rarest is among those, unless that comes to nothing:
+    then the lengths that b may have stand for grams.
+    """
+    a, g = len(value), grams(value)
+    shared = math.ceil(2 * a / (2 - t) * (1.5 * t - 1) - 1 - 1e-9)
+    if 0 < shared <= len(g):
+        return g, len(g) - shared + 1
+    lengths = [f"\0{n}" for n in range(int(a * t / (2 - t)), int(a * (2 - t) / t) + 2)]
+    return lengths, len(lengths)
+
+
+def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
+    """slot, form, canonical and r (the ratio) of all pairs that reach ``fuzzy``. ``asked``: slot, form; ``known``: slot,
+    canonical; both distinct, compared as ``processed``."""
+    t = max(0.01, (fuzzy - 0.5) / 100)
+
+    @F.pandas_udf("struct<gram:array<string>,enough:int,size:int>")
+    def to_look_up(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*looked_up(processed(x), t), len(processed(x))) for x in s], columns=["gram", "enough", "size"])
+
+    @F.pandas_udf("struct<gram:array<string>,length:int>")
+    def held(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([([*grams(x), f"\0{len(x)}"], len(x)) for x in s.map(processed)], columns=["gram", "length"])
+
+    @F.pandas_udf("int")
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(processed(x), processed(y)) for x, y in zip(a, b)], dtype="int32")
+
+    index = known.withColumn("g", held("canonical")).select("slot", "canonical", F.col("g.length").alias("length"), F.explode("g.gram").alias("gram"))
+    often = index.groupBy("slot", "gram").agg(F.count("*").alias("n"))
+    wanted = asked.withColumn("g", to_look_up("form")).select("slot", "form", F.col("g.enough").alias("enough"), F.col("g.size").alias("size"), F.explode("g.gram").alias("gram"))
+    rarest = Window.partitionBy("slot", "form").orderBy(F.coalesce("n", F.lit(0)), "gram")
+    few = wanted.join(often, ["slot", "gram"], "left").withColumn("at", F.row_number().over(rarest)).where("at <= enough and n is not null")
+    met = few.select("slot", "form", "size", "gram").join(index, ["slot", "gram"])
+    pairs = met.where(2 * F.least("size", "length") >= (t - 1e-9) * (F.col("size") + F.col("length"))).select("slot", "form", "canonical").distinct()
+    return pairs.withColumn("r", ratios("form", "canonical")).where(F.col("r") >= fuzzy)
 
 
 def canonical(values: DataFrame, known: DataFrame, fuzzy: int = 90) -> DataFrame:
     """slot, value, canonical of each distinct (slot, value); null if there is none or if it is ambiguous.
 
-    ``known``: slot, value. Exact matches join first; aliases of the rest are exploded and joined; what is still open is
-    compared by ratio with the slot's known values of nearly its length only, which no match at ``fuzzy`` can fall outside.
+    ``known``: slot, value. Exact matches join first; aliases of the rest are exploded and joined by their folds, the smallest
+    of several matches counts. What is still open is compared by ratio: its aliases as they are, with all numbers in words,
+    and with all in words digit by digit; the best match of each counts (ties: the smallest), and they must agree. In a slot
+    without known values times are brought to hh:mm (``TIME_SLOTS``, null if they are none); any other such slot has no
+    canonical values. Null values and slots go.
     """
-    v = values.select("slot", "value").where("value is not null").distinct()
-    k = known.select("slot", F.col("value").alias("canonical")).distinct()
+    v = values.select("slot", "value").where("slot is not null and value is not null").distinct()
+    k = known.select("slot", F.col("value").alias("canonical")).where("slot is not null and canonical is not null").distinct()
 
     @F.pandas_udf("array<string>")
     def alias_lists(s: pd.Series) -> pd.Series:
         return s.map(lambda x: sorted(aliases(x)))
 
+    @F.pandas_udf("array<string>")
+    def folds(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [f"{int(d)}{fold(x, d)}" for d in (False, True)])
+
+    @F.pandas_udf("boolean")
+    def readable(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([reads_as(x, y, z[0] == "1") for x, y, z in zip(a, b, f)], dtype=bool)
+
+    @F.pandas_udf("array<string>")
+    def forms(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: sorted({" ".join(x.split()), fold(x, False), fold(x, True)}))
+
     exact = v.join(k, (v["slot"] == k["slot"]) & (v["value"] == k["canonical"]), "left").select(v["slot"], "value", "canonical")
     done, rest = exact.where("canonical is not null"), exact.where("canonical is null").select("slot", "value")
+    slots = k.select("slot").distinct()
+    rest = rest.join(slots, "slot", "left_semi")
     spread = rest.select("slot", "value", F.explode(alias_lists("value")).alias("alias"))
-    by_alias = spread.join(k, (spread["slot"] == k["slot"]) & (spread["alias"] == k["canonical"])).groupBy(spread["slot"], "value").agg(F.min("canonical").alias("canonical"))
-    open_ = spread.join(by_alias, ["slot", "value"], "left_anti")
-
-    @F.pandas_udf("int")
-    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
-
-    # a ratio of r needs 2 min / (min + max) of the lengths to reach r: lengths differ by a bounded factor
-    n, m = F.length("alias"), F.length("canonical")
-    near = open_.alias("o").join(k.alias("k"), "slot").where(200 * F.least(n, m) >= (fuzzy - 1) * (n + m))
-    scored = near.withColumn("r", ratios("alias", "canonical")).where(F.col("r") >= fuzzy)
-    best = scored.withColumn("rk", F.row_number().over(Window.partitionBy("slot", "value", "alias").orderBy(F.col("r").desc(), "canonical"))).where("rk = 1")
-    by_ratio = best.groupBy("slot", "value").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").drop("n")
-    found = done.unionByName(by_alias).unionByName(by_ratio)
+    folded = spread.select("slot", "value", "alias", F.explode(folds("alias")).alias("fold"))
+    same = folded.join(k.select("slot", "canonical", F.explode(folds("canonical")).alias("fold")), ["slot", "fold"])
+    by_alias = same.where(readable("alias", "canonical", "fold")).groupBy("slot", "value").agg(F.min("canonical").alias("canonical"))
+    open_ = spread.join(by_alias, ["slot", "value"], "left_anti").select("slot", "value", F.explode(forms("alias")).alias("form"))
+    near = _fuzzy(open_.select("slot", "form").distinct(), k, fuzzy)
+    best = near.groupBy("slot", "form").agg(F.min(F.struct((-F.col("r")).alias("r"), "canonical"))["canonical"].alias("canonical"))
+    by_ratio = open_.join(best, ["slot", "form"]).groupBy("slot", "value").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").drop("n")
+    short = F.substring("slot", F.instr("slot", "-") + 1, 1 << 30)
+    times = v.join(slots, "slot", "left_anti").where(short.isin(*TIME_SLOTS)).select("slot", "value", canonical_time(F.col("value")).alias("canonical"))
+    found = done.unionByName(by_alias).unionByName(by_ratio).unionByName(times)
     return v.join(found, ["slot", "value"], "left").select("slot", "value", "canonical")
 
 

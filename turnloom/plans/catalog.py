@@ -678,11 +678,24 @@ def canonical_exact_alias(spark, sf):
     return canonical.canonical(*_names(spark, sf))
 
 
-@query()
+_SEEN = "substr(w, 1, length(w) // 2) || substr(w, length(w) // 2)"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{{{9,}}}}')) AS w FROM conversations), v AS (SELECT DISTINCT {_SEEN} AS value FROM k),
+pairs AS (SELECT value, w, length(value) + length(w) AS t FROM v JOIN k ON levenshtein(value, w) <= 4),
+seg AS (SELECT value, w, t, value AS a, w AS b, 0 AS n FROM pairs UNION ALL
+  SELECT value, w, t, unnest([substr(a, 1, i - 1), substr(a, i + m)]), unnest([substr(b, 1, strpos(b, substr(a, i, m)) - 1), substr(b, strpos(b, substr(a, i, m)) + m)]), unnest([m, 0]) FROM (
+    SELECT *, best.m AS m, -best.i AS i FROM (SELECT *, list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda m: {{{{'m': m, 'i': -i}}}}))), lambda x: contains(b, substr(a, -x.i, x.m)))) AS best FROM seg WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)),
+r AS (SELECT value, w, round(200e0 * sum(n) / any_value(t)) AS r FROM seg GROUP BY value, w),
+best AS (SELECT value, arg_min(w, {{{{'r': -r, 'w': w}}}}) AS canonical FROM r WHERE r >= 93 GROUP BY value)
+SELECT 'word' AS slot, value, CASE WHEN value IN (SELECT w FROM k) THEN value ELSE canonical END AS canonical FROM v LEFT JOIN best USING (value)""".replace("{{", "{").replace("}}", "}"))
 def fuzzy_canonical(spark, sf):
-    known = table(spark, sf, "customer").select(F.lit("name").alias("slot"), F.lower("c_mktsegment").alias("value"))
-    seen = table(spark, sf, "customer").select(F.lit("name").alias("slot"), F.concat(F.lower("c_mktsegment"), F.lit("s")).alias("value"))
-    return canonical.canonical(seen, known, 85)
+    """Long words of the conversations with a letter doubled, among all such words. No alias with a longer end reaches the ratio."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))
+    w = table(spark, sf, "conversations").select(F.explode(words).alias("w")).distinct()
+    half = F.floor(F.length("w") / 2).cast("int")
+    seen = w.select(F.lit("word").alias("slot"), F.concat(F.substring("w", F.lit(1), half), F.substring("w", half, F.length("w"))).alias("value"))
+    return canonical.canonical(seen, w.select(F.lit("word").alias("slot"), F.col("w").alias("value")), 93)
 
 
 @query("""SELECT event_id, 'shop-' || event_type AS slot, CAST(event_id % 5 AS VARCHAR) AS value FROM events""")
