@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import beliefs, prompting
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, fusion, jobs, mining, sampling, scan, scoring, search, selection, similarity
+from ..operators import canonical, dialogue, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
 from ..session import ship, table
 from ..shared import written
 from . import fixtures as fx
@@ -865,3 +865,61 @@ def belief_bits(spark, sf):
 def mended_texts(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", beliefs.mended(F.col("text"), [("the", "that"), ("that", "this")]).alias("text"))
+
+
+# --- the jobs around a model, with the offline stand-in ---
+
+
+def _narrow(messages: list[dict]) -> dict[str, float]:
+    """The stand-in with a window of two examples."""
+    if len(messages) > 6:
+        raise prompting.TooLong("more than two examples")
+    return prompting.stub(messages)
+
+
+def _shot(slot, value):
+    none = F.create_map().cast("map<string,string>")
+    return F.struct(none.alias("context"), F.lit("none").alias("sys"), F.lit("hello").alias("usr"), F.create_map(slot, value).alias("delta"))
+
+
+@query(f"""WITH {fx.SQL_CONV} SELECT x.id, x.turn_id, 2 AS n_examples, coalesce(string_agg(CASE WHEN y.turn_id > x.turn_id - 3 THEN 'shop-' || (y.turn_id % 3) || '=' || y.turn_id END, ';' ORDER BY y.turn_id % 3), '') AS pred
+FROM conv x JOIN conv y ON y.id = x.id AND y.turn_id <= x.turn_id GROUP BY x.id, x.turn_id""")
+def dialogue_predictions(spark, sf):
+    """All conversations through the model, turn by turn; the first of three examples doesn't fit. The stand-in repeats the
+    last example's delta, here a slot by the turn's number."""
+    turn = F.col("turn_id").cast("string")
+    slot = F.concat(F.lit("shop-"), (F.col("turn_id") % 3).cast("string"))
+    t = fx.conversation_turns(spark, sf).withColumn("examples", F.array(_shot(F.lit("shop-9"), F.lit("9")), _shot(F.lit("shop-8"), F.lit("8")), _shot(slot, turn)))
+    done = inference.run_dialogues(t, "Track the state.", _narrow)
+    return done.select("id", "turn_id", "n_examples", _shown("pred").alias("pred"))
+
+
+_GENERATED = f"""WITH {fx.SQL_CONV}, turns AS (SELECT id * 1000 + turn_id AS q, turn_id % 3 AS a, id % 2 AS b FROM conv),
+pm AS (SELECT q, a, b, label, iter, row_number() OVER (PARTITION BY q, iter ORDER BY md5(concat(q, ':', iter, ':', label)), label) - 1 AS op FROM turns, (SELECT unnest(range(5)) AS label), (SELECT unnest([0, 1]) AS iter)),
+gr AS (SELECT q, iter, op // 2 AS grp, count(*) AS n, CASE WHEN arg_max(label, op) % 3 = any_value(a) THEN 1e0 ELSE 0e0 END AS d, any_value(b) AS b FROM pm GROUP BY ALL),
+tot AS (SELECT q, iter, sum(d) AS td, sum(d * b) AS tf, sum(n) // 2 AS g FROM gr GROUP BY q, iter),
+sc AS (SELECT pm.q, label, count(*) AS occurence, sum(d) AS score_delta, sum(d * gr.b) AS score_full, round(sum(d - (td - d) / (g - 1)), 6) AS influence_delta, round(sum(d * gr.b - (tf - d * gr.b) / (g - 1)), 6) AS influence_full
+  FROM pm JOIN gr ON gr.q = pm.q AND gr.iter = pm.iter AND grp = op // 2 JOIN tot ON tot.q = pm.q AND tot.iter = pm.iter GROUP BY pm.q, label)"""
+
+
+def _generated(spark, sf):
+    text = lambda c: c.cast("string")
+    a, b = F.lit("shop-a"), F.lit("shop-b")
+    t = fx.conversation_turns(spark, sf).select((F.col("id") * 1000 + F.col("turn_id")).alias("q"), "sys", "usr", F.create_map(b, F.lit("1")).alias("context"), F.create_map(a, text(F.col("turn_id") % 3)).alias("gold_delta"), F.create_map(a, text(F.col("turn_id") % 3), b, text(F.col("id") % 2)).alias("gold"))
+    label = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("label")
+    examples = spark.range(1).select(label).select("label", _shot(a, text(F.col("label") % 3)).alias("x")).select("label", "x.*")
+    return inference.generate(t, t.select("q", label).withColumn("pos", F.col("label")), examples, 2, 2, 2, "influence_delta", "Track the state.", _narrow)
+
+
+@query(f"{_GENERATED} SELECT * FROM sc")
+def generated_scores(spark, sf):
+    """What each of a turn's five candidate examples does in the prompts that hold it: two iterations, groups of two."""
+    return _generated(spark, sf)[0]
+
+
+@query(f"""{_GENERATED}, best AS (SELECT q, list(label ORDER BY influence_delta DESC, label) AS l FROM sc GROUP BY q)
+SELECT q, l[2] || ',' || l[1] AS labels, 'shop-a=' || (l[1] % 3) || ';shop-b=1' AS pred, CASE WHEN l[1] % 3 = a AND b = 1 THEN 1 ELSE 0 END AS jga FROM best JOIN turns USING (q)""")
+def generated_choices(spark, sf):
+    """The two examples chosen for each turn, and what a last prompt with them predicts."""
+    chosen = _generated(spark, sf)[1]
+    return chosen.select("q", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), _shown("pred").alias("pred"), "jga")
