@@ -286,11 +286,11 @@ def _ranked(found: DataFrame, side: str, k: int, digits: int) -> DataFrame:
     return found.where(F.col("side") == side).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """q, label, score (cosine, rounded), rk: the first k of all rows of ``corpus`` but those of the query's label, ties to
-    the smaller label. Both: label, v (unit vectors); rows are compared with queries of their own dimension."""
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, own: bool = False) -> DataFrame:
+    """q, label, score (cosine, rounded), rk: the first k of all rows of ``corpus``, but those of the query's label unless
+    ``own``, ties to the smaller label. Both: label, v (unit vectors); rows are compared with queries of their own dimension."""
     q = written(queries.select(F.col("label").alias("q"), "v"), "queries")
-    found = _run(q, corpus.select("label", "v"), 1.0, lambda b: _search(b, k, "s", digits, False), FOUND)
+    found = _run(q, corpus.select("label", "v"), 1.0, lambda b: _search(b, k, "s", digits, own), FOUND)
     return _ranked(found, "s", k, digits).select("q", "label", F.round("s", digits).alias("score"), "rk")
 
 

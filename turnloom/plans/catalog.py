@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import beliefs, prompting
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
+from ..operators import canonical, dialogue, encoding, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
 from ..session import ship, table
-from ..shared import written
+from ..shared import shared_dir, written
+from ..sources import runs
 from . import fixtures as fx
 from . import retrievers
 
@@ -923,3 +924,34 @@ def generated_choices(spark, sf):
     """The two examples chosen for each turn, and what a last prompt with them predicts."""
     chosen = _generated(spark, sf)[1]
     return chosen.select("q", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), _shown("pred").alias("pred"), "jga")
+
+
+# --- encoders and runs ---
+
+_ENCODED = """list_transform(list_slice(list_filter(string_split(text, ' '), lambda w: w <> ''), 1, 512), lambda w: length(w))"""
+
+
+@query(f"""WITH t AS (SELECT 0 AS side, item_id AS label, {_ENCODED} AS ids FROM benchmark UNION ALL SELECT 1, doc_id, {_ENCODED} FROM documents),
+m AS (SELECT side, label, [1e0, list_avg(list_transform(ids, lambda x: x % 7)), list_avg(list_transform(ids, lambda x: x % 5)), list_avg(list_transform(ids, lambda x: x % 3))] AS v FROM t WHERE len(ids) > 0),
+u AS (SELECT side, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM m),
+s AS (SELECT q.label AS q, d.label AS label, round(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])), 6) AS score FROM u q JOIN u d ON q.side = 0 AND d.side = 1)
+SELECT * FROM (SELECT q, label, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM s) WHERE rk <= 5""")
+def encoded_knn(spark, sf):
+    """Items and documents through the stand-in encoder, the documents' index written and read back, then searched."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text")
+    index = encoding.build_index(texts, encoding.load_stand_in, shared_dir(spark, "index"))
+    asked = encoding.encoded(table(spark, sf, "benchmark").select(F.col("item_id").alias("label"), "text"), encoding.load_stand_in)
+    of = lambda x: x.select("label", F.col("embedding").alias("v")).where(F.exists("v", lambda y: y != 0))
+    return scan.dense_top(of(asked), of(index), 5, own=True)
+
+
+@query("SELECT 'g' || conv_id % 2 AS grp, 'r' || conv_id % 4 AS run, CAST(conv_id AS VARCHAR) AS ID, turn AS turn_id, role AS completion FROM conversations WHERE conv_id % 2 = 1 AND conv_id % 4 <> 3")
+def tagged_runs(spark, sf):
+    """Conversations as the logs of four runs in two groups, two of them tagged as outdated; one group's runs that aren't."""
+    c = table(spark, sf, "conversations")
+    log = c.select(F.col("conv_id").cast("string").alias("ID"), F.col("turn").alias("turn_id"), F.create_map(F.lit("a"), F.lit("b")).alias("pred"), F.col("role").alias("completion"), "conv_id")
+    root = shared_dir(spark, "runs")
+    for i in range(4):
+        runs.write_run(log.where(F.col("conv_id") % 4 == i), [root], f"g{i % 2}", f"r{i}", "0", ["complete_run", *(["outdated"] if i > 1 else [])])
+    got = runs.read_runs(spark, root, ["complete_run"], ["outdated"]).where("grp = 'g1'")
+    return got.select("grp", "run", "ID", "turn_id", "completion")
