@@ -87,17 +87,6 @@ def test_parsers(spark):
     assert P.parse_python_completion("hotel = evil()", state) == state
 
 
-def test_code_and_references():
-    assert M.python_statements({"hotel-area": "north", "hotel-stars": "4", "taxi-leaveat": "[DELETE]"}) == 'agent.state.hotel = agent.find_hotel(area="north", stars=4)\ndel agent.state.taxi.depart_time'
-    assert M.state_reference({"hotel-area": "north"}, "restaurant-area", "north", ["same area"]) == "hotel-area"
-    assert M.state_reference({"hotel-area": "north"}, "restaurant-area", "north", ["in the north"]) is None
-    assert M.state_reference({"hotel-stay": "6"}, "restaurant-people", "6", ["please"]) is None
-
-
-def test_reference_values():
-    assert M.reference_values({"restaurant-area": "north", "hotel-stars": "dontcare", "bus-x": "1"}, {"hotel-area": "north|east"}, ["same area"]) == ["hotel-starsdontcare", "restaurant-area-state.hotel.area"]
-
-
 def test_aliases_and_numbers():
     assert {"acorn", "the acorn", "the acorn hotel"} <= canonical.aliases("the acorn guest house")
     assert canonical.reads_as("restaurant 2 2", "restaurant two two", False)

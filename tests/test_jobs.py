@@ -93,39 +93,6 @@ def test_parsers_by_format():
     assert prompting.parser_of("python-prompt")('agent.state.hotel = agent.find_hotel(area="north")', {"taxi-food": "x"}) == {"taxi-food": "x", "hotel-area": "north"}
 
 
-def test_prompts_in_code():
-    prior = {"taxi-leaveat": "10:15", "hotel-book stay": "3", "hotel-area": "state.taxi.area", "zoo-x": "a|b"}
-    turn = '    agent.state = BeliefState.from_dict({"hotel": {"book_number_of_days": 3, "area": state.taxi.area}, "taxi": {"depart_time": "10:15"}, "zoo": {"x": "a"}})\n    print("user: hi")\n'
-    assert prompting.code_turn(prior, "none", "hi") == turn
-    example = {"context": {}, "sys": "yes?", "usr": "north", "delta": {"hotel-area": "north"}}
-    m = prompting.code_prompt("s", "rules\n", [example], prior, None, "hi")
-    assert [x["role"] for x in m] == ["system", "user", "assistant", "user"] and m[-1]["content"] == "\n    #### Example 2 ####\n" + turn
-    assert m[1]["content"] == 'rules\n    \n\n    #### Example 1 ####\n    agent.state = BeliefState.from_dict({})\n    print("system: yes?")\n    print("user: north")\n'
-    assert m[2]["content"] == '    agent.state.hotel = agent.find_hotel(area="north")\n'
-    r = prompting.code_prompt("s", "", [example], prior, None, "hi", reverse=True)
-    assert r[1]["content"].endswith('find_hotel(area="north")\n') and r[-1]["content"] == "\n    #### Example 2 ####\n"
-
-
-def test_attempts():
-    def long_for(n):
-        def complete(prompt):
-            if len(prompt) > n:
-                raise prompting.TooLong
-            return {"bad": -2.0, "{}": -1.0}
-
-        return complete
-
-    assert prompting.attempt(long_for(2), list, len, [1, 2, 3]) == ({"bad": -2.0, "{}": -1.0}, [2, 3])
-    with pytest.raises(RuntimeError, match="0 that did not parse and 5"):
-        prompting.attempt(long_for(-1), list, len, [1, 2, 3])
-    tries = []
-    with pytest.raises(RuntimeError, match="5 that did not parse and 0"):
-        prompting.attempt(lambda p: tries.append(p) or {"x": 0.0}, list, lambda c: 1 / 0, [])
-    assert len(tries) == 5
-    with pytest.raises(ValueError):
-        prompting.attempt(lambda p: int("x"), list, len, [])
-
-
 def test_belief_summaries(spark):
     meta = {"hotel": {"book": {"booked": "[]", "day": "<Monday>", "stay": ""}, "semi": {"name": "not mentioned", "area": "do not care", "type": " Concerthall"}}, "police": {"book": {"booked": "[x]"}, "semi": {}}}
     df = spark.createDataFrame([(meta,), (None,), ({},)], f"m {beliefs.META}")

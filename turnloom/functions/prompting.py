@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .parsing import code_name, parse_nl_completion, parse_python_completion
-from .text import DELETE, DOMAINS, blank_none, first_value
+from .parsing import parse_nl_completion, parse_python_completion
+from .text import blank_none, first_value
 
 MESSAGE = "array<struct<role:string,content:string>>"
 #: Formats whose completions are code, and what ends a completion of a format (others end with their turn).
@@ -44,52 +42,6 @@ def chat_prompt(system: str, examples: Column, context: Column, sys: Column, usr
     return F.concat(F.array(message("system", F.lit(system))), shots, F.array(message("user", turn_message(context, sys, usr))))
 
 
-def python_statements(delta: dict[str, str]) -> str:
-    """A delta as code: a call a domain, then deletions; a marker if nothing changes."""
-    calls: dict[str, list[str]] = {}
-    gone = []
-    for slot, value in sorted(delta.items()):
-        domain, _, name = slot.partition("-")
-        if value == DELETE:
-            gone.append(f"del agent.state.{domain}.{code_name(name)}")
-        else:
-            quoted = value if value.startswith(("agent.state.", "state.")) or value.isdecimal() else '"' + value.replace('"', '\\"') + '"'
-            calls.setdefault(domain, []).append(f"{code_name(name)}={quoted}")
-    lines = [f"agent.state.{d} = agent.find_{d}({', '.join(a)})" for d, a in calls.items()] + gone
-    return "\n".join(lines) or "# no change"
-
-
-def state_reference(prior: dict[str, str], slot: str, value: str, texts: list[str]) -> str | None:
-    """The slot of the prior state that a new value refers to: an equal value that neither utterance says. Numbers and
-    yes or no refer to the same kind of slot only; dontcare never refers."""
-    name = slot.partition("-")[2]
-    if value == "dontcare":
-        return None
-    if value.isdecimal() or value in ("yes", "no"):
-        if any(f" {value} " in t for t in texts):
-            return None
-        return next((s for s, v in prior.items() if s.partition("-")[2] == name and v == value), None)
-    if any(value in t for t in texts):
-        return None
-    if name == "area" and value == "centre" and any("center" in t for t in texts):
-        return None
-    return next((s for s, v in prior.items() if v.lower() == value.lower()), None)
-
-
-def reference_values(delta: dict[str, str], prior: dict[str, str], texts: list[str], prefix: str = "state.", separator: str = ".") -> list[str]:
-    """slot-value strings of a delta in which a value that refers to the prior state is replaced by what it refers to."""
-    prior = {s: v.split("|")[0] for s, v in prior.items()}
-    out = []
-    for slot, value in sorted(delta.items()):
-        said = state_reference(prior, slot, value, texts)
-        if said:
-            domain, _, name = said.partition("-")
-            value = f"{prefix}{domain}{separator}{code_name(name)}"
-        if slot.partition("-")[0] in DOMAINS:
-            out.append(slot + ("" if value in ("none", "dontcare") else "-") + value)
-    return out
-
-
 def model(complete: Callable[[list[dict]], dict[str, float]]) -> Callable[[Column], Column]:
     """A completion model as a column function of prompts: Arrow batches in, a map of completion to log probability out."""
 
@@ -130,61 +82,5 @@ def parser_of(prompt_format: str, slots: frozenset[str] | None = None) -> Callab
     return lambda text, prior: parse_nl_completion(text, known)
 
 
-def prior_state_code(prior: dict[str, str]) -> str:
-    """A prior state as the statement that restores it; values that are references to slots stand unquoted."""
-    blocks: dict[str, dict[str, str | int]] = {}
-    for key, value in prior.items():
-        domain, _, name = key.partition("-")
-        blocks.setdefault(domain, {})[code_name(name)] = int(value) if re.fullmatch(r"[+-]?[0-9]+", value.strip()) else value
-    places = {d: i for i, d in enumerate(DOMAIN_ORDER)}
-    text = json.dumps(dict(sorted(blocks.items(), key=lambda x: places.get(x[0], len(places)))))
-    return f"agent.state = BeliefState.from_dict({re.sub(r'"(state[.][^"]*)"', r'\1', text)})"
-
-
-def code_turn(prior: dict[str, str], sys: str | None, usr: str) -> str:
-    """A turn as code: the prior state, what the system said (unless it was silent), what the user said."""
-    said = [f'print("system: {sys}")'] if sys and sys != "none" else []
-    return "".join(f"    {line}\n" for line in [prior_state_code({s: v.split("|")[0] for s, v in prior.items()}), *said, f'print("user: {usr}")'])
-
-
-def code_prompt(system: str, preamble: str, examples: list[dict], context: dict[str, str], sys: str | None, usr: str, reverse: bool = False) -> list[dict[str, str]]:
-    """Messages of a prompt in code: numbered examples (context, sys, usr, delta; worst first), then the query turn. With
-    ``reverse`` examples go from the statements to the turn, and the query turn is left empty."""
-    messages = [{"role": "system", "content": system}]
-    title = "\n    #### Example {} ####\n".format
-    for i, x in enumerate(examples, 1):
-        turn, does = code_turn(x["context"], x["sys"], x["usr"]), "".join(f"    {line}\n" for line in python_statements(x["delta"]).split("\n"))
-        asked, answer = (does, turn) if reverse else (turn, does)
-        messages += [{"role": "user", "content": title(i) + asked}, {"role": "assistant", "content": answer}]
-    messages.append({"role": "user", "content": title(len(examples) + 1) + ("" if reverse else code_turn(context, sys, usr))})
-    if preamble:
-        messages[1]["content"] = f"{preamble}    \n{messages[1]['content']}"
-    return messages
-
-
 class TooLong(Exception):
     """A model raises this for a prompt that exceeds its window."""
-
-
-def attempt(complete: Callable[[list[dict]], dict[str, float]], build: Callable[[list], list[dict]], parse: Callable[[str], object], examples: list) -> tuple[dict[str, float], list]:
-    """Completions whose likeliest one parses, and the examples that its prompt had.
-
-    A prompt that is too long loses its worst (first) example. After ATTEMPTS completions that don't parse, or as many
-    other failures, the last failure is raised from; a ValueError of the model is raised at once.
-    """
-    left, failed, last = list(examples), {"parse": 0, "other": 0}, None
-    while max(failed.values()) < ATTEMPTS:
-        kind = "other"
-        try:
-            completions = complete(build(left))
-            kind = "parse"
-            parse(max(completions, key=completions.get))
-            return completions, left
-        except TooLong as e:
-            last, left = e, left[1:]
-        except Exception as e:
-            if kind == "other" and isinstance(e, ValueError):
-                raise
-            last = e
-        failed[kind] += 1
-    raise RuntimeError(f"no completion after {failed['parse']} that did not parse and {failed['other']} other failures") from last

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import beliefs, prompting
+from ..functions import beliefs, code, prompting
 from ..functions import state as S
 from ..functions import text as X
 from ..operators import canonical, dialogue, encoding, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
@@ -955,3 +955,44 @@ def tagged_runs(spark, sf):
         runs.write_run(log.where(F.col("conv_id") % 4 == i), [root], f"g{i % 2}", f"r{i}", "0", ["complete_run", *(["outdated"] if i > 1 else [])])
     got = runs.read_runs(spark, root, ["complete_run"], ["outdated"]).where("grp = 'g1'")
     return got.select("grp", "run", "ID", "turn_id", "completion")
+
+
+# --- states as code and back ---
+
+
+def _coded(spark, sf):
+    s = fx.states(spark, sf).withColumn("before", dialogue.previous("gold"))
+    texts = F.array(F.lit(""), F.concat(F.lit("turn "), F.col("turn_id").cast("string")))
+    return s.select("id", "turn_id", "before", "gold", S.compute_delta(F.col("before"), F.col("gold")).alias("delta"), texts.alias("texts"))
+
+
+_CODED = f"""{_TWO}, d AS (SELECT id, turn_id, s, g, split_part(s, '-', 2) AS name FROM two WHERE g IS DISTINCT FROM h),
+r AS (SELECT d.id, d.turn_id, d.s, min(split_part(p.s, '-', 2)) AS refers FROM d JOIN two p ON p.id = d.id AND p.turn_id = d.turn_id AND p.h = d.g WHERE NOT contains('turn ' || d.turn_id, d.g) GROUP BY ALL),
+l AS (SELECT id, turn_id, string_agg(CASE WHEN g IS NULL THEN 'del agent.state.shop.' || name END, chr(10) ORDER BY s) AS gone,
+  string_agg(CASE WHEN g IS NOT NULL THEN name || '=' || coalesce('agent.state.shop.' || refers, '"' || g || '"') END, ', ' ORDER BY s) AS args FROM d LEFT JOIN r USING (id, turn_id, s) GROUP BY ALL)"""
+
+
+@query(f"{_CODED} SELECT t.id, t.turn_id, coalesce(concat_ws(chr(10), gone, 'agent.state.shop = agent.find_shop(' || args || ')'), 'agent.state.update({{}})  # no change') AS code FROM (SELECT DISTINCT id, turn_id FROM two) t LEFT JOIN l USING (id, turn_id)".replace("coalesce(concat_ws(", "coalesce(nullif(concat_ws(").replace("args || ')'), 'agent", "args || ')'), ''), 'agent"))
+def state_statements(spark, sf):
+    """What a turn changes, as code; a value that no text says and that another slot has is a reference to it."""
+    return _coded(spark, sf).select("id", "turn_id", code.statements(F.col("delta"), F.col("before"), F.col("texts")).alias("code"))
+
+
+@query(f"{_TWO} SELECT id, turn_id, coalesce(string_agg(CASE WHEN g IS NOT NULL THEN s || '=' || g WHEN h IS NOT NULL THEN s || '=[DELETE]' END, ';' ORDER BY s), '') AS state FROM two GROUP BY id, turn_id")
+def state_from_code(spark, sf):
+    """The code of a turn parsed against the state before, which gives the state after it."""
+    c = _coded(spark, sf)
+    said = code.statements(F.col("delta"), F.col("before"), F.col("texts"))
+    return c.select("id", "turn_id", _shown(code.parsed_code(said, F.col("before"))).alias("state"))
+
+
+@query(f"""WITH {fx.SQL_CONV} SELECT id, turn_id, concat('system: s', chr(10), 'user: rules    ', chr(10), chr(10), '    #### Example 1 ####', chr(10), '    agent.state = BeliefState.from_dict({{"hotel": {{"area": "north"}}}})', chr(10), '    print("user: hello")', chr(10), chr(10),
+  'assistant:     agent.state.restaurant = agent.find_restaurant(area=agent.state.hotel.area, book_people=2)', chr(10), chr(10), 'user: ', chr(10), '    #### Example 2 ####', chr(10), '    agent.state = BeliefState.from_dict({{"train": {{"book_people": ', turn_id, ', "leave_from": "x"}}}})', chr(10),
+  CASE WHEN sys = 'none' THEN '' ELSE concat('    print("system: ', sys, '")', chr(10)) END, '    print("user: ', usr, '")', chr(10)) AS prompt FROM conv""")
+def code_prompts(spark, sf):
+    """One fixed example with a reference, then each turn; messages by lines."""
+    m = lambda *kv: F.create_map(*map(F.lit, kv))
+    example = F.struct(m("hotel-area", "north").alias("context"), F.lit("none").alias("sys"), F.lit("hello").alias("usr"), m("restaurant-area", "north", "restaurant-book people", "2").alias("delta"))
+    context = F.create_map(F.lit("train-departure"), F.lit("x|y"), F.lit("train-book people"), F.col("turn_id").cast("string"))
+    p = code.code_prompt("s", "rules", F.array(example), context, F.col("sys"), F.col("usr"))
+    return fx.conversation_turns(spark, sf).select("id", "turn_id", F.array_join(F.transform(p, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("prompt"))
