@@ -195,6 +195,14 @@ def test_novelty():
     assert secrets.novel_spans("plain x7Gq9Zr2Lm4Tp8Vw1Nc5Kd3", []) == []
 
 
+def test_novelty_on_both_sides_and_at_any_distance():
+    key, far = "x7Gq9Zr2Lm4Tp8Vw1Nc5Kd3", "plain words in a row, " * 40
+    for t in (f"{key} is the password", f"the password {far}is {key}", f"{key} {far} password", f"password:\n  {key}\n"):
+        assert [t[s:e] for s, _, e in secrets.novel_spans(t, [])] == [key]
+    for t in (f"{key}\nthe password", f"password\n{far}\n{key}"):
+        assert secrets.novel_spans(t, []) == []
+
+
 def test_novelty_of_letters_alone():
     before, after = "the quick brown fox jumps over the lazy dog, and so on. " * 3, " was sent with the request of the day"
     for key in ("xQzGqWvZrKLmTpHV", "kVwQpZxRtNbJhGfYcMdLsXaE"):
@@ -232,25 +240,27 @@ def test_label_model_of_few_documents():
     assert p[y].min() > 0.25 > p[~y & (v.sum(1) == 0)].max()
 
 
-def _naive_novel(t, known):
-    """The same candidates by one search from every sensitive word to the text's end."""
-    found, done = [], 0
-    for w in re.finditer("|".join(secrets.SENSITIVE), t, re.A | re.I):
-        at = max(done, w.end())
-        for m in re.compile(r"[A-Za-z0-9+/_.=~-]{16,}").finditer(t, at):
-            if m.start() > w.end() + secrets.REACH or at > w.end() + secrets.REACH:
-                break
-            done, c = m.end(), m[0]
-            if any(s < m.end() and m.start() < e for s, _, e in known) or not any(x.isalpha() for x in c):
-                continue
-            least = secrets.NOVEL if any(x.isdigit() for x in c) else secrets.NOVEL_LETTERS
-            if secrets.marginal_bits(t[max(0, m.start() - secrets.AROUND) : m.start()], c, t[m.end() : m.end() + secrets.AROUND]) >= least:
-                found.append((m.start(), "novel", m.end()))
+def _naive_novel(t, known, reach=48, identifiers=""):
+    """All runs of key characters, with the sensitive words blotted out, that stand in a context."""
+    blotted, words = t, [m.span() for m in re.finditer("|".join(secrets.SENSITIVE), t, re.A | re.I)]
+    for a, b in words:
+        blotted = blotted[:a] + "\0" * (b - a) + blotted[b:]
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=~-]{16,}", blotted):
+        line = t.rfind("\n", 0, m.start()) + 1, (t + "\n").index("\n", m.start())
+        if not any(line[0] <= a < line[1] or b <= m.start() <= b + reach for a, b in words):
+            continue
+        c = m[0]
+        if any(s < m.end() and m.start() < e for s, _, e in known) or not any(x.isalpha() for x in c):
+            continue
+        least = secrets.NOVEL if any(x.isdigit() for x in c) else secrets.NOVEL_LETTERS
+        if secrets.marginal_bits(t[max(0, m.start() - secrets.AROUND) : m.start()], c, t[m.end() : m.end() + secrets.AROUND], identifiers) >= least:
+            found.append((m.start(), "novel", m.end()))
     return found
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["token", "secret", " ", ", ", "x7Gq9Zr2Lm4Tp8Vw1", "Nc5Kd3", "a" * 40, "bearer ", "the", "b" * 60 + " ", "=", "0f" * 20]), max_size=30).map("".join))
+@given(st.lists(st.sampled_from(["token", "secret", " ", "\n", "\n" * 50, ", ", "x7Gq9Zr2Lm4Tp8Vw1", "Nc5Kd3", "a" * 40, "bearer ", "the", "b" * 60 + " ", "=", "0f" * 20]), max_size=30).map("".join))
 def test_novel_spans_equal_a_naive_search(t):
     known = secrets.base_spans(t)
     assert secrets.novel_spans(t, known) == _naive_novel(t, known)
