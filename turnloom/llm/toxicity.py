@@ -188,27 +188,36 @@ def fit_label_model(n: int, ones: np.ndarray, pairs: np.ndarray, share: float) -
 
 
 def fit_classifier(hits: list[list[int]], labels: np.ndarray, width: int, penalty: float = 0.02, rounds: int = 12) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic regression on which features a document has, by Newton's method. Rows
-    are spread out in blocks, so that memory follows the features and not their product with the rows."""
-
-    def blocks(size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for start in range(0, len(hits), size):
-            x = np.zeros((len(hits[start : start + size]), width + 1), np.float32)
-            x[:, -1] = 1
-            for i, h in enumerate(hits[start : start + size]):
-                x[i, h] = 1
-            yield x, labels[start : start + size]
-
+    """Weights (the last is the bias) of a logistic regression on which features a document has, by Newton's method, each step
+    by conjugate gradients. Memory follows the hits of the sample's rows, never a matrix of features."""
+    n = len(hits)
+    row = np.repeat(np.arange(n), [len(h) + 1 for h in hits])
+    col = np.array([x for h in hits for x in (*h, width)], np.int64)
+    times = lambda v: np.bincount(row, v[col], n)  # noqa: E731  rows by features
+    back = lambda u: np.bincount(col, u[row], width + 1)
     w = np.zeros(width + 1)
     ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        g, h = -ridge * w, np.zeros((width + 1, width + 1))
-        for x, y in blocks():
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g += x.T @ (y - p)
-            h += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
-        w = w + np.linalg.solve(h + np.diag(ridge), g)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        g, spread = back(labels - p) - ridge * w, p * (1 - p)
+        # (X' S X + ridge) step = g, scaled by the diagonal
+        scale = 1 / (back(spread) + ridge)
+        step, left = np.zeros(width + 1), g.copy()
+        z = scale * left
+        way, size = z.copy(), left @ z
+        enough = 1e-20 * max(size, 1e-300)
+        for _ in range(4 * (width + 1)):
+            if size <= enough:
+                break
+            turned = back(spread * times(way)) + ridge * way
+            length = size / (way @ turned)
+            step += length * way
+            left -= length * turned
+            z = scale * left
+            size, before = left @ z, size
+            way = z + size / before * way
+        w = w + step
     return w
 
 
@@ -242,7 +251,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, out, most: int = SAMPLE) -> Da
     smallest text hash stands for all.
     """
     l = labels.where("doc_id is not null and toxic is not null").where(~out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    steps = 1 << 20
+    steps = 1 << 62  # fine enough for any number of labels
     share = min(1.0, 0.97 * most / max(1, l.count()))  # thinned where the rows are, so that few go on to the exact limit
     thin = l.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps)) if share < 1 else l
     l = thin.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
