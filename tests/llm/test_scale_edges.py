@@ -136,3 +136,76 @@ def test_common_identifiers_are_known(spark):
     alone, common = (secrets.marginal_bits("the password ", name, "", x) for x in ("", secrets.identifiers_of(docs)))
     assert common < 0.5 * alone
     assert secrets.identifiers_of(docs.limit(0)).split() == []
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp long, hits string, mix_shard int, mix_order string, label string, _copy int"
+ODD = [None, "", "   ", "the cat", "the cat", "word " * 20_000, "x" * 40_000, "write to a@b.co or +49 30 1234567", "Ünïcode 日本\x85", "you worthless idiot, you moron", "the quick brown fox jumps over the lazy dog"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    top = str(tmp_path_factory.mktemp("sf"))
+    rest = (None, 1, "h", 2, "o", "l", 3)
+    rows = [(i, t, "en", None if i % 3 else "s", *rest) for i, t in enumerate(ODD)] + [(3, "the cat", "en", None, *rest), (None, "the cat", None, None, *rest), (None, None, None, None, *rest)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(0, 1, None), (3, 0, 1), (9, 1, 1), (5, 1, 0), (None, 1, 1), (77, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    return top
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_and_empty_tables(spark, folder, empty):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.limit(0) if empty else docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "packing":
+            assert out.columns == docs.columns
+            if name != "mixing":
+                assert set(out.toPandas()["fp"]) <= {1} and set(out.toPandas()["_copy"]) <= {3}
+        n = out.count()
+        assert n == 0 if empty else n > 0
+        if name == "personal_data" and not empty:
+            assert n == docs.count() and out.where("text like '%a@b.co%'").count() == 0
+        if name == "near_dedup" and not empty:
+            assert out.where("text = 'the cat'").count() == 1
+
+
+def test_run_on_odd_and_empty_tables(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.run(spark, folder).toPandas()
+    assert len(packed) and packed["length"].max() <= 2048
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_task_a_shard(spark):
+    import corpus_pipeline
+
+    docs = table(spark, SF, "documents")
+    rows = corpus_pipeline.mixed(docs, shards=16).repartitionByRange(16, "mix_shard").select("mix_shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in rows}) >= 15  # by hash they met in 10
+
+
+def test_many_documents_in_one_shard(spark, tmp_path):
+    """All files of a shard are written and read by parts."""
+    from turnloom.llm import token_files
+    from turnloom.llm.tokenizing import vocabulary
+
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    files = token_files.write_token_files(docs, str(tmp_path), vocabulary(), shards=1)
+    assert [s.n_docs for s in files.shards] == [300_000] and files.n_ids == 900_000
+    r = token_files.read_token_files(spark, files).agg(F.sum("n_tokens"), F.max("start"), F.count_distinct("ids_crc32")).first()
+    assert tuple(r) == (900_000, 899_997, 1)
+
+
+def test_ranges_without_a_memory_map(tmp_path, monkeypatch):
+    from turnloom.llm import token_files
+
+    np.arange(10, dtype="<u4").tofile(tmp_path / "s.ids")
+    flat = token_files.Flat(str(tmp_path), "s", "ids", "<u4")
+    flat.file, flat.mapped = token_files.pafs.LocalFileSystem().open_input_file(str(tmp_path / "s.ids")), None
+    assert flat[3:7].tolist() == [3, 4, 5, 6] and flat[9:10].tolist() == [9] and flat[0:0].tolist() == []

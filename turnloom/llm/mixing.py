@@ -131,7 +131,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
 
 
 def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` once a copy taken, with ``mix_shard`` and ``mix_order`` (its place within the shard's local shuffle)."""
+    """The mix itself: each row of ``docs`` once a copy taken, with ``mix_shard`` and ``mix_order`` (its place within the
+    shard's local shuffle; ties are possible, and in any order). Null texts have a size of 0; null sources are one source;
+    very long texts count whole; repeated rows are documents of their own; an empty table gives no rows; other columns stay."""
     planned = mix(docs, seed=seed, **options)
     kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order", "mix_size", "mix_source_size", "mix_target", "mix_shards")]
     id_col = options.get("id_col", "doc_id")

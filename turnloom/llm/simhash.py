@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
 
 def deduplicated(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` (all columns) with one row of each component: the one of the smallest doc_id (null last), then of the
-    smallest text hash; of rows that repeat both, any one. Null and empty texts are one class; an empty table gives no rows."""
+    smallest text hash; of rows that repeat both, any one. Null and empty texts are one class; very long
+    texts are read whole; an empty table gives no rows."""
     fps = written(fingerprints(docs, words, seed, text_hash=True), "fingerprints")
     each = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     rooted = each.join(_named(fps), "fp")
