@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.functions import beliefs, prompting, state
+from turnloom.functions import text as X
 from turnloom.operators import dialogue, jobs
 from turnloom.sources import turns as sources
 
@@ -109,7 +110,7 @@ def test_replacements(spark, tmp_path):
     pairs = sources.read_replacements(spark, str(f))
     assert pairs == [("it's", "it is"), ("is", "was")]
     df = spark.createDataFrame([("it's so, is it",), ("this",), ("is",), ("",), (None,)], "t string")
-    assert [r[0] for r in df.select(beliefs.mended(F.col("t"), pairs)).collect()] == ["it was so, was it", "this", "was", "", None]
+    assert [r[0] for r in df.select(X.mended(F.col("t"), pairs)).collect()] == ["it was so, was it", "this", "was", "", None]
     f.write_text("no tab\n")
     with pytest.raises(ValueError):
         sources.read_replacements(spark, str(f))

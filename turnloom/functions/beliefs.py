@@ -58,12 +58,3 @@ def belief_summary(meta: Column, layout: Sequence = LAYOUT, clean: Callable[[Col
         bits += [*groups, says]
         active.append(F.when(says == 1, F.lit(domain)))
     return F.struct(F.array(*bits).alias("bits"), F.array_compact(F.array(*active)).alias("active"), F.array_compact(F.array(*pairs)).alias("pairs"))
-
-
-def mended(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """A text in which each first of a pair, where it stands between spaces or at an end, is replaced by the second, pair
-    after pair. Of two in a row that share a space only the first is."""
-    for a, b in pairs:
-        text = F.replace(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {a} "), F.lit(f" {b} "))
-        text = F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))
-    return text

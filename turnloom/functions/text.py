@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -168,6 +169,33 @@ def normalize(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in VALUE_REPLACEMENTS.items() for x in kv)), c), c)
 
 
+#: How phone numbers and postcodes are written in dialogues; their parts are put together.
+PHONE = r"\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4,5})"
+POSTCODE = r"([a-z])[. ]?([a-z])[. ]?(\d{1,2})[, ]+(\d)[. ]?([a-z])[. ]?([a-z])"
+
+
+def clean_text(c: Column, pairs: Sequence[tuple[str, str]] = ()) -> Column:
+    """A dialogue text as it is put on file: case, phone numbers, postcodes, spacing, punctuation, ``pairs`` of words mended one
+    after the other, and adjoining numbers of any length put together."""
+    c = F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
+    for old, new in (("b&b", "bed and breakfast"), ("b and b", "bed and breakfast"), ("guesthouse", "guest house")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.regexp_replace(F.regexp_replace(c, PHONE, "$1$2$3"), POSTCODE, "$1$2$3$4$5$6")
+    c = F.regexp_replace(c, "[‘’]", "'")
+    for old, new in ((";", ","), ("/", " and "), ("-", " ")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.regexp_replace(c, r'["<>@()]', "")
+    for token in "?.,!":
+        c = spaced(c, token)
+    c = F.regexp_replace(F.regexp_replace(c, r"(?<=[^ ])(?='s)", " "), r"'s(?=[^ ])", "'s ")
+    for old, new in ((r"^'", ""), (r"'$", ""), (r"'\s", " "), (r"\s'", " ")):
+        c = F.regexp_replace(c, old, new)
+    c = mended(c, pairs)
+    for old, new in (*JOINED, (r"^\s+|\s+$", ""), (r"\s+", " ")):
+        c = F.regexp_replace(c, old, new)
+    return c
+
+
 def fix_typos(c: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), TYPOS.items(), c)
 
@@ -195,3 +223,12 @@ def ascii_only(c: Column) -> Column:
 
 def n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+
+
+def mended(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """A text in which each first of a pair, where it stands between spaces or at an end, is replaced by the second, pair
+    after pair. Of two in a row that share a space only the first is."""
+    for a, b in pairs:
+        text = F.replace(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {a} "), F.lit(f" {b} "))
+        text = F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))
+    return text

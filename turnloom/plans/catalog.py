@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import beliefs, code, prompting
+from ..functions import beliefs, code, formats, prompting
 from ..functions import state as S
 from ..functions import text as X
 from ..operators import canonical, dialogue, encoding, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
@@ -865,7 +865,7 @@ def belief_bits(spark, sf):
   SELECT doc_id, replace(replace(' ' || text || ' ', ' the ', ' that '), ' that ', ' this ') AS t FROM documents WHERE text IS NOT NULL)""")
 def mended_texts(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", beliefs.mended(F.col("text"), [("the", "that"), ("that", "this")]).alias("text"))
+    return d.select("doc_id", X.mended(F.col("text"), [("the", "that"), ("that", "this")]).alias("text"))
 
 
 # --- the jobs around a model, with the offline stand-in ---
@@ -996,3 +996,58 @@ def code_prompts(spark, sf):
     context = F.create_map(F.lit("train-departure"), F.lit("x|y"), F.lit("train-book people"), F.col("turn_id").cast("string"))
     p = code.code_prompt("s", "rules", F.array(example), context, F.col("sys"), F.col("usr"))
     return fx.conversation_turns(spark, sf).select("id", "turn_id", F.array_join(F.transform(p, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("prompt"))
+
+
+# --- prompts by format, texts as they are put on file ---
+
+_CARDS = {name: f"{name}: what it does.\n" for name in ("Banks", "Buses", "Hotels", "Movies", "Trains")}
+
+
+def _sql_text(x: str) -> str:
+    return "concat(" + ", chr(10), ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n")) + ")"
+
+
+def _sql_turn(context: str, sys: str, usr: str, instructions: str) -> str:
+    said = f"CASE WHEN {sys} = 'none' THEN '' ELSE concat({_sql_text(formats.SYSTEM)}, {sys}, '\"', chr(10)) END"
+    return f"{_sql_text(formats.BEFORE)}, {context}, {_sql_text(formats.LATEST)}, {said}, {_sql_text(formats.USER)}, {usr}, '\"', chr(10), chr(10), {_sql_text(instructions)}"
+
+
+def _sql_prompt(instructions: str, guidelines: str) -> str:
+    title = lambda n: _sql_text(formats.TITLE.replace("{}", str(n)))
+    shot = _sql_turn("'{}'", "'none'", "'hello'", instructions)
+    turn = _sql_turn("concat('{''shop-turn'': ''', turn_id, '''}')", "sys", "usr", instructions)
+    return f"concat('system: s', chr(10), 'user: ', {_sql_text(formats.GUIDELINES)}, {guidelines}, {title(1)}, {shot}, chr(10), 'assistant:             {{''shop-view'': ''1''}}', chr(10), chr(10), 'user: ', {title(2)}, {turn})"
+
+
+_SQL_CARDS = (
+    "concat(CASE WHEN id % 2 = 0 THEN concat('  1. ', 'Hotels: what it does.', chr(10)) ELSE '' END, "
+    + ", ".join(f"CASE WHEN id % 2 = 0 AND {n} = 0 THEN '' ELSE concat('  ', '{n + 1}', '. ', '{name}: what it does.', chr(10)) END" for n, name in enumerate(formats.drawn_cards(_CARDS)))
+    + ")"
+)
+_SQL_RULES = "'rules', chr(10)"
+
+
+@query(f"""WITH {fx.SQL_CONV}, x AS (SELECT id, turn_id, {_sql_prompt(formats.INSTRUCTIONS, _SQL_RULES)} AS pairs, {_sql_prompt(formats.SERVICE_INSTRUCTIONS, _SQL_CARDS)} AS services FROM conv)
+SELECT id, turn_id, 'nl' AS format, pairs AS prompt FROM x UNION ALL SELECT id, turn_id, 'sgd', services FROM x""")
+def format_prompts(spark, sf):
+    """One fixed example, then each turn, in the formats of pairs and of services; messages by lines."""
+    context = F.create_map(F.lit("shop-turn"), F.col("turn_id").cast("string"))
+    domains = F.when(F.col("id") % 2 == 0, F.array(F.lit("Hotels"), F.lit("Else"))).otherwise(F.array(F.lit("Else")))
+    example = F.array(_shot(F.lit("shop-view"), F.lit("1")))
+    t = fx.conversation_turns(spark, sf)
+    shown = lambda p: F.array_join(F.transform(p, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    out = None
+    for name, how in (("nl", {"guidelines": "rules\n"}), ("sgd", {"domains": domains, "cards": _CARDS})):
+        p = formats.prompt(name, "s", example, context, F.col("sys"), F.col("usr"), **how)
+        one = t.select("id", "turn_id", F.lit(name).alias("format"), shown(p).alias("prompt"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PHONED = "'Ring (' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || ', at CB' || c_custkey % 10 || ', 1 ab! ' || c_custkey || ' ' || c_custkey || ' 7'"
+
+
+@query("SELECT c_custkey, 'ring ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '555' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || ' , at cb' || c_custkey % 10 || '1ab ! ' || c_custkey || c_custkey || '7' AS text FROM customer")
+def cleaned_texts(spark, sf):
+    """Texts with a phone number, a postcode and adjoining numbers of each customer's key."""
+    return table(spark, sf, "customer").select("c_custkey", X.clean_text(F.expr(_PHONED.replace("VARCHAR", "STRING"))).alias("text"))
