@@ -50,19 +50,34 @@ def _ordered(m: Column) -> Column:
     return F.array_sort(keyed)
 
 
+def _once(make, **parts: Column) -> Column:
+    """What ``make`` returns for a struct of ``parts``, which are evaluated once however often it uses them."""
+    bound = F.array(F.struct(*(c.alias(name) for name, c in parts.items())))
+    return F.get(F.transform(bound, make), F.lit(0))
+
+
+def _known(prior: Column, texts: Column) -> dict[str, Column]:
+    """What references are looked up in: the prior's entries in order (first values, names, lower case), and the texts."""
+    held = F.transform(_ordered(prior), lambda e: F.struct(e["key"].alias("key"), _name(e["key"]).alias("name"), first_value(e["value"]).alias("value"), F.lower(first_value(e["value"])).alias("low")))
+    return {"held": held, "texts": texts, "mended": F.transform(texts, lambda t: fix_typos(t))}
+
+
+def _refers(slot: Column, value: Column, known: Column) -> Column:
+    name = _name(slot)
+    first = lambda found: F.get(F.filter(known["held"], found), F.lit(0))["key"]
+    word = F.exists(known["texts"], lambda t: F.contains(t, F.concat(F.lit(" "), value, F.lit(" "))))
+    said = F.exists(known["mended"], lambda t: F.contains(t, value))
+    centre = (name == "area") & (value == "centre") & F.exists(known["texts"], lambda t: F.contains(t, F.lit("center")))
+    alike = F.when(~word, first(lambda e: (e["name"] == name) & (e["value"] == value)))
+    same = first(lambda e: e["low"] == F.lower(value))
+    return F.when(value.isin("dontcare", DELETE), None).when(name.isin(*WHOLE, *OPTIONS), alike).when(said | centre, None).otherwise(same)
+
+
 def reference(slot: Column, value: Column, prior: Column, texts: Column) -> Column:
     """The slot of ``prior`` (a map) that a new value refers to, or null. Numbers and options refer to a slot of the same name
     alone, and not where a text says them as a word; other values not where one of ``texts``, its misspellings mended, says
     them. dontcare and deletions never refer. Of several slots the first by domain and name counts."""
-    name, held = _name(slot), _ordered(prior)
-    first = lambda found: F.get(found, F.lit(0))["key"]
-    counted = name.isin(*WHOLE, *OPTIONS)
-    word = F.exists(texts, lambda t: F.contains(t, F.concat(F.lit(" "), value, F.lit(" "))))
-    said = F.exists(texts, lambda t: F.contains(fix_typos(t), value))
-    centre = (name == "area") & (value == "centre") & F.exists(texts, lambda t: F.contains(t, F.lit("center")))
-    alike = first(F.filter(held, lambda e: (_name(e["key"]) == name) & (first_value(e["value"]) == value)))
-    same = first(F.filter(held, lambda e: F.lower(first_value(e["value"])) == F.lower(value)))
-    return F.when(value.isin("dontcare", DELETE), None).when(counted, F.when(~word, alike)).when(said | centre, None).otherwise(same)
+    return _once(lambda known: _refers(slot, value, known), **_known(prior, texts))
 
 
 def _literal(slot: Column, value: Column) -> Column:
@@ -71,23 +86,30 @@ def _literal(slot: Column, value: Column) -> Column:
     return F.when(whole, value).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
 
 
+def _path(slot: Column) -> Column:
+    return F.concat(_domain(slot), F.lit("."), code_name(_name(slot)))
+
+
 def statements(delta: Column, prior: Column, texts: Column) -> Column:
     """A delta as code: deletions, then a call a domain, in which a value that refers to the prior state is that reference."""
-    every = _ordered(delta)
-    path = lambda slot: F.concat(_domain(slot), F.lit("."), code_name(_name(slot)))
-    gone = F.transform(F.filter(every, lambda e: e["value"] == DELETE), lambda e: F.concat(F.lit("del agent.state."), path(e["key"])))
-    kept = F.filter(every, lambda e: e["value"] != DELETE)
 
-    def argument(e: Column) -> Column:
-        refers = reference(e["key"], e["value"], prior, texts)
-        return F.concat(code_name(_name(e["key"])), F.lit("="), F.coalesce(F.concat(F.lit("agent.state."), path(refers)), _literal(e["key"], e["value"])))
+    def argument(e: Column, known: Column) -> Column:
+        refers = _refers(e["key"], e["value"], known)
+        return F.concat(code_name(_name(e["key"])), F.lit("="), F.coalesce(F.concat(F.lit("agent.state."), _path(refers)), _literal(e["key"], e["value"])))
+
+    def written_out(known: Column) -> Column:
+        gone = F.transform(F.filter(known["delta"], lambda e: e["value"] == DELETE), lambda e: F.concat(F.lit("del agent.state."), _path(e["key"])))
+        kept = F.filter(known["delta"], lambda e: e["value"] != DELETE)
+        args = F.transform(kept, lambda e: F.struct(_domain(e["key"]).alias("domain"), argument(e, known).alias("argument")))
+        return _once(lambda x: F.concat(x["gone"], calls(x["args"])), gone=gone, args=args)
+
+    def calls(args: Column) -> Column:
+        listed = lambda d: F.array_join(F.transform(F.filter(args, lambda a: a["domain"] == d), lambda a: a["argument"]), ", ")
+        domains = F.array_distinct(F.transform(args, lambda a: a["domain"]))
+        return F.transform(domains, lambda d: F.concat(F.lit("agent.state."), d, F.lit(" = agent.find_"), d, F.lit("("), listed(d), F.lit(")")))
 
-    args = F.transform(kept, lambda e: F.struct(_domain(e["key"]).alias("domain"), argument(e).alias("argument")))
-    domains = F.array_distinct(F.transform(args, lambda a: a["domain"]))
-    listed = lambda d: F.array_join(F.transform(F.filter(args, lambda a: a["domain"] == d), lambda a: a["argument"]), ", ")
-    calls = F.transform(domains, lambda d: F.concat(F.lit("agent.state."), d, F.lit(" = agent.find_"), d, F.lit("("), listed(d), F.lit(")")))
-    lines = F.concat(gone, calls)
-    return F.when(F.size(lines) == 0, NO_CHANGE).otherwise(F.array_join(lines, "\n"))
+    lines = _once(written_out, delta=_ordered(delta), **_known(prior, texts))
+    return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit(NO_CHANGE))
 
 
 def reference_values(delta: Column, prior: Column, texts: Column, domains: tuple[str, ...], prefix: str = "state.", separator: str = ".") -> Column:
@@ -95,12 +117,12 @@ def reference_values(delta: Column, prior: Column, texts: Column, domains: tuple
     Sentinels follow their slot without a dash."""
     entries = F.array_sort(F.map_entries(F.map_filter(delta, lambda k, _: _domain(k).isin(*domains))))
 
-    def one(e: Column) -> Column:
-        r = reference(e["key"], e["value"], prior, texts)
+    def one(e: Column, known: Column) -> Column:
+        r = _refers(e["key"], e["value"], known)
         value = F.coalesce(F.concat(F.lit(prefix), _domain(r), F.lit(separator), code_name(_name(r))), e["value"])
         return F.concat(e["key"], F.when(value.isin("none", "dontcare"), "").otherwise("-"), value)
 
-    return F.transform(entries, one)
+    return _once(lambda known: F.transform(known["entries"], lambda e: one(e, known)), entries=entries, **_known(prior, texts))
 
 
 def state_code(prior: Column) -> Column:

@@ -133,12 +133,19 @@ def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
     def held(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([([*grams(x), f"\0{len(x)}"], len(x)) for x in s.map(processed)], columns=["gram", "length"])
 
+    @F.pandas_udf("int")
+    def sizes(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: len(processed(x)))
+
     @F.pandas_udf("int")
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(processed(x), processed(y)) for x, y in zip(a, b)], dtype="int32")
 
     index = known.withColumn("g", held("canonical")).select("slot", "canonical", F.col("g.length").alias("length"), F.explode("g.gram").alias("gram"))
     often = index.groupBy("slot", "gram").agg(F.count("*").alias("n"))
+    # a form that no length in its slot can meet is never cut into grams
+    lengths = index.groupBy("slot").agg(F.min("length").alias("low"), F.max("length").alias("high"))
+    asked = asked.withColumn("size", sizes("form")).join(lengths, "slot").where((F.col("size") * t <= F.col("high") * (2 - t) + 1e-6) & (F.col("low") * t <= F.col("size") * (2 - t) + 1e-6)).select("slot", "form")
     wanted = asked.withColumn("g", to_look_up("form")).select("slot", "form", F.col("g.enough").alias("enough"), F.col("g.size").alias("size"), F.explode("g.gram").alias("gram"))
     rarest = Window.partitionBy("slot", "form").orderBy(F.coalesce("n", F.lit(0)), "gram")
     few = wanted.join(often, ["slot", "gram"], "left").withColumn("at", F.row_number().over(rarest)).where("at <= enough and n is not null")
