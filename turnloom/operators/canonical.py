@@ -2,8 +2,8 @@
 
 Aliases add or cut the usual beginnings and ends of names; numbers may be in words, in any choice. The choices aren't
 enumerated: a name and its alias have the same fold (all numbers in words), so folds are joined, and the pair is read word by
-word. Fuzzy candidates come from an index of two-letter grams: a pair that reaches the ratio shares so many of them that it
-shares one of a value's rarest, and only such pairs are compared. Folds, grams and ratios are plain Python, run once a
+word. Fuzzy candidates come from an index of grams of a few letters: a pair that reaches the ratio shares so many of them that
+it shares one of a value's rarest, and only such pairs are compared. Folds, grams and ratios are plain Python, run once a
 distinct value or candidate in Arrow batches.
 """
 
@@ -24,6 +24,8 @@ PREFIXES = ("the ",)
 SUFFIXES = (" hotel", " restaurant", " cinema", " guest house", " theatre", " airport", " street", " gallery", " museum", " train station")
 #: Slots (without their domain) whose values are times.
 TIME_SLOTS = ("leaveat", "arriveby", "book time")
+#: Lengths of grams.
+GRAMS = (2, 3, 4)
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 #: Names of the powers of 1000.
@@ -94,12 +96,12 @@ def ratio(a: str, b: str) -> int:
     return round(100 * SequenceMatcher(None, a, b).ratio())
 
 
-def grams(value: str) -> list[str]:
-    """Two-letter grams, the n-th of its kind with its number."""
+def grams(value: str, q: int) -> list[str]:
+    """Grams of ``q`` letters, the n-th of its kind with its number."""
     seen: dict[str, int] = {}
     out = []
-    for i in range(len(value) - 1):
-        g = value[i : i + 2]
+    for i in range(len(value) - q + 1):
+        g = value[i : i + q]
         seen[g] = seen.get(g, 0) + 1
         out.append(f"{g}\0{seen[g]}")
     return out
@@ -108,14 +110,18 @@ def grams(value: str) -> list[str]:
 def looked_up(value: str, t: float) -> tuple[list[str], int]:
     """Grams by which all values that reach the ratio ``t`` are found, and how many of them, the rarest, are enough.
 
-    Lengths a and b that reach t match M = t (a + b) / 2 letters or more, in a + b - 2 M + 1 runs at most, so they share M
-    less that many grams, and b is a t / (2 - t) at least. One of the rarest is among those, unless that comes to nothing:
-    then the lengths that b may have stand for grams.
+    Lengths a and b that reach t match M = t (a + b) / 2 letters or more, in a + b - 2 M + 1 runs at most, each of which has
+    q - 1 grams less than letters, and b is a t / (2 - t) at least: so many grams are shared, and one of the rarest is among
+    them. The longest grams of which any must be shared are the most telling. Where there are none, the lengths that b may
+    have stand for grams.
     """
-    a, g = len(value), grams(value)
-    shared = math.ceil(2 * a / (2 - t) * (1.5 * t - 1) - 1 - 1e-9)
-    if 0 < shared <= len(g):
-        return g, len(g) - shared + 1
+    a = len(value)
+    for q in sorted(GRAMS, reverse=True):
+        each = t * (2 * q - 1) / 2 - (q - 1)
+        shared = math.ceil(2 * a / (2 - t) * each - (q - 1) - 1e-9)
+        g = grams(value, q)
+        if each > 0 and 0 < shared <= len(g):
+            return g, len(g) - shared + 1
     lengths = [f"\0{n}" for n in range(int(a * t / (2 - t)), int(a * (2 - t) / t) + 2)]
     return lengths, len(lengths)
 
@@ -131,7 +137,7 @@ def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
 
     @F.pandas_udf("struct<gram:array<string>,length:int>")
     def held(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([([*grams(x), f"\0{len(x)}"], len(x)) for x in s.map(processed)], columns=["gram", "length"])
+        return pd.DataFrame([([*(g for q in GRAMS for g in grams(x, q)), f"\0{len(x)}"], len(x)) for x in s.map(processed)], columns=["gram", "length"])
 
     @F.pandas_udf("int")
     def sizes(s: pd.Series) -> pd.Series:
