@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import beliefs, code, formats, prompting
+from ..functions import align, beliefs, code, formats, prompting
 from ..functions import state as S
 from ..functions import text as X
-from ..operators import canonical, dialogue, encoding, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
+from ..operators import canonical, dialogue, encoding, filters, fusion, inference, jobs, mining, sampling, scan, scoring, search, selection, similarity
 from ..session import ship, table
 from ..shared import shared_dir, written
 from ..sources import runs
@@ -477,7 +477,7 @@ def infonce_mining(spark, sf):
 def infonce_easy_negatives(spark, sf):
     """What completes the rows of infonce_mining: each anchor's and positive's easy negatives, from all turns."""
     turns = table(spark, sf, "events").select(F.col("event_id").alias("label"))
-    return mining.easy_negatives(infonce_mining(spark, sf), turns, 8)
+    return mining.easy_negatives(written(infonce_mining(spark, sf), "mined"), turns, 8)
 
 
 @query(f"""WITH {fx.SQL_STATE}, {_PAIRS}, {_RANGE}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS hi, row_number() OVER (PARTITION BY q ORDER BY sim, label) AS lo FROM tr)
@@ -546,27 +546,23 @@ def schema_intersect(spark, sf):
 
 @query("SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING NOT bool_or(o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))")
 def domain_subset_filter(spark, sf):
-    d = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("d"))
-    return d.where(F.size(F.array_except("d", F.array(*map(F.lit, ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))))) == 0).select("id")
+    return filters.within(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 
 
 @query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id HAVING bool_or(event_type IN ('signup', 'error'))")
 def any_service_filter(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.collect_set("event_type").alias("d"))
-    return e.where(F.arrays_overlap("d", F.array(F.lit("signup"), F.lit("error")))).select("id", "n")
+    return filters.having_any(table(spark, sf, "events"), "user_id", "event_type", ("signup", "error"))
 
 
 @query("""SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 0 AND max(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) <= 50 AND NOT bool_or(regexp_matches(text, '[^\\x00-\\x7F]'))""")
 def valid_dialogues(spark, sf):
-    c = table(spark, sf, "conversations")
-    g = c.groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"), F.max(X.n_words(F.col("text"))).alias("words"), F.bool_and(X.ascii_only(F.col("text"))).alias("ascii"))
-    return g.where("n % 2 = 0 AND words <= 50 AND ascii").select("id", "n")
+    return filters.valid_dialogues(table(spark, sf, "conversations"), "conv_id", "text")
 
 
 @query("SELECT path, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT lang || '/' || n_chars AS path, source FROM documents) GROUP BY path HAVING count(*) > 1")
 def config_collisions(spark, sf):
     d = table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), F.col("n_chars").cast("string")).alias("path"), "source")
-    return d.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")).where("n > 1").select("path", "sources")
+    return filters.collisions(d, "path", "source").select("path", F.array_join("sources", ",").alias("sources"))
 
 
 @query("SELECT vec_id AS label, 2 AS file, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 1, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 3 <> 0")
@@ -655,8 +651,9 @@ def slugs(spark, sf):
 
 @query("SELECT user_id AS id, trim(max_by(event_type, value)) AS completion FROM events GROUP BY user_id")
 def best_completion(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy(F.col("user_id").alias("id")).agg(F.trim(F.max_by("event_type", "value")).alias("completion"))
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id"), "event_type").agg(F.max("value").alias("value"))
+    said = e.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))).alias("said"))  # a few types
+    return said.select("id", prompting.best_completion(F.col("said")).alias("completion"))
 
 
 @query("SELECT l_returnflag AS canonical, max_by(l_linestatus, n * 1000 - CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END) AS surface, sum(n) AS n FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY l_returnflag")
@@ -1051,3 +1048,12 @@ _PHONED = "'Ring (' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || ') 555
 def cleaned_texts(spark, sf):
     """Texts with a phone number, a postcode and adjoining numbers of each customer's key."""
     return table(spark, sf, "customer").select("c_custkey", X.clean_text(F.expr(_PHONED.replace("VARCHAR", "STRING"))).alias("text"))
+
+
+@query()
+def aligned_turns(spark, sf):
+    """What each user turn takes over from the system turn before it, word by word."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")
+    m = align.matching_blocks(words("sys"), words("usr"))
+    shown = F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"), x["size"].cast("string"))), ";")
+    return fx.conversation_turns(spark, sf).select("id", "turn_id", shown.alias("blocks"))
