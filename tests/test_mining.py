@@ -39,3 +39,22 @@ def test_small_tables(spark, n, negatives, want):
 def test_a_pair_without_hard_negatives(spark):
     mined = spark.createDataFrame([(0, 1, "pos", 1)], "q long, label long, kind string, place int")
     assert mining.easy_negatives(mined, spark.range(5).toDF("label"), 4).count() == 2
+
+
+def test_texts_of_mined_rows(spark):
+    mined = spark.createDataFrame([(1, 2, "pos"), (1, 9, "neg")], "q long, label long, kind string")
+    texts = spark.createDataFrame([(1, "a"), (2, None)], "label long, text string")
+    got = sorted((r.q, r.label, r.kind, r.anchor, r.example) for r in mining.with_texts(mined, texts).collect())
+    assert got == [(1, 2, "pos", "a", None), (1, 9, "neg", "a", None)]
+
+
+def test_similarities_of_what_is_retrieved(spark):
+    from turnloom.operators import scoring
+
+    states = spark.createDataFrame([(1, ["a-x-1"], ["a-x-1", "a-y-2"]), (2, ["a-x-2|3"], ["a-x-1"]), (3, ["b-z-1"], []), (4, [], [])], "label long, turn array<string>, full array<string>")
+    lists = spark.createDataFrame([(1, 2), (1, 3), (4, 3)], "q long, label long")
+    queries = spark.createDataFrame([(1,), (4,), (5,)], "q long")
+    r = scoring.retriever_similarities(lists, queries, states).first()
+    # query 1: turn values 0 and 0, slots 1 and 0; all values 2/3 and 0, slots 2/3 and 0; query 4: 0, 0, 1, 1; query 5 has none
+    assert tuple(r) == (0.0, round(0.5 / 3, 6), round((1 / 3 + 1) / 3, 6), round((1 / 3 + 1) / 3, 6), 3)
+    assert scoring.retriever_similarities(lists.limit(0), queries.limit(0), states).first().queries == 0

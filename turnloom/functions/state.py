@@ -87,10 +87,16 @@ def heads(belief: Column) -> Column:
     return F.transform(belief, lambda b: F.concat_ws("-", F.slice(F.split(b, "-"), 1, 2)))
 
 
+def sv_scores(gold: Column, pred: Column, beta: float = 1.0) -> tuple[Column, Column]:
+    """F-beta of slot-values, and F1 of slots."""
+    g, p = single(gold), single(pred)
+    return fbeta(g, p, beta), fbeta(heads(g), heads(p))
+
+
 def sv_similarity(gold: Column, pred: Column, beta: float = 1.0) -> Column:
     """F-beta of slot-values plus F1 of slots, less one."""
-    g, p = single(gold), single(pred)
-    return fbeta(g, p, beta) + fbeta(heads(g), heads(p)) - 1
+    values, slots = sv_scores(gold, pred, beta)
+    return values + slots - 1
 
 
 def distinct_similarity(gold: Column, gold_heads: Column, pred: Column, pred_heads: Column) -> Column:

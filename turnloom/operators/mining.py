@@ -60,6 +60,12 @@ def easy_negatives(mined: DataFrame, corpus: DataFrame, negatives: int, seed: in
     return placed.where(F.col("place") <= easy).select("q", "pos", "label", "place")
 
 
+def with_texts(mined: DataFrame, texts: DataFrame) -> DataFrame:
+    """``mined`` (q, label, ...) with both texts, anchor and example; a row without one has a null. ``texts``: label, text."""
+    of = lambda c, name: texts.select(F.col("label").alias(c), F.col("text").alias(name))
+    return mined.join(of("q", "anchor"), "q", "left").join(of("label", "example"), "label", "left")
+
+
 def contrastive(pool: DataFrame, topk: int) -> DataFrame:
     """q, label, target: of the pool's rows the topk most similar (1.0) and the topk least similar (0.0)."""
     hi = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sim").desc(), "label"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.state import sv_scores
 from .sampling import permutations
 
 
@@ -33,3 +34,16 @@ def select_examples(scores: DataFrame, by: str, k: int) -> DataFrame:
     """The k best a query in prompt order, worst first."""
     best = scores.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.col(by).desc(), "label"))).where(F.col("rk") <= k)
     return best.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("rk").desc())))
+
+
+def retriever_similarities(lists: DataFrame, queries: DataFrame, states: DataFrame, beta: float = 1.0) -> DataFrame:
+    """One row: how similar a query's examples are to it, by the values and the slots of the turn alone and of the whole state
+    (turn_value, turn_slot, all_value, all_slot: means over each query's list, then over queries; 0 without a list), and the
+    number of queries. ``lists``: q, label; ``queries``: q; ``states``: label, turn, full (arrays of slot-values)."""
+    own = states.select(F.col("label").alias("q"), F.col("turn").alias("qt"), F.col("full").alias("qf"))
+    both = lists.join(own, "q").join(states.select("label", "turn", "full"), "label")
+    names = ("turn_value", "turn_slot", "all_value", "all_slot")
+    scores = (*sv_scores(F.col("qt"), F.col("turn"), beta), *sv_scores(F.col("qf"), F.col("full"), beta))
+    each = both.select("q", *(c.alias(n) for c, n in zip(scores, names))).groupBy("q").agg(*(F.avg(n).alias(n) for n in names))
+    every = queries.select("q").distinct().join(each, "q", "left").fillna(0.0, list(names))
+    return every.agg(*(F.round(F.avg(n), 6).alias(n) for n in names), F.count("*").alias("queries"))

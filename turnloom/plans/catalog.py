@@ -1057,3 +1057,56 @@ def aligned_turns(spark, sf):
     m = align.matching_blocks(words("sys"), words("usr"))
     shown = F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"), x["size"].cast("string"))), ";")
     return fx.conversation_turns(spark, sf).select("id", "turn_id", shown.alias("blocks"))
+
+
+# --- over rows: pools by embedding, examples with their texts, quality of what is retrieved ---
+
+_NEAR = f"WITH {fx.SQL_DENSE}, tr AS (SELECT q, label, score AS sim FROM ({_RANKED_DENSE}) WHERE rk <= 100)"
+_WITH_TEXTS = "LEFT JOIN documents x ON x.doc_id = q LEFT JOIN documents y ON y.doc_id = label"
+
+
+def _near_rows(spark, sf):
+    return _dense_top(spark, sf, 100).select("q", "label", F.col("score").alias("sim"))
+
+
+def _text_table(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("label"), "text")
+
+
+@query(f"""{_NEAR}, sp AS (SELECT *, CAST((q * 13 + label * 7) % 5 AS DOUBLE) AS score FROM tr),
+a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, label) AS rk FROM sp),
+e AS (SELECT q, coalesce(max(CASE WHEN rk = 6 THEN score END), min(score)) AS edge FROM a GROUP BY q),
+n AS (SELECT a.*, edge, count(*) FILTER (WHERE score > edge) OVER (PARTITION BY q) AS above, row_number() OVER (PARTITION BY q, score = edge ORDER BY sim DESC, label) AS fill FROM a JOIN e USING (q)),
+m AS (SELECT *, score > edge OR (score = edge AND fill <= 5 - above) AS pos FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY q, pos ORDER BY sim, label DESC) AS place FROM m)
+SELECT q, label, CASE WHEN pos THEN 'pos' ELSE 'neg' END AS kind, place, x.text AS anchor, y.text AS example FROM o {_WITH_TEXTS} WHERE pos OR place <= 4""")
+def infonce_rows(spark, sf):
+    """Mined rows with their texts: a query's pool is its hundred nearest rows by embedding."""
+    p = _near_rows(spark, sf).withColumn("score", ((F.col("q") * 13 + F.col("label") * 7) % 5).cast("double"))
+    return mining.with_texts(mining.info_nce(p, 5, 8), _text_table(spark, sf))
+
+
+@query(f"""{_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS hi, row_number() OVER (PARTITION BY q ORDER BY sim, label) AS lo FROM tr),
+t AS (SELECT q, label, 1e0 AS target FROM r WHERE hi <= 5 UNION ALL SELECT q, label, 0e0 FROM r WHERE lo <= 5) SELECT q, label, target, x.text AS anchor, y.text AS example FROM t {_WITH_TEXTS}""")
+def contrastive_rows(spark, sf):
+    """The most and the least similar rows of the same pools, with their texts."""
+    return mining.with_texts(mining.contrastive(_near_rows(spark, sf), 5), _text_table(spark, sf))
+
+
+def _sql_scores(x: str, y: str, name: str) -> str:
+    slots = lambda c: f"list_transform({c}, lambda x: split_part(x, '-', 1) || '-' || split_part(x, '-', 2))"
+    return f"{_fb(x, y)} AS {name}_value, {_fb(slots(x), slots(y))} AS {name}_slot"
+
+
+@query(f"""WITH {fx.SQL_STATE}, {fx.SQL_DENSE}, {_BELIEF}, own AS (SELECT bel.event_id AS i, b AS f, [slot || '-' || value] AS t FROM bel JOIN gold USING (event_id)),
+p AS (SELECT q, label FROM ({_RANKED_DENSE}) WHERE rk <= 5),
+s AS (SELECT q, {_sql_scores('a.t', 'c.t', 'turn')}, {_sql_scores('a.f', 'c.f', 'all')} FROM p JOIN own a ON a.i = q JOIN own c ON c.i = label),
+e AS (SELECT q, avg(turn_value) AS turn_value, avg(turn_slot) AS turn_slot, avg(all_value) AS all_value, avg(all_slot) AS all_slot FROM s GROUP BY q)
+SELECT round(avg(coalesce(turn_value, 0e0)), 6) AS turn_value, round(avg(coalesce(turn_slot, 0e0)), 6) AS turn_slot, round(avg(coalesce(all_value, 0e0)), 6) AS all_value, round(avg(coalesce(all_slot, 0e0)), 6) AS all_slot, count(*) AS queries
+FROM (SELECT vec_id AS q FROM embeddings WHERE vec_id % 50 = 0) LEFT JOIN e USING (q)""")
+def retriever_similarities(spark, sf):
+    """Of the five nearest rows by embedding; vectors and turns share ids here."""
+    turn = fx.gold_events(spark, sf).select(F.col("event_id").alias("label"), F.array(F.concat_ws("-", "slot", "value")).alias("turn"))
+    states = _beliefs(spark, sf).select(F.col("event_id").alias("label"), F.col("b").alias("full")).join(turn, "label")
+    queries = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"))
+    return scoring.retriever_similarities(_dense_top(spark, sf, 5).select("q", "label"), queries, states)
