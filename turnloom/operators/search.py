@@ -44,20 +44,22 @@ def unit(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.select("label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def numbered(df: DataFrame, key: str = "label", buckets: int = 1024) -> DataFrame:
-    """``df`` with at, from 0 without gaps: numbers within hash buckets, after the sizes of the buckets before."""
-    b = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+def numbered(df: DataFrame, key: str = "label") -> DataFrame:
+    """``df`` with at, from 0 without gaps: numbers by key within buckets (the first three digits of the key's md5), after the
+    sizes of the buckets before. Keys should be distinct."""
+    b = df.withColumn("_b", F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 3))
     sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_b", before.alias("_s"))  # a row a bucket
+    starts = sizes.select("_b", before.alias("_s"))  # a row a bucket, 4,096 at most
     b = b.join(F.broadcast(starts), "_b")
     return b.withColumn("at", F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).drop("_b", "_s")
 
 
 def random_examples(queries: DataFrame, corpus: DataFrame, k: int, seed: int) -> DataFrame:
-    """q, place, label: k draws with replacement per query, by a hash of (seed, query, draw) into numbered rows."""
+    """q, place, label: k draws with replacement per query, by 60 bits of the md5 of (seed, query, draw) into numbered rows."""
     rows = numbered(corpus.select("label"))
     n = corpus.count()
     draws = queries.select("q", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("place"))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "q", "place"), F.lit(n)))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("q").cast("string"), F.col("place").cast("string")).cast("binary"))
+    draws = draws.withColumn("at", F.conv(F.substring(drawn, 1, 15), 16, 10).cast("long") % max(n, 1))
     return draws.join(rows, "at").select("q", "place", "label")

@@ -105,7 +105,8 @@ def dense_purity(spark, sf):
     return r.groupBy("cls").agg(R6(F.avg((F.col("cls") == F.col("other")).cast("double"))).alias("purity"))
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id AS label, row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS pos FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT q, place, label FROM (SELECT item_id AS q, place, CAST('0x' || substr(md5('1:' || item_id || ':' || place), 1, 15) AS BIGINT) % n AS pos FROM benchmark, n, (SELECT unnest([1, 2, 3, 4, 5]) AS place)) JOIN r USING (pos)""")
 def random_retriever(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("label"))
     return search.random_examples(table(spark, sf, "benchmark").select(F.col("item_id").alias("q")), docs, 5, 1)
