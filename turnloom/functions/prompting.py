@@ -59,9 +59,10 @@ def stub(messages: list[dict]) -> dict[str, float]:
 
 
 def best_completion(c: Column) -> Column:
-    """The likeliest completion, trimmed and without a leading ``agent.state.``."""
-    best = F.aggregate(F.map_entries(c), F.struct(F.lit("").alias("key"), F.lit(float("-inf")).alias("value")), lambda a, x: F.when(x["value"] > a["value"], x).otherwise(a))
-    return F.regexp_replace(F.trim(best["key"]), r"^agent\.state\.", "")
+    """The likeliest completion (ties: the first), trimmed and without a leading ``agent.state.``; empty if there is none."""
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+    best = F.aggregate(F.map_entries(c), none, lambda a, x: F.when(x["value"].isNotNull() & (a["key"].isNull() | (x["value"] > a["value"])), x).otherwise(a))
+    return F.regexp_replace(F.trim(F.coalesce(best["key"], F.lit(""))), r"^agent\.state\.", "")
 
 
 def stopped(completion: Column, stops: list[str]) -> Column:
