@@ -2,31 +2,36 @@
 
 Aliases add or cut the usual beginnings and ends of names; numbers may be in words, in any choice. The choices aren't
 enumerated: a name and its alias have the same fold (all numbers in words), so folds are joined, and the pair is read word by
-word. Fuzzy candidates come from an index of grams of a few letters: a pair that reaches the ratio shares so many of them that
-it shares one of a value's rarest, and only such pairs are compared. Folds, grams and ratios are plain Python, run once a
-distinct value or candidate in Arrow batches.
+word. Fuzzy candidates come from an index of parts: a form is cut into so many that a value which reaches the ratio holds some
+of them unchanged, at places that both lengths bound. Candidates within as many changes as the ratio leaves are compared.
+Folds, parts and ratios are plain Python, run once a distinct value or candidate in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_time
+from ..shared import written
 
 #: What names may begin and end with.
 PREFIXES = ("the ",)
 SUFFIXES = (" hotel", " restaurant", " cinema", " guest house", " theatre", " airport", " street", " gallery", " museum", " train station")
 #: Slots (without their domain) whose values are times.
 TIME_SLOTS = ("leaveat", "arriveby", "book time")
-#: Lengths of grams.
-GRAMS = (2, 3, 4)
+#: Letters lacking or added up to which the places of parts are told apart.
+PLACED = 8
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_DIGIT = re.compile("[0-9]")
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 #: Names of the powers of 1000.
 _THOUSANDS = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion undecillion duodecillion tredecillion quattuordecillion quindecillion sexdecillion septendecillion octodecillion novemdecillion vigintillion".split()
@@ -55,6 +60,8 @@ def worded(token: str, digits: bool) -> str:
 
 
 def fold(value: str, digits: bool) -> str:
+    if not _DIGIT.search(value):
+        return " ".join(value.split())
     return " ".join(worded(t, digits) for t in value.split())
 
 
@@ -96,34 +103,68 @@ def ratio(a: str, b: str) -> int:
     return round(100 * SequenceMatcher(None, a, b).ratio())
 
 
-def grams(value: str, q: int) -> list[str]:
-    """Grams of ``q`` letters, the n-th of its kind with its number."""
-    seen: dict[str, int] = {}
-    out = []
-    for i in range(len(value) - q + 1):
-        g = value[i : i + q]
-        seen[g] = seen.get(g, 0) + 1
-        out.append(f"{g}\0{seen[g]}")
-    return out
+@lru_cache(maxsize=None)
+def cuts(a: int, t: float) -> tuple[tuple[tuple[int, int], ...], int] | None:
+    """How a form of ``a`` letters is cut into parts (begin, end), and how many of them a value that reaches the ratio ``t``
+    holds unchanged: k, or one anywhere if that is 0. None where parts would be shorter than two letters.
 
+    Such a value lacks or adds a (1 - t) / t letters twice over at most, each of which changes a part; so of that many parts
+    and k more, k stay. Of long forms one part is looked for at any place.
+    """
+    most = int(2 * a * (1 - t) / t + 1e-9)
+    if most > PLACED and 2 * (most + 1) <= a:
+        return tuple((a * i // (most + 1), a * (i + 1) // (most + 1)) for i in range(most + 1)), 0
+    for k in range(3 if most <= 1 else 2 if most <= 2 else 1, 0, -1):
+        n = most + k
+        if 2 * n <= a:
+            return tuple((a * i // n, a * (i + 1) // n) for i in range(n)), k
+    return None
+
+
+def asked_parts(value: str, t: float) -> list[str]:
+    """Keys of a form: itself, and all choices of as many of its parts as must be held; its length where it isn't cut."""
+    cut = cuts(len(value), t)
+    if cut is None:
+        return [f"{len(value)}"]
+    parts, k = cut
+    if not k:
+        return [f"~{value[i:j]}" for i, j in parts]
+    return [f"={value}", *("\0".join((f"{len(value)}", *map(str, c), *(value[slice(*parts[i])] for i in c))) for c in combinations(range(len(parts)), k))]
+
+
+@lru_cache(maxsize=None)
+def places(b: int, t: float) -> list[tuple[str, tuple[tuple[int, int], ...]]]:
+    """Where a value of ``b`` letters holds the parts of the forms with which it may reach ``t``: what a key begins with, and
+    the parts' places. Lengths tell how many letters are lacking or added, and so how far parts may be moved."""
+    out, anywhere = [], set()
+    for a in range(max(0, math.ceil(b * t / (2 - t) - 1e-9)), int(b * (2 - t) / t + 1e-9) + 1):
+        more, spare = b - a, int((1 - t) * (a + b) + 1e-9)
+        spare -= (spare - more) % 2
+        cut = cuts(a, t)
+        if spare < abs(more):
+            continue
+        if cut is None:
+            out.append((f"{a}", ()))
+        elif cut[1] == 0:
+            anywhere |= {j - i for i, j in cut[0]}
+        elif spare == 0:
+            out.append(("=", ((0, b),)))
+        else:
+            parts, k = cut
+            for c in combinations(range(spare + k), k):
+                moved = [((), 0, 0)]  # places, how far the last is moved, letters that it took
+                for last, i in zip((-1, *c), c):
+                    begin, end = parts[i]
+                    steps = range(-spare, spare + 1) if i > last + 1 else (0,)
+                    moved = [((*at, (begin + by + d, end + by + d)), by + d, used + abs(d)) for at, by, used in moved for d in steps if used + abs(d) <= spare and begin + by + d >= 0 and end + by + d <= b]
+                rest = c[-1] + 1 < len(parts)
+                out += [("\0".join((f"{a}", *map(str, c), "")), at) for at, by, used in moved if used + abs(more - by) <= spare and (rest or more == by)]
+    return out + [("~", ((i, i + n),)) for n in sorted(anywhere) for i in range(b - n + 1)]
 
-def looked_up(value: str, t: float) -> tuple[list[str], int]:
-    """Grams by which all values that reach the ratio ``t`` are found, and how many of them, the rarest, are enough.
 
-    Lengths a and b that reach t match M = t (a + b) / 2 letters or more, in a + b - 2 M + 1 runs at most, each of which has
-    q - 1 grams less than letters, and b is a t / (2 - t) at least: so many grams are shared, and one of the rarest is among
-    them. The longest grams of which any must be shared are the most telling. Where there are none, the lengths that b may
-    have stand for grams.
-    """
-    a = len(value)
-    for q in sorted(GRAMS, reverse=True):
-        each = t * (2 * q - 1) / 2 - (q - 1)
-        shared = math.ceil(2 * a / (2 - t) * each - (q - 1) - 1e-9)
-        g = grams(value, q)
-        if each > 0 and 0 < shared <= len(g):
-            return g, len(g) - shared + 1
-    lengths = [f"\0{n}" for n in range(int(a * t / (2 - t)), int(a * (2 - t) / t) + 2)]
-    return lengths, len(lengths)
+def held_parts(value: str, t: float) -> list[str]:
+    """Keys of a value: those of all forms with which it may reach ``t`` are among them."""
+    return list({start + "\0".join(value[i:j] for i, j in at) for start, at in places(len(value), t)})
 
 
 def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
@@ -131,13 +172,13 @@ def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
     canonical; both distinct, compared as ``processed``."""
     t = max(0.01, (fuzzy - 0.5) / 100)
 
-    @F.pandas_udf("struct<gram:array<string>,enough:int,size:int>")
-    def to_look_up(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(*looked_up(processed(x), t), len(processed(x))) for x in s], columns=["gram", "enough", "size"])
+    def keyed(keys: Callable[[str, float], list[str]]):
+        @F.pandas_udf("struct<text:string,part:array<string>>")
+        def look(s: pd.Series) -> pd.DataFrame:
+            texts = [processed(x) for x in s]
+            return pd.DataFrame({"text": texts, "part": [keys(x, t) for x in texts]})
 
-    @F.pandas_udf("struct<gram:array<string>,length:int>")
-    def held(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([([*(g for q in GRAMS for g in grams(x, q)), f"\0{len(x)}"], len(x)) for x in s.map(processed)], columns=["gram", "length"])
+        return look
 
     @F.pandas_udf("int")
     def sizes(s: pd.Series) -> pd.Series:
@@ -145,19 +186,20 @@ def _fuzzy(asked: DataFrame, known: DataFrame, fuzzy: int) -> DataFrame:
 
     @F.pandas_udf("int")
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(processed(x), processed(y)) for x, y in zip(a, b)], dtype="int32")
-
-    index = known.withColumn("g", held("canonical")).select("slot", "canonical", F.col("g.length").alias("length"), F.explode("g.gram").alias("gram"))
-    often = index.groupBy("slot", "gram").agg(F.count("*").alias("n"))
-    # a form that no length in its slot can meet is never cut into grams
-    lengths = index.groupBy("slot").agg(F.min("length").alias("low"), F.max("length").alias("high"))
-    asked = asked.withColumn("size", sizes("form")).join(lengths, "slot").where((F.col("size") * t <= F.col("high") * (2 - t) + 1e-6) & (F.col("low") * t <= F.col("size") * (2 - t) + 1e-6)).select("slot", "form")
-    wanted = asked.withColumn("g", to_look_up("form")).select("slot", "form", F.col("g.enough").alias("enough"), F.col("g.size").alias("size"), F.explode("g.gram").alias("gram"))
-    rarest = Window.partitionBy("slot", "form").orderBy(F.coalesce("n", F.lit(0)), "gram")
-    few = wanted.join(often, ["slot", "gram"], "left").withColumn("at", F.row_number().over(rarest)).where("at <= enough and n is not null")
-    met = few.select("slot", "form", "size", "gram").join(index, ["slot", "gram"])
-    pairs = met.where(2 * F.least("size", "length") >= (t - 1e-9) * (F.col("size") + F.col("length"))).select("slot", "form", "canonical").distinct()
-    return pairs.withColumn("r", ratios("form", "canonical")).where(F.col("r") >= fuzzy)
+        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    # a form that no length in its slot can meet is not looked up
+    lengths = known.withColumn("length", sizes("canonical")).groupBy("slot").agg(F.min("length").alias("low"), F.max("length").alias("high"))
+    size = F.length("g.text")
+    wanted = asked.join(F.broadcast(lengths), "slot").withColumn("g", keyed(asked_parts)("form")).where((size * t <= F.col("high") * (2 - t) + 1e-6) & (F.col("low") * t <= size * (2 - t) + 1e-6))  # a row a slot
+    hashed = F.explode(F.transform("g.part", lambda x: F.xxhash64(x))).alias("part")
+    wanted = wanted.select("slot", "form", F.col("g.text").alias("a"), hashed)
+    index = known.withColumn("g", keyed(held_parts)("canonical")).select("slot", "canonical", F.col("g.text").alias("b"), hashed)
+    both = wanted.hint("merge").join(index.hint("merge"), ["slot", "part"])
+    # letters that are lacking or added are no fewer than changes of any kind
+    spare = F.expr(f"levenshtein(a, b, cast((length(a) + length(b)) * {1 - t!r}D + 1e-6 as int))")
+    pairs = both.where(spare >= 0).select("slot", "form", "canonical", "a", "b").distinct()
+    return pairs.withColumn("r", ratios("a", "b")).where(F.col("r") >= fuzzy).select("slot", "form", "canonical", "r")
 
 
 def canonical(values: DataFrame, known: DataFrame, fuzzy: int = 90) -> DataFrame:
@@ -169,8 +211,8 @@ def canonical(values: DataFrame, known: DataFrame, fuzzy: int = 90) -> DataFrame
     without known values times are brought to hh:mm (``TIME_SLOTS``, null if they are none); any other such slot has no
     canonical values. Null values and slots go.
     """
-    v = values.select("slot", "value").where("slot is not null and value is not null").distinct()
-    k = known.select("slot", F.col("value").alias("canonical")).where("slot is not null and canonical is not null").distinct()
+    v = written(values.select("slot", "value").where("slot is not null and value is not null").distinct(), "values")
+    k = written(known.select("slot", F.col("value").alias("canonical")).where("slot is not null and canonical is not null").distinct(), "known")
 
     @F.pandas_udf("array<string>")
     def alias_lists(s: pd.Series) -> pd.Series:
@@ -178,11 +220,11 @@ def canonical(values: DataFrame, known: DataFrame, fuzzy: int = 90) -> DataFrame
 
     @F.pandas_udf("array<string>")
     def folds(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [f"{int(d)}{fold(x, d)}" for d in (False, True)])
+        return s.map(lambda x: sorted({fold(x, d) for d in (False, True)}))
 
     @F.pandas_udf("boolean")
-    def readable(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([reads_as(x, y, z[0] == "1") for x, y, z in zip(a, b, f)], dtype=bool)
+    def readable(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([reads_as(x, y, False) or reads_as(x, y, True) for x, y in zip(a, b)], dtype=bool)
 
     @F.pandas_udf("array<string>")
     def forms(s: pd.Series) -> pd.Series:
@@ -192,11 +234,11 @@ def canonical(values: DataFrame, known: DataFrame, fuzzy: int = 90) -> DataFrame
     done, rest = exact.where("canonical is not null"), exact.where("canonical is null").select("slot", "value")
     slots = k.select("slot").distinct()
     rest = rest.join(slots, "slot", "left_semi")
-    spread = rest.select("slot", "value", F.explode(alias_lists("value")).alias("alias"))
+    spread = written(rest.select("slot", "value", F.explode(alias_lists("value")).alias("alias")), "aliases")
     folded = spread.select("slot", "value", "alias", F.explode(folds("alias")).alias("fold"))
     same = folded.join(k.select("slot", "canonical", F.explode(folds("canonical")).alias("fold")), ["slot", "fold"])
-    by_alias = same.where(readable("alias", "canonical", "fold")).groupBy("slot", "value").agg(F.min("canonical").alias("canonical"))
-    open_ = spread.join(by_alias, ["slot", "value"], "left_anti").select("slot", "value", F.explode(forms("alias")).alias("form"))
+    by_alias = written(same.where(readable("alias", "canonical")).groupBy("slot", "value").agg(F.min("canonical").alias("canonical")), "found")
+    open_ = written(spread.join(by_alias, ["slot", "value"], "left_anti").select("slot", "value", F.explode(forms("alias")).alias("form")), "open")
     near = _fuzzy(open_.select("slot", "form").distinct(), k, fuzzy)
     best = near.groupBy("slot", "form").agg(F.min(F.struct((-F.col("r")).alias("r"), "canonical"))["canonical"].alias("canonical"))
     by_ratio = open_.join(best, ["slot", "form"]).groupBy("slot", "value").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").drop("n")
