@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.state import evaluate
+from ..functions.state import evaluated
 
 
 def demonstrations(queries: DataFrame, retrieved: DataFrame, fixed: list[tuple[int, int]], k: int) -> DataFrame:
@@ -47,10 +47,10 @@ def score_runs(configs: DataFrame, logs: DataFrame, gold: DataFrame, n_slots: in
         configs = configs.where(F.col("path").contains(table))
     logs = logs.join(configs, "path", "left_semi").groupBy("path", "id", "turn_id").agg(F.first("pred").alias("pred"), F.count("*").alias("_times"))
     each = logs.join(gold.select("id", "turn_id", "gold"), ["id", "turn_id"], "left")
-    m = evaluate(F.col("gold"), F.col("pred"), n_slots)
+    each = each.withColumn("_m", evaluated(F.col("gold"), F.col("pred"), n_slots))
     counted = F.col("gold").isNotNull() & (F.lit(turn < 0) | (F.col("turn_id") == turn))
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(counted, c)), F.lit(0.0)), 6)
-    sums = each.groupBy("path").agg(F.max((F.col("_times") > 1) | F.col("gold").isNull()).alias("_bad"), mean(m["jga"]).alias("jga"), mean(m["acc"]).alias("slot_acc"), mean(m["f1"]).alias("joint_f1"), F.count(F.when(counted, 1)).alias("n_total"))
+    sums = each.groupBy("path").agg(F.max((F.col("_times") > 1) | F.col("gold").isNull()).alias("_bad"), mean(F.col("_m.jga")).alias("jga"), mean(F.col("_m.acc")).alias("slot_acc"), mean(F.col("_m.f1")).alias("joint_f1"), F.count(F.when(counted, 1)).alias("n_total"))
     r = configs.join(sums, "path", "left")
     status = F.when(F.col("_bad").isNull(), "missing").when(F.col("_bad"), "error").otherwise("scored")
     only = lambda c: F.when(status == "scored", F.col(c)).alias(c)
