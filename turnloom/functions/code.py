@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .parsing import CODE_NAMES
 from .prompting import DOMAIN_ORDER, message
+from .state import once
 from .text import DELETE, first_value, fix_typos
 
 #: Slots (without their domain) that hold whole numbers, and those that hold yes or no.
@@ -50,12 +51,6 @@ def _ordered(m: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def _once(make, **parts: Column) -> Column:
-    """What ``make`` returns for a struct of ``parts``, which are evaluated once however often it uses them."""
-    bound = F.array(F.struct(*(c.alias(name) for name, c in parts.items())))
-    return F.get(F.transform(bound, make), F.lit(0))
-
-
 def _known(prior: Column, texts: Column) -> dict[str, Column]:
     """What references are looked up in: the prior's entries in order (first values, names, lower case), and the texts."""
     held = F.transform(_ordered(prior), lambda e: F.struct(e["key"].alias("key"), _name(e["key"]).alias("name"), first_value(e["value"]).alias("value"), F.lower(first_value(e["value"])).alias("low")))
@@ -77,7 +72,7 @@ def reference(slot: Column, value: Column, prior: Column, texts: Column) -> Colu
     """The slot of ``prior`` (a map) that a new value refers to, or null. Numbers and options refer to a slot of the same name
     alone, and not where a text says them as a word; other values not where one of ``texts``, its misspellings mended, says
     them. dontcare and deletions never refer. Of several slots the first by domain and name counts."""
-    return _once(lambda known: _refers(slot, value, known), **_known(prior, texts))
+    return once(lambda known: _refers(slot, value, known), **_known(prior, texts))
 
 
 def _literal(slot: Column, value: Column) -> Column:
@@ -101,14 +96,14 @@ def statements(delta: Column, prior: Column, texts: Column) -> Column:
         gone = F.transform(F.filter(known["delta"], lambda e: e["value"] == DELETE), lambda e: F.concat(F.lit("del agent.state."), _path(e["key"])))
         kept = F.filter(known["delta"], lambda e: e["value"] != DELETE)
         args = F.transform(kept, lambda e: F.struct(_domain(e["key"]).alias("domain"), argument(e, known).alias("argument")))
-        return _once(lambda x: F.concat(x["gone"], calls(x["args"])), gone=gone, args=args)
+        return once(lambda x: F.concat(x["gone"], calls(x["args"])), gone=gone, args=args)
 
     def calls(args: Column) -> Column:
         listed = lambda d: F.array_join(F.transform(F.filter(args, lambda a: a["domain"] == d), lambda a: a["argument"]), ", ")
         domains = F.array_distinct(F.transform(args, lambda a: a["domain"]))
         return F.transform(domains, lambda d: F.concat(F.lit("agent.state."), d, F.lit(" = agent.find_"), d, F.lit("("), listed(d), F.lit(")")))
 
-    lines = _once(written_out, delta=_ordered(delta), **_known(prior, texts))
+    lines = once(written_out, delta=_ordered(delta), **_known(prior, texts))
     return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit(NO_CHANGE))
 
 
@@ -122,7 +117,7 @@ def reference_values(delta: Column, prior: Column, texts: Column, domains: tuple
         value = F.coalesce(F.concat(F.lit(prefix), _domain(r), F.lit(separator), code_name(_name(r))), e["value"])
         return F.concat(e["key"], F.when(value.isin("none", "dontcare"), "").otherwise("-"), value)
 
-    return _once(lambda known: F.transform(known["entries"], lambda e: one(e, known)), entries=entries, **_known(prior, texts))
+    return once(lambda known: F.transform(known["entries"], lambda e: one(e, known)), entries=entries, **_known(prior, texts))
 
 
 def state_code(prior: Column) -> Column:
@@ -193,10 +188,15 @@ def parsed_code(text: Column, state: Column) -> Column:
             .when(line.rlike(one), F.array(made(at(one, 1), at(one, 2), _resolved(at(one, 3), now["state"]))))
             .when(line.rlike(call), F.zip_with(listed(1), listed(2), lambda n, v: made(at(call, 1), n, _resolved(v, now["state"]))))
         )
-        held = F.filter(F.coalesce(new, F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["value"].isNotNull())
-        added = F.map_from_entries(held)
-        kept = F.map_filter(now["state"], lambda k, _: ~F.map_contains_key(added, k))
-        ended = now["ended"] | new.isNull()
-        return F.struct(F.when(ended, now["state"]).otherwise(F.map_concat(kept, added)).alias("state"), ended.alias("ended"))
+
+        def merged(x: Column) -> Column:
+            kept = F.map_filter(x["state"], lambda k, _: ~F.map_contains_key(x["added"], k))
+            return F.struct(F.when(x["ended"], x["state"]).otherwise(F.map_concat(kept, x["added"])).alias("state"), x["ended"].alias("ended"))
+
+        def added(x: Column) -> Column:
+            held = F.filter(F.coalesce(x["new"], F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["value"].isNotNull())
+            return once(merged, state=x["state"], added=F.map_from_entries(held), ended=x["ended"] | x["new"].isNull())
+
+        return once(added, new=new, state=now["state"], ended=now["ended"])
 
     return F.aggregate(lines, F.struct(state.alias("state"), F.lit(False).alias("ended")), step, lambda x: x["state"])
