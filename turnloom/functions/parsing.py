@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .state import once
+
 _PAIR = r"""\{?\s*(?:'([^']*)'|"([^"]*)")\s*:\s*(?:'([^']*)'|"([^"]*)"|(-?[0-9.]+))\s*\}?"""
 
 
@@ -15,12 +17,17 @@ def parse_pairs(c: str | Column) -> Column:
     """Map of a completion in dictionary form, JVM-side: quoted keys, quoted or plain numeric values; the last of equal
     keys counts; text that isn't a pair is passed over."""
     c = F.col(c) if isinstance(c, str) else c
-    group = lambda i: F.regexp_extract_all(c, F.lit(_PAIR), F.lit(i))
-    key = F.zip_with(group(1), group(2), lambda a, b: F.concat(a, b))
-    value = F.zip_with(F.zip_with(group(3), group(4), lambda a, b: F.concat(a, b)), group(5), lambda a, b: F.concat(a, b))
-    pairs = F.arrays_zip(key.alias("key"), value.alias("value"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda r: r["key"] == p["key"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["key"]), F.transform(last, lambda p: p["value"]))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+
+    def read(t: Column) -> Column:
+        group = lambda i: F.regexp_extract_all(t["text"], F.lit(_PAIR), F.lit(i))
+        return once(last, pairs=F.arrays_zip(both(group(1), group(2)).alias("key"), both(both(group(3), group(4)), group(5)).alias("value")))
+
+    def last(x: Column) -> Column:
+        after = lambda i: F.slice(x["pairs"], i + 2, F.greatest(F.size(x["pairs"]) - i - 1, F.lit(0)))
+        return F.map_from_entries(F.filter(x["pairs"], lambda p, i: ~F.exists(after(i), lambda r: r["key"] == p["key"])))
+
+    return once(read, text=c)
 
 
 def parse_nl_completion(text: str, slots: frozenset[str] | None = None) -> dict[str, str]:

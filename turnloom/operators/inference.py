@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompting
 from ..functions.parsing import parse_pairs
-from ..functions.state import same, update
+from ..functions.state import once, same, update
 from ..functions.text import first_value
 from ..shared import shared_dir, written
 from .sampling import permutations
@@ -95,9 +95,13 @@ def answered(requests: DataFrame, keys: list[str], system: str, model: Model, st
     return result
 
 
-def _after(context: Column, best: Column) -> Column:
+def _pairs(best: Column) -> Column:
+    return F.coalesce(parse_pairs(best), F.create_map().cast("map<string,string>"))
+
+
+def _after(context: Column, delta: Column) -> Column:
     """The state after a completion: its pairs over the context, of several values the first."""
-    return F.transform_values(update(context, F.coalesce(parse_pairs(best), F.create_map().cast("map<string,string>"))), lambda _, v: first_value(v))
+    return once(lambda x: F.transform_values(update(x["context"], x["delta"]), lambda _, v: first_value(v)), context=context, delta=delta)
 
 
 def run_dialogues(turns: DataFrame, system: str, model: Model, store: str | None = None, **how) -> DataFrame:
@@ -113,7 +117,7 @@ def run_dialogues(turns: DataFrame, system: str, model: Model, store: str | None
         now = written(now, "turn")
         said = answered(now, ["id", "turn_id"], system, model, store, **how)
         done = now.select("id", "turn_id", "context").join(said.select("id", "turn_id", "best", "n_examples"), ["id", "turn_id"])
-        done = written(done.withColumn("pred", _after(F.col("context"), F.col("best"))), "done")
+        done = written(done.withColumn("pred", _after(F.col("context"), _pairs(F.col("best")))), "done")
         state = written(done.select("id", F.col("pred").alias("state")).unionByName(state.join(done.select("id"), "id", "left_anti")), "state")
         out = done if out is None else out.unionByName(done)
     return out if out is not None else turns.select("id", "turn_id").withColumns({"context": empty, "best": F.lit(""), "n_examples": F.lit(0), "pred": empty})
@@ -131,34 +135,43 @@ def scored_groups(members: DataFrame, group: int) -> DataFrame:
     return each.groupBy("q", "label").agg(F.count("*").alias("occurence"), *sums)
 
 
-def generate(turns: DataFrame, pool: DataFrame, examples: DataFrame, iterations: int, group: int, final: int, by: str, system: str, model: Model, store: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
-    """Which examples help a turn: (scores, chosen).
+def _prompted(turns: DataFrame, examples: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests from keys, label and place; a group is as large as it is configured."""
+    shots = examples.select("label", F.struct("context", "sys", "usr", "delta").alias("shot"))
+    in_place = lambda x: F.array_sort(x, lambda a, b: (a["place"] - b["place"]).cast("int"))
+    listed = placed.join(shots, "label").groupBy(*keys).agg(in_place(F.collect_list(F.struct("place", "shot"))).alias("listed"))
+    listed = listed.select(*keys, F.transform("listed", lambda x: x["shot"]).alias("examples"))
+    return listed.join(turns.select("q", "context", "sys", "usr"), "q")
+
+
+def generated_scores(turns: DataFrame, pool: DataFrame, examples: DataFrame, iterations: int, group: int, system: str, model: Model, store: str | None = None, **how) -> DataFrame:
+    """``scored_groups`` of which examples help a turn; nothing is chosen, and no last prompt asked.
 
     ``turns``: q, sys, usr, context, gold_delta, gold; ``pool``: q, label, pos; ``examples``: label, context, sys, usr, delta.
     Each iteration's permutation of a pool is cut into groups, each group is a prompt, and its answer is right as a delta
-    and as a whole state, or not. ``scores`` is ``scored_groups`` of that. ``chosen`` has q, labels (the ``final`` best by the
-    score named ``by``, worst first), pred (the state after a last prompt with those) and jga.
+    and as a whole state, or not.
     """
-    spark, store = turns.sparkSession, store or shared_dir(turns.sparkSession, "answers")
-    shot = F.struct("context", "sys", "usr", "delta")
-    shots = examples.select("label", shot.alias("shot"))
     members = written(permutations(pool, iterations).withColumn("grp", F.floor(F.col("out_pos") / group).cast("int")).select("q", "label", "iter", "grp", "out_pos"), "members")
-
-    def prompted(placed: DataFrame, keys: list[str]) -> DataFrame:
-        """Requests from keys, label and place; a group is as large as it is configured."""
-        in_place = lambda x: F.array_sort(x, lambda a, b: (a["place"] - b["place"]).cast("int"))
-        listed = placed.join(shots, "label").groupBy(*keys).agg(in_place(F.collect_list(F.struct("place", "shot"))).alias("listed"))
-        listed = listed.select(*keys, F.transform("listed", lambda x: x["shot"]).alias("examples"))
-        return listed.join(turns.select("q", "context", "sys", "usr"), "q")
-
     keys = ["q", "iter", "grp"]
-    said = answered(prompted(members.withColumnRenamed("out_pos", "place"), keys), keys, system, model, store, **how)
+    said = answered(_prompted(turns, examples, members.withColumnRenamed("out_pos", "place"), keys), keys, system, model, store, **how)
     both = said.join(turns.select("q", "context", "gold_delta", "gold"), "q")
-    delta = F.coalesce(parse_pairs(F.col("best")), F.create_map().cast("map<string,string>"))
-    right = both.select(*keys, same(delta, F.col("gold_delta")).cast("double").alias("delta"), same(_after(F.col("context"), F.col("best")), F.col("gold")).cast("double").alias("full"))
-    scores = written(scored_groups(members.join(right, keys).select("q", "label", "iter", "grp", "delta", "full"), group), "scores")
+
+    def compared(x: Column) -> Column:
+        is_right = lambda a, b: same(a, b).cast("double")
+        return F.struct(is_right(x["delta"], x["gold_delta"]).alias("delta"), is_right(_after(x["context"], x["delta"]), x["gold"]).alias("full"))
+
+    right = both.select(*keys, once(compared, delta=_pairs(F.col("best")), **{c: F.col(c) for c in ("context", "gold_delta", "gold")}).alias("x"))
+    right = written(right.select(*keys, "x.delta", "x.full"), "right")  # read twice by the sums
+    return written(scored_groups(members.join(right, keys).select("q", "label", "iter", "grp", "delta", "full"), group), "scores")
+
+
+def generate(turns: DataFrame, pool: DataFrame, examples: DataFrame, iterations: int, group: int, final: int, by: str, system: str, model: Model, store: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(scores, chosen): ``generated_scores``, and q, labels (the ``final`` best by the score named ``by``, worst first), pred
+    (the state after a last prompt with those) and jga."""
+    store = store or shared_dir(turns.sparkSession, "answers")
+    scores = generated_scores(turns, pool, examples, iterations, group, system, model, store, **how)
     best = written(select_examples(scores, by, final).select("q", "label", "place"), "best")
-    last = answered(prompted(best, ["q"]), ["q"], system, model, store, **how).join(turns.select("q", "context", "gold"), "q")
-    pred = last.select("q", _after(F.col("context"), F.col("best")).alias("pred"), "gold")
+    last = answered(_prompted(turns, examples, best, ["q"]), ["q"], system, model, store, **how).join(turns.select("q", "context", "gold"), "q")
+    pred = last.select("q", _after(F.col("context"), _pairs(F.col("best"))).alias("pred"), "gold")
     labels = best.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("labels"))
     return scores, labels.join(pred, "q").select("q", "labels", "pred", same(F.col("pred"), F.col("gold")).cast("int").alias("jga"))
